@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from .bpe import op9_bpe
 from .exact_dedup import OP8_SQL, op8_exact_dedup
+from .simhash import op5_simhash
 
-QUERIES = {"op8_exact_dedup": op8_exact_dedup}
+QUERIES = {
+    "op5_simhash": op5_simhash,
+    "op8_exact_dedup": op8_exact_dedup,
+    "op9_bpe": op9_bpe,
+}
 
 ORACLE_SQL = {"op8_exact_dedup": OP8_SQL}
