@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from .bpe import op9_bpe
 from .exact_dedup import OP8_SQL, op8_exact_dedup
+from .langid import op2_language_id
+from .mixing import op3_mixing
 from .simhash import op5_simhash
 
 QUERIES = {
+    "op2_language_id": op2_language_id,
+    "op3_mixing": op3_mixing,
     "op5_simhash": op5_simhash,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_bpe": op9_bpe,
