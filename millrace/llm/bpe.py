@@ -34,8 +34,10 @@ from tokenizers import normalizers
 
 from .common import documents, prepare, session, utf8_list
 
-#: Words a worker remembers before it starts its table anew.
-MEMORY_WORDS = 400_000
+#: What a worker remembers before it starts a table anew: pieces between white space, and words within them.
+MEMORY_PIECES, MEMORY_WORDS = 400_000, 1_000_000
+#: Answers about pairs of tokens.
+MEMORY_PAIRS = 300_000
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -122,7 +124,7 @@ class _Words:
                 if out:
                     fits = pairs.get(pair := (out[-1], t))
                     if fits is None:
-                        if len(pairs) > MEMORY_WORDS:
+                        if len(pairs) > MEMORY_PAIRS:
                             pairs.clear()
                         fits = pairs[pair] = self.seam_holds(*pair)
                 else:
@@ -142,35 +144,40 @@ class _Words:
 
 
 class Memory(dict):
-    """Packed ids by white-space separated piece; at most ``MEMORY_WORDS`` pieces."""
+    """Packed ids by white-space separated piece; at most ``MEMORY_PIECES`` pieces."""
 
     def __init__(self, make):
         self.make = make
 
     def __missing__(self, piece: bytes) -> bytes:
-        if len(self) >= MEMORY_WORDS:
+        if len(self) >= MEMORY_PIECES:
             self.clear()
         made = self[piece] = self.make(piece)
         return made
 
 
 class Codec:
-    """Encoder and decoder of one vocabulary file. Ids fit 16 bits or else take 32."""
+    """Encoder and decoder of one vocabulary file. Ids fit 16 bits or else take 32.
 
-    def __init__(self, path: str):
+    With ``library`` the tokenizers library encodes each new word, else ``_Words`` does.
+    """
+
+    def __init__(self, path: str, library: bool = False):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"] or ()}
         steps = spec["pre_tokenizer"]["pretokenizers"]
         pattern = next(x["pattern"]["Regex"] for x in steps if x["type"] == "Split")
+        # runs of letters and runs of other signs are words of their own: short cuts for plain pieces
+        self.plain = r"|[\p{L}]+|" in pattern and r"[^\s\p{L}\p{N}]+" in pattern
         self.split = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
         self.mark = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.words = _Words(spec["model"])
+        self.encode_word = library_words(path) if library else _Words(spec["model"]).encode
         self.kind = np.dtype("<u2" if max(*vocab.values(), *self.special.values(), 0) < 65536 else "<u4")
         self.code = "H" if self.kind.itemsize == 2 else "I"
         self.nfc, self.lower = normalizers.NFC().normalize_str, normalizers.Lowercase().normalize_str
-        self.seen: dict[str, list[int]] = {}
+        self.seen: dict[str, bytes] = {}
         self.memory = Memory(self._piece)
         # the offset table: token t's text is table[offset[t] : offset[t + 1]], a blank included
         texts = [b""] * (max(*vocab.values(), *self.special.values(), 0) + 1)
@@ -179,27 +186,28 @@ class Codec:
         self.table = np.frombuffer(b"".join(texts), np.uint8)
         self.offset = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
 
-    def _word(self, word: str) -> list[int]:
-        ids = self.seen.get(word)
-        if ids is None:
+    def _word(self, word: str) -> bytes:
+        packed = self.seen.get(word)
+        if packed is None:
             if len(self.seen) >= MEMORY_WORDS:
                 self.seen.clear()
-            ids = self.seen[word] = self.words.encode(word.encode())
-        return ids
+            packed = self.seen[word] = array(self.code, self.encode_word(word.encode())).tobytes()
+        return packed
 
     def _piece(self, piece: bytes) -> bytes:
         text = piece.decode()
-        if text.isascii() and text.isalpha():
-            ids = self._word(text.lower())
-        else:
-            ids = []
-            for part in self.mark.split(text) if self.mark and "<" in text else [text]:
-                if part in self.special:
-                    ids.append(self.special[part])
-                else:
-                    for word in self.split.findall(self._normal(part)):
-                        ids += self._word(word)
-        return array(self.code, ids).tobytes()
+        if self.plain and text.isascii():
+            if text.isalpha():
+                return self._word(text.lower())
+            if text[:-1].isalpha() and text[-1] in ",.;:!?|":
+                return self._word(text[:-1].lower()) + self._word(text[-1])
+        out = []
+        for part in self.mark.split(text) if self.mark and "<" in text else [text]:
+            if part in self.special:
+                out.append(array(self.code, [self.special[part]]).tobytes())
+            else:
+                out += map(self._word, self.split.findall(self._normal(part)))
+        return b"".join(out)
 
     def _normal(self, part: str) -> str:
         """NFC, then lower case letter by letter (a final sigma stays a sigma)."""
@@ -222,9 +230,19 @@ class Codec:
         return self.table[at].tobytes()[:-1]
 
 
+def library_words(path: str):
+    """The tokenizers library as an encoder of words."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return lambda word: tokenizer.encode(word.decode(), add_special_tokens=False).ids
+
+
 @lru_cache(maxsize=2)
-def codec(path: str) -> Codec:
-    return Codec(path)
+def codec(path: str, library: bool = False) -> Codec:
+    return Codec(path, library)
 
 
 def _ids_array(parts: list[np.ndarray]) -> pa.Array:
