@@ -7,11 +7,13 @@ from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .langid import op2_language_id
 from .mixing import op3_mixing
 from .simhash import op5_simhash
+from .suffix_dedup import op4_suffix_dedup
 from .token_files import op7_token_files
 
 QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_mixing": op3_mixing,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_simhash": op5_simhash,
     "op7_token_files": op7_token_files,
     "op8_exact_dedup": op8_exact_dedup,
