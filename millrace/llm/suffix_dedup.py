@@ -4,7 +4,8 @@ What is repeated is decided by run-compressed Burrows-Wheeler transforms. So
 that equal strings meet in one task, every window of ``length`` bytes is dealt
 by its anchor: the ``GRAM``-byte string in it with the smallest hash. Equal
 windows have equal anchors, and consecutive windows of one anchor form one
-piece. Only anchors that occur twice can hold a repeat; their pieces are dealt
+piece. Only anchors that occur twice, or twice within a
+piece, can hold a repeat; their pieces are dealt
 by anchor, and each task indexes its pieces, a few MB at a time.
 
 The index of a batch is the transform's runs with the text positions sampled at
@@ -63,19 +64,23 @@ def window_minima(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(suffix[: len(h) - width + 1], prefix[width - 1 : len(h)])
 
 
-def window_runs(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """first window, number of windows and anchor of each run of windows with one anchor."""
+def window_runs(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """first window, number of windows and anchor of each run of windows with one anchor, and whether its windows may repeat each other."""
     if len(text) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    low = window_minima(gram_hashes(np.frombuffer(text, np.uint8), gram), length - gram + 1)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    h = gram_hashes(np.frombuffer(text, np.uint8), gram)
+    low = window_minima(h, length - gram + 1)
     first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+    counts = np.diff(np.append(first, len(low)))
+    # equal windows of one run have their first anchors at different places, so one of those lies before the last window
+    leads = np.concatenate([[0], np.cumsum(h[: len(low)] == low)])
+    periodic = leads[first + counts - 1] > leads[first]
     # a long run (one string over and over) is cut, so a piece stays short
     most = length - gram + 1
-    counts = np.diff(np.append(first, len(low)))
     times = -(-counts // most)
     step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
     n = np.minimum(most, np.repeat(counts, times) - step * most)
-    return np.repeat(first, times) + step * most, n, np.repeat(low[first], times).view(np.int64)
+    return np.repeat(first, times) + step * most, n, np.repeat(low[first], times).view(np.int64), np.repeat(periodic, times)
 
 
 class RunIndex:
@@ -173,7 +178,7 @@ def flagged_spans(flags: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarra
 
 
 def find_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """doc_id, th, anchor, first, n of all runs of windows."""
+    """doc_id, th, anchor, first, n, periodic of all runs of windows."""
     rows = docs.select("doc_id", text_key().alias("th"), "text").where(F.octet_length("text") >= length)
 
     def run(batches):
@@ -181,12 +186,13 @@ def find_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
             found = [window_runs(t, length, gram) for t in utf8_list(b.column(2))]
             times = np.array([len(f[0]) for f in found])
             at = pa.array(np.repeat(np.arange(len(found)), times))
-            first, n, anchor = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3))
+            first, n, anchor, periodic = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(4))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(at), b.column(1).take(at), pa.array(anchor), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], ["doc_id", "th", "anchor", "first", "n"]
+                [b.column(0).take(at), b.column(1).take(at), pa.array(anchor), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(periodic.astype(bool))],
+                ["doc_id", "th", "anchor", "first", "n", "periodic"],
             )
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, th long, anchor long, first int, n int")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, th long, anchor long, first int, n int, periodic boolean")
 
 
 def cut_pieces(docs: DataFrame, runs: DataFrame, length: int) -> DataFrame:
@@ -228,7 +234,7 @@ def index_pieces(pieces: DataFrame, length: int, batch_bytes: int) -> DataFrame:
 
         def out():
             parts = list(held)
-            flags = RunIndex(parts).repeats(length) if len(parts) > 1 or len(parts[0]) > length else [np.zeros(max(0, len(parts[0]) - length + 1), bool)]
+            flags = RunIndex(parts).repeats(length)
             ids, keys, los, his = [], [], [], []
             for piece, flag in zip(parts, flags):
                 places = held[piece]
@@ -281,7 +287,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
     """doc_id, th, lo, hi: byte spans covered by strings of ``length`` bytes that start elsewhere too; spans may overlap."""
     prepare(session(docs))
     runs = materialise(find_runs(docs, length, gram), "repeat-runs")
-    counts = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("anchor", (F.col("times") > hot).alias("hot"))
+    counts = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("times"), F.max("periodic").alias("periodic")).where("times > 1 or periodic").select("anchor", (F.col("times") > hot).alias("hot"))
     pieces = materialise(cut_pieces(docs, runs.join(counts, "anchor"), length), "repeat-pieces")
     spans = index_pieces(pieces.where("not hot"), length, batch_bytes)
     if not pieces.where("hot").isEmpty():
