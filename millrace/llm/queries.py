@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op9_bpe
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .langid import op2_language_id
+from .media import op6_media_tiff
 from .mixing import op3_mixing
 from .simhash import op5_simhash
 from .suffix_dedup import op4_suffix_dedup
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_simhash": op5_simhash,
+    "op6_media_tiff": op6_media_tiff,
     "op7_token_files": op7_token_files,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_bpe": op9_bpe,
