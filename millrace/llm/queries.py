@@ -7,11 +7,13 @@ from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .langid import op2_language_id
 from .media import op6_media_tiff
 from .mixing import op3_mixing
+from .quality import op1_quality
 from .simhash import op5_simhash
 from .suffix_dedup import op4_suffix_dedup
 from .token_files import op7_token_files
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_language_id": op2_language_id,
     "op3_mixing": op3_mixing,
     "op4_suffix_dedup": op4_suffix_dedup,
