@@ -21,6 +21,8 @@ unless named in ``keep``.
 from __future__ import annotations
 
 import json
+import re
+import string
 from array import array
 from functools import lru_cache
 
@@ -35,9 +37,12 @@ from tokenizers import normalizers
 from .common import documents, prepare, session, utf8_list
 
 #: What a worker remembers before it starts a table anew: pieces between white space, and words within them.
-MEMORY_PIECES, MEMORY_WORDS = 400_000, 1_000_000
+MEMORY_PIECES, MEMORY_WORDS = 500_000, 800_000
 #: Answers about pairs of tokens.
 MEMORY_PAIRS = 300_000
+SIGNS = re.compile(rb"[!-/:-@\[-`{-~]{2}")
+#: UTF-8 of letters from U+0300 on; below, no letter composes with another.
+FAR = re.compile(rb"[\xcc-\xff]")
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -53,6 +58,19 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
+class Pairs(dict):
+    """Which tokens may stand side by side; at most ``MEMORY_PAIRS`` answers."""
+
+    def __init__(self, holds):
+        self.holds = holds
+
+    def __missing__(self, pair: tuple[int, int]) -> bool:
+        if len(self) >= MEMORY_PAIRS:
+            self.clear()
+        made = self[pair] = self.holds(*pair)
+        return made
+
+
 class _Words:
     """Encodes words (byte sequences) with one vocabulary.
 
@@ -85,9 +103,9 @@ class _Words:
             self.shorter[t] = next((ids[s[:n]] for n in range(len(s) - 1, 0, -1) if s[:n] in ids), None)
         self.find = ahocorasick.Automaton()
         for t, s in spelled.items():
-            self.find.add_word(s, (t, len(s)))
+            self.find.add_word(s, t)
         self.find.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs = Pairs(self.seam_holds)
 
     def seam_holds(self, left: int, right: int) -> bool:
         """Whether merging leaves a seam between these two tokens.
@@ -112,9 +130,9 @@ class _Words:
     def encode(self, word: bytes) -> list[int]:
         s = word[:-1].decode("latin-1") + chr(word[-1] + self.lifted)
         longest = [0] * len(s)
-        for end, (t, n) in self.find.iter(s):
-            longest[end + 1 - n] = t  # later matches from a place are longer
         size, shorter, pairs = self.size, self.shorter, self.pairs
+        for end, t in self.find.iter(s):
+            longest[end + 1 - size[t]] = t  # later matches from a place are longer
         out: list[int] = []
         dead: set[int] = set()
         at, t = 0, longest[0]
@@ -122,11 +140,7 @@ class _Words:
             end = at + size[t]
             if end not in dead:
                 if out:
-                    fits = pairs.get(pair := (out[-1], t))
-                    if fits is None:
-                        if len(pairs) > MEMORY_PAIRS:
-                            pairs.clear()
-                        fits = pairs[pair] = self.seam_holds(*pair)
+                    fits = pairs[out[-1], t]
                 else:
                     fits = True
                 if fits:
@@ -144,13 +158,13 @@ class _Words:
 
 
 class Memory(dict):
-    """Packed ids by white-space separated piece; at most ``MEMORY_PIECES`` pieces."""
+    """Packed ids by white-space separated piece; at most ``most`` pieces."""
 
-    def __init__(self, make):
-        self.make = make
+    def __init__(self, make, most: int):
+        self.make, self.most = make, most
 
     def __missing__(self, piece: bytes) -> bytes:
-        if len(self) >= MEMORY_PIECES:
+        if len(self) >= self.most:
             self.clear()
         made = self[piece] = self.make(piece)
         return made
@@ -178,7 +192,7 @@ class Codec:
         self.code = "H" if self.kind.itemsize == 2 else "I"
         self.nfc, self.lower = normalizers.NFC().normalize_str, normalizers.Lowercase().normalize_str
         self.seen: dict[str, bytes] = {}
-        self.memory = Memory(self._piece)
+        self.memory = Memory(self._piece, MEMORY_PIECES)
         # the offset table: token t's text is table[offset[t] : offset[t + 1]], a blank included
         texts = [b""] * (max(*vocab.values(), *self.special.values(), 0) + 1)
         for token, t in [*vocab.items(), *self.special.items()]:
@@ -196,11 +210,11 @@ class Codec:
 
     def _piece(self, piece: bytes) -> bytes:
         text = piece.decode()
-        if self.plain and text.isascii():
-            if text.isalpha():
-                return self._word(text.lower())
-            if text[:-1].isalpha() and text[-1] in ",.;:!?|":
-                return self._word(text[:-1].lower()) + self._word(text[-1])
+        if self.plain and not FAR.search(piece):
+            core = text.rstrip(string.punctuation)
+            low = core.lower()
+            if low.isalpha():
+                return self._word(low) + self._word(text[len(core) :]) if len(core) < len(text) else self._word(low)
         out = []
         for part in self.mark.split(text) if self.mark and "<" in text else [text]:
             if part in self.special:
@@ -211,10 +225,13 @@ class Codec:
 
     def _normal(self, part: str) -> str:
         """NFC, then lower case letter by letter (a final sigma stays a sigma)."""
-        return part.lower() if part.isascii() else self.lower(self.nfc(part))
+        return part.lower() if max(part, default="") < "\u0300" else self.lower(self.nfc(part))
 
     def encode(self, text: bytes) -> np.ndarray:
         """The ids of a UTF-8 text. bytes.split() cuts at the six ASCII white-space characters, which no token holds."""
+        if self.plain and not SIGNS.search(text) and not FAR.search(text):
+            # no two signs side by side: commas and stops are words of their own, so more pieces are alike
+            text = text.lower().replace(b",", b" , ").replace(b".", b" . ")
         return np.frombuffer(b"".join(map(self.memory.__getitem__, text.split())), self.kind)
 
     def decode(self, ids: np.ndarray) -> bytes:

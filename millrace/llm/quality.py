@@ -69,7 +69,7 @@ def measures(text: bytes) -> dict[str, float]:
 LABELLERS = {
     "marked words": lambda m: _vote(m["marked"], 0.02, 0.15),
     "bars": lambda m: _vote(m["bars"], 0.0, 0.1),
-    "capitals": lambda m: _vote(m["upper"], 0.15, 0.4),
+    "capitals": lambda m: NONE if m["words"] < 8 else _vote(m["upper"], 0.15, 0.4),
     "shouting": lambda m: _vote(m["shouts"], 0.02, 0.15),
     "word repeated at once": lambda m: _vote(m["repeats"], 0.04, 0.15),
     "few different words": lambda m: NONE if m["words"] < 20 else _vote(m["same"] - min(0.25, m["words"] / 4000), 0.5, 0.7),
