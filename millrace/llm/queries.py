@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op9_bpe
+from .chat import op10_chat
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .langid import op2_language_id
 from .media import op6_media_tiff
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_token_files": op7_token_files,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_bpe": op9_bpe,
+    "op10_chat": op10_chat,
 }
 
 ORACLE_SQL = {"op8_exact_dedup": OP8_SQL}
