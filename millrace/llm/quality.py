@@ -73,7 +73,7 @@ LABELLERS = {
     "shouting": lambda m: _vote(m["shouts"], 0.02, 0.15),
     "word repeated at once": lambda m: _vote(m["repeats"], 0.04, 0.15),
     "few different words": lambda m: NONE if m["words"] < 20 else _vote(m["same"] - min(0.25, m["words"] / 4000), 0.5, 0.7),
-    "signs among letters": lambda m: _vote(m["signs"], 0.05, 0.12),
+    "signs among letters": lambda m: _vote(m["signs"], 0.04, 0.07),
     "sentence ends": lambda m: NONE if m["words"] < 20 else _vote(-m["ends"], -0.05, -0.02),
 }
 
@@ -102,8 +102,10 @@ def estimate(counts: dict[int, int], rounds: int = 200) -> dict[int, float]:
         prior = (n * good).sum() / n.sum()
         odds = np.full(len(n), np.log(prior + 1e-9) - np.log(1 - prior + 1e-9))
         for i in range(k):
+            # a labeller without an opinion says nothing
             share = np.stack([np.bincount(votes[:, i], n * w, 3) + 0.5 for w in (good, 1 - good)])
-            share /= share.sum(1, keepdims=True)
+            share[:, NONE] = share[:, [GOOD, BAD]].sum(1)
+            share /= share[:, [NONE]]
             odds += np.log(share[0] / share[1])[votes[:, i]]
         new = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
         if np.abs(new - good).max() < 1e-7:
