@@ -146,15 +146,17 @@ def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame
     cells = materialise(cells.withColumn("parts", F.when(F.col("total") <= tile, 0).otherwise(F.ceil(F.col("n") / tile)).cast("int")), "simhash-cells")
 
     dealt = banded.join(cells, ["band", "value", "pop"])
-    whole = dealt.where("parts = 0").select(F.xxhash64("band", "value").alias("place"), F.lit(0).alias("side"), "fp")
+    # the lowest bit of a place tells comparisons within a side from those between two: should two places collide, no link is lost
+    whole = dealt.where("parts = 0").select(F.shiftleft(F.xxhash64("band", "value"), 1).alias("place"), F.lit(0).alias("side"), "fp")
     # larger band values: tiles by population count and part; only near tiles are paired
     tiles = cells.where("parts > 0").select("band", "value", "pop", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     other = tiles.select("band", "value", F.col("pop").alias("pop2"), F.col("part").alias("part2"))
     near = (F.col("pop2") - F.col("pop")).between(0, radius) & ((F.col("pop2") > F.col("pop")) | (F.col("part2") >= F.col("part")))
     pairs = materialise(tiles.join(other, ["band", "value"]).where(near), "simhash-pairs")
-    place = F.xxhash64("band", "value", "pop", "part", "pop2", "part2")
+    two_sided = (F.col("pop") != F.col("pop2")) | (F.col("part") != F.col("part2"))
+    place = F.shiftleft(F.xxhash64("band", "value", "pop", "part", "pop2", "part2"), 1).bitwiseOR(two_sided.cast("long"))
     roles = pairs.select("band", "value", "pop", "part", place.alias("place"), F.lit(0).alias("side")).unionByName(
-        pairs.where("pop <> pop2 or part <> part2").select("band", "value", F.col("pop2").alias("pop"), F.col("part2").alias("part"), place.alias("place"), F.lit(1).alias("side"))
+        pairs.where(two_sided).select("band", "value", F.col("pop2").alias("pop"), F.col("part2").alias("part"), place.alias("place"), F.lit(1).alias("side"))
     )
     parted = dealt.where("parts > 0").withColumn("part", F.expr("cast(pmod(xxhash64(fp), parts) as int)"))
     met = whole.unionByName(parted.join(roles, ["band", "value", "pop", "part"]).select("place", "side", "fp"))
