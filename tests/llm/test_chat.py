@@ -6,8 +6,8 @@ from millrace.llm import chat as C
 
 
 @pytest.fixture(scope="module")
-def lines(spark, docs, folder):
-    return C.transcripts(spark.read.parquet(f"{folder}/conversations.parquet"))
+def lines(spark, docs):
+    return C.transcripts(spark.read.parquet("/root/testdata/sf0.01/conversations.parquet"))
 
 
 @pytest.fixture(scope="module")
