@@ -99,6 +99,9 @@ def fit(sizes: np.ndarray, counts: np.ndarray, budget: int, seed: int = SEED) ->
         return np.zeros(len(sizes), np.int64)
     if budget >= total:
         return counts.copy()
+    if 2 * budget > total:
+        # what stays out is fitted instead: there is more room among it than would be left
+        return counts - fit(sizes, counts, total - budget, seed)
     taken = counts * budget // total if int(counts.max()) * budget < 1 << 62 else np.array([int(c) * budget // total for c in counts])
     left = budget - int((sizes * taken).sum())
     for i in np.random.default_rng(seed).permutation(len(sizes)).tolist():
