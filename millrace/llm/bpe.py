@@ -42,7 +42,7 @@ MEMORY_PIECES, MEMORY_WORDS = 500_000, 800_000
 MEMORY_PAIRS = 300_000
 #: A comma or stop beside anything but white space, ASCII letters and digits, or letters of U+00C0 to U+00FF.
 NEAR = rb"[\x09-\x0d A-Za-z0-9]", rb"\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]"
-SIGNS = re.compile(rb"(?<!%b)(?<!%b)[.,]|[.,](?!%b|%b|\Z)" % (*NEAR, *NEAR))
+SIGNS = re.compile(rb"[.,](?:(?<!%b[.,])(?<!%b[.,])|(?!%b|%b|\Z))" % (*NEAR, *NEAR))
 #: UTF-8 of letters from U+0300 on; below, no letter composes with another.
 FAR = re.compile(rb"[\xcc-\xff]")
 
@@ -231,7 +231,7 @@ class Codec:
 
     def encode(self, text: bytes) -> np.ndarray:
         """The ids of a UTF-8 text. bytes.split() cuts at the six ASCII white-space characters, which no token holds."""
-        if self.plain and not SIGNS.search(text) and not FAR.search(text):
+        if self.plain and (text.isascii() or not FAR.search(text)) and not SIGNS.search(text):
             # commas and stops are words of their own here, so more pieces are alike
             text = text.lower().replace(b",", b" , ").replace(b".", b" . ")
         return np.frombuffer(b"".join(map(self.memory.__getitem__, text.split())), self.kind)
