@@ -13,9 +13,8 @@ from millrace.llm.common import documents, materialise, prepare
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from all rows with a language; drops texts without a letter and texts that no language accepts."""
-    prepare(spark)
-    return langid.keep_identified(docs, langid.train(docs))
+    """Learns from all rows with a language, judges each by the others; drops texts without a letter and texts that no language accepts."""
+    return langid.keep_cross_fitted(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,13 @@ up by binary search. A text goes to the language with the lowest cross-entropy
 per character. It is rejected if that exceeds what the language's own training
 text shows by ``SLACK`` nats and ``SPREAD`` standard errors.
 
+``keep_cross_fitted`` judges the rows that the models are learned from. Rows are
+dealt into ``FOLDS`` folds by their text, so equal texts share one, and each fold
+is judged with the counts of the other folds: no text vouches for itself. A
+language's limit is the median of the entropies of its own texts, so judged,
+plus one deviation of their characters and ``SPREAD`` standard errors; medians,
+so that wrong labels do not move it.
+
 The driver holds the table of distinct sequences (not their occurrences). It is
 counted first; beyond ``MAX_ENTRIES`` rows the rarest sequences are left out of
 the model, by their counts over all data, as is usual for such models.
@@ -17,7 +24,8 @@ Cases: text that is null or has no letter gives ``und`` with score 0 and is
 rejected; ties go to the first language by name; rows are independent, so
 repeated rows agree; without any training text all is ``und`` and only texts
 without a letter are rejected; a null doc_id is not held out and not learned
-from; other columns are ignored.
+from; other columns are ignored; a language with texts in one fold only has no
+other text to vouch for them, so the remaining languages judge them.
 """
 
 from __future__ import annotations
@@ -35,6 +43,7 @@ from .common import documents, materialise, prepare, session
 ORDER = 4
 MAX_ENTRIES = 4_000_000
 SLACK, SPREAD = 1.5, 6.0
+FOLDS = 4
 #: The score is a softmax of cross-entropies over this many characters at most.
 SCORE_CHARS = 100
 UNKNOWN = "und"
@@ -64,13 +73,19 @@ def sequences(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return packed[~border], where[~border]
 
 
-def count_sequences(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """lang, seq (packed), n over all rows of ``docs`` that have a text and a language."""
+def fold_of(text: str = "text"):
+    """The fold of a row; equal texts have the same."""
+    return (F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")) % FOLDS).cast("int")
+
+
+def count_sequences(docs: DataFrame, text: str = "text", lang: str = "lang", fold=None) -> DataFrame:
+    """fold (0 unless a column is given), lang, seq (packed), n over all rows of ``docs`` that have a text and a language."""
     prepare(session(docs))
-    rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
+    rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), (F.lit(0) if fold is None else fold).alias("fold"))
+    rows = rows.where("lang is not null and text is not null")
 
     def run(batches):
-        held: dict[str, list] = {}
+        held: dict[tuple, list] = {}
         size = 0
 
         def merged():
@@ -79,13 +94,16 @@ def count_sequences(docs: DataFrame, text: str = "text", lang: str = "lang") ->
                 yield name, seq, np.bincount(at, np.concatenate([p[1] for p in parts])).astype(np.int64)
 
         def out():
-            for name, seq, n in merged():
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(seq), pa.string()), pa.array(seq.view(np.int64)), pa.array(n)], ["lang", "seq", "n"])
+            for (name, fold), seq, n in merged():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([fold] * len(seq), pa.int32()), pa.array([name] * len(seq), pa.string()), pa.array(seq.view(np.int64)), pa.array(n)],
+                    ["fold", "lang", "seq", "n"],
+                )
 
         for batch in batches:
-            names = np.array(batch.column(0).to_pylist(), object)
+            names = list(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()))
             texts = batch.column(1).to_pylist()
-            for name in set(names.tolist()):
+            for name in set(names):
                 seq, _ = sequences([t for t, o in zip(texts, names) if o == name])
                 seq, n = np.unique(seq, return_counts=True)
                 held.setdefault(name, []).append((seq, n))
@@ -98,7 +116,7 @@ def count_sequences(docs: DataFrame, text: str = "text", lang: str = "lang") ->
                     held, size = {}, 0
         yield from out()
 
-    return rows.mapInArrow(run, "lang string, seq long, n long").groupBy("lang", "seq").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(run, "fold int, lang string, seq long, n long").groupBy("fold", "lang", "seq").agg(F.sum("n").alias("n"))
 
 
 def sorted_lookup(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,6 +187,15 @@ class Model:
         out[rest] += np.log(self.floor)
         return out
 
+    def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per text: cross-entropy per character and variance of its characters' for each language, and characters."""
+        packed, where = sequences(texts)
+        logp, n_texts = self.log_probabilities(packed).astype(float), len(texts)
+        chars = np.bincount(where, minlength=n_texts)
+        n = np.maximum(chars, 1)[:, None]
+        h, squares = (np.stack([np.bincount(where, x[:, i], n_texts) for i in range(len(self.langs))], 1) / n for x in (-logp, logp**2))
+        return h, np.maximum(squares - h**2, 0), chars
+
     def judge(self, texts: list[str]) -> list[tuple[str, float, float, bool]]:
         """Per text: language, score, cross-entropy per character, rejected."""
         n_texts, width = len(texts), len(self.langs)
@@ -197,7 +224,13 @@ HAS_LETTER = regex.compile(r"\p{L}")
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", max_entries: int = MAX_ENTRIES) -> Model:
     """A model from all rows of ``docs`` that have a text and a language."""
-    counted = materialise(count_sequences(docs, text, lang), "langid-counts")
+    table = fetched(count_sequences(docs, text, lang), max_entries)
+    return Model(by_language(table))
+
+
+def fetched(counted: DataFrame, max_entries: int = MAX_ENTRIES):
+    """The counts on the driver, at most ``max_entries`` rows."""
+    counted = materialise(counted, "langid-counts")
     if counted.count() > max_entries:
         # the rarest go: a histogram of counts tells where to cut
         kept, least = 0, None
@@ -206,13 +239,23 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", max_entries:
                 break
             kept, least = kept + r["count"], r["n"]
         counted = counted.where(F.col("n") >= (least if least is not None else 1 << 62))
-    table = counted.toPandas()  # at most max_entries rows
+    return counted.toPandas()
+
+
+def by_language(table) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     counts = {}
     for name, part in table.groupby("lang"):
         seq, n = part["seq"].to_numpy(np.int64).view(np.uint64), part["n"].to_numpy(np.float64)
         order = np.argsort(seq)
         counts[name] = (seq[order], n[order])
-    return Model(counts)
+    return counts
+
+
+def train_folds(docs: DataFrame, text: str = "text", lang: str = "lang") -> list[Model]:
+    """For each fold a model from the rows of the other folds."""
+    table = fetched(count_sequences(docs, text, lang, fold_of(text)))
+    others = (table[table["fold"] != k].groupby(["lang", "seq"], as_index=False)["n"].sum() for k in range(FOLDS))
+    return [Model(by_language(x)) for x in others]
 
 
 def identify(docs: DataFrame, model: Model, keep: tuple = ("doc_id",), text: str = "text") -> DataFrame:
@@ -247,6 +290,57 @@ def keep_identified(docs: DataFrame, model: Model, text: str = "text") -> DataFr
     return docs.mapInArrow(run, docs.schema)
 
 
+#: What judging a row with its fold's model finds: language, its entropy and the characters; what the model's own
+#: text shows; entropy and variance of characters by the row's own language.
+FOUND = "__lang string, __h double, __chars long, __mean double, __deviation double, __own double, __variance double"
+
+
+def cross_judged(docs: DataFrame, models: list[Model], text: str = "text", lang: str = "lang") -> DataFrame:
+    """The columns of ``docs`` and of ``FOUND``. __lang is ``UNKNOWN`` where there is no model, null where there is no letter."""
+    shared, names = session(docs).sparkContext.broadcast(models), docs.columns
+    rows = docs.select("*", fold_of(text).alias("__fold"), F.col(lang).cast("string").alias("__given"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    fields = pa.schema([("__lang", pa.string()), ("__h", pa.float64()), ("__chars", pa.int64())] + [(x, pa.float64()) for x in ("__mean", "__deviation", "__own", "__variance")])
+
+    def run(batches):
+        for b in batches:
+            fold, given, texts = (b.column(len(names) + i).to_pylist() for i in range(3))
+            found = [(None,) * len(fields)] * len(texts)
+            for k in set(fold):
+                at = [i for i, f in enumerate(fold) if f == k and HAS_LETTER.search(texts[i])]
+                model = shared.value[k]
+                if not model.langs:
+                    for i in at:
+                        found[i] = (UNKNOWN, *(None,) * (len(fields) - 1))
+                    continue
+                h, variance, chars = model.entropies([texts[i] for i in at])
+                place = {x: j for j, x in enumerate(model.langs)}
+                for r, i in enumerate(at):
+                    j, own = int(h[r].argmin()), place.get(given[i])
+                    of_own = (None, None) if own is None else (float(h[r, own]), float(variance[r, own]))
+                    found[i] = (model.langs[j], float(h[r, j]), int(chars[r]), float(model.mean[j]), float(model.deviation[j]), *of_own)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], *(pa.array(x, f.type) for x, f in zip(zip(*found), fields))] if found else [*b.columns[: len(names)], *(pa.array([], f.type) for f in fields)], [*names, *fields.names])
+
+    return rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", " + FOUND)
+
+
+def accepted(judged: DataFrame, lang: str = "lang") -> DataFrame:
+    """The rows of ``judged`` (with the columns of ``FOUND``) within their language's limit."""
+    own = judged.where("__own is not null").groupBy(F.col(lang).cast("string").alias("__limited"))
+    # one row per language
+    limits = own.agg(F.percentile_approx("__own", 0.5, 10000).alias("__middle"), F.sqrt(F.percentile_approx("__variance", 0.5, 10000)).alias("__wide"))
+    middle, wide = F.coalesce("__middle", "__mean"), F.coalesce("__wide", "__deviation")
+    limit = middle + wide * (1 + SPREAD / F.sqrt(F.greatest("__chars", F.lit(1))))
+    within = judged.join(F.broadcast(limits), F.col("__lang") == F.col("__limited"), "left")
+    return within.where((F.col("__lang") == UNKNOWN) & F.col("__h").isNull() | (F.col("__h") <= limit))
+
+
+def keep_cross_fitted(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of ``docs`` whose text some language accepts by what the other folds teach, all columns unchanged."""
+    prepare(session(docs))
+    judged = materialise(cross_judged(docs, train_folds(docs, text, lang), text, lang), "langid-judged")
+    return accepted(judged, lang).select(*[f"`{c}`" for c in docs.columns])
+
+
 def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 

@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline as P
 from millrace.llm import bpe
 
@@ -30,3 +32,13 @@ def test_odd_rows(spark, odd, empty):
             table = spark.createDataFrame(stage(spark, table, None).collect(), df.schema)
             assert table.columns == df.columns
         P.STAGES[-1][1](spark, table, None).collect()
+
+
+def test_a_labelled_text_does_not_vouch_for_itself(spark, folder, docs):
+    draw = random.Random(3)
+    noise = ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(2000)) for _ in range(3)]
+    italian = "Quando il sole scende dietro le colline, gli uomini tornano dai campi e le donne chiudono le finestre delle case; nessuno parla più del viaggio che doveva cominciare ieri mattina."
+    bad = [noise[0], noise[0], noise[1], noise[2], italian, "это совсем другой язык и другие буквы, которых нигде больше нет в таблице"]
+    rows = [(900000 + i, t, lang, "a", len(t)) for i, (t, lang) in enumerate(zip(bad, ["en", "en", "de", "fr", "es", "en"]))]
+    kept = P.language_id(spark, docs.unionByName(spark.createDataFrame(rows, docs.schema)), folder)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in docs.collect())
