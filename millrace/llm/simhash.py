@@ -91,7 +91,7 @@ def forest(x: np.ndarray, y: np.ndarray | None, radius: int) -> np.ndarray:
 
 
 def compare_tiles(tiles: DataFrame, radius: int) -> DataFrame:
-    """tiles: place (long), side (0 or 1), fp. Links a, b between the nodes of each place; sides are compared with each other."""
+    """tiles: place (long, odd if it has two sides), side (0 or 1), fp. Links a, b between the nodes of each place; sides are compared with each other."""
 
     def groups(batches):
         held: list[tuple] = []
@@ -112,10 +112,14 @@ def compare_tiles(tiles: DataFrame, radius: int) -> DataFrame:
         for held in groups(batches):
             side, fp = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held]).view(np.uint64)
             one, two = fp[side == 0], fp[side == 1]
-            if len(two) == 0:
-                two = None
-            if len(one) * len(one if two is None else two) < 2:
+            # the lowest bit of a place tells that it has two sides
+            if held[0][0][0] & 1:
+                if not len(one) or not len(two):
+                    continue
+            elif len(one) < 2:
                 continue
+            else:
+                two = None
             pairs = forest(one, two, radius)
             every = one if two is None else np.concatenate([one, two])
             found.append(every[pairs].view(np.int64))

@@ -51,3 +51,11 @@ def test_a_chain_is_one_component(spark):
     pairs = spark.createDataFrame([(i, i + 1) for i in range(1, 200)] + [(1000, 1001)], "a long, b long")
     got = {r.node: r.root for r in S.stars(pairs).collect()}
     assert got == {i: 1 for i in range(2, 201)} | {1001: 1000}
+
+
+def test_single_nodes_of_a_large_band_value_meet(spark):
+    # the lowest band is zero in all; the pair differs in both other bands and each is alone with its population count
+    many = [((1 << 10 + i % 5) - 1) << 23 | ((1 << 8) - 1) << 44 + i // 5 for i in range(40)]
+    nodes = spark.createDataFrame([(x,) for x in [0, 1 << 21 | 1 << 42, *many]], "fp long")
+    for tile in (4, 16, 1024):
+        assert (0, 1 << 21 | 1 << 42) in {(r.a, r.b) for r in S.links(nodes, tile=tile).collect()}
