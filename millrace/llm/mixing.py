@@ -92,6 +92,11 @@ def knapsack(sizes: np.ndarray, room: np.ndarray, budget: int) -> np.ndarray:
     return taken
 
 
+def shares(counts: np.ndarray, budget: int, total: int) -> np.ndarray:
+    """``counts`` times ``budget / total``, rounded down."""
+    return counts * budget // total if int(counts.max()) * budget < 1 << 62 else np.array([int(c) * budget // total for c in counts])
+
+
 def fit(sizes: np.ndarray, counts: np.ndarray, budget: int, seed: int = SEED) -> np.ndarray:
     """How many documents of each size to take for ``budget`` words: proportional shares, then an exact fit."""
     total = int((sizes * counts).sum())
@@ -102,15 +107,25 @@ def fit(sizes: np.ndarray, counts: np.ndarray, budget: int, seed: int = SEED) ->
     if 2 * budget > total:
         # what stays out is fitted instead: there is more room among it than would be left
         return counts - fit(sizes, counts, total - budget, seed)
-    taken = counts * budget // total if int(counts.max()) * budget < 1 << 62 else np.array([int(c) * budget // total for c in counts])
+    taken = shares(counts, budget, total)
     left = budget - int((sizes * taken).sum())
-    for i in np.random.default_rng(seed).permutation(len(sizes)).tolist():
-        if left <= FIT_WORDS:
+    order = np.random.default_rng(seed).permutation(len(sizes)).tolist()
+    while left > FIT_WORDS:
+        for i in order:
+            if left <= FIT_WORDS:
+                break
+            if taken[i] < counts[i] and sizes[i] <= left:
+                taken[i] += 1
+                left -= int(sizes[i])
+        # documents too long for what is left leave their share to the others
+        room = np.where((sizes > 0) & (sizes <= left), counts - taken, 0)
+        total = int((sizes * room).sum())
+        if left <= FIT_WORDS or total == 0:
             break
-        if taken[i] < counts[i] and sizes[i] <= left:
-            taken[i] += 1
-            left -= int(sizes[i])
-    if 0 < left <= 4 * FIT_WORDS:
+        more = room if total <= left else shares(room, left, total)
+        taken = taken + more
+        left -= int((sizes * more).sum())
+    if 0 < left <= FIT_WORDS:  # else no document fits
         taken = taken + knapsack(sizes, counts - taken, left)
     return taken
 

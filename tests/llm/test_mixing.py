@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -74,3 +75,13 @@ def test_fit_is_exact_on_a_large_histogram():
     for budget in (1, 999, 1_234_567, int((sizes * counts).sum()) - 1):
         taken = M.fit(sizes, counts, budget)
         assert (taken <= counts).all() and int((taken * sizes).sum()) == budget
+
+
+@pytest.mark.parametrize(
+    "sizes, counts, budget, reached",
+    [([100, 400_000], [4000, 1], 400_000, 400_000), ([100, 400_000], [4000, 1], 600_000, 600_000), ([7, 300_000, 900_000], [400_000, 2, 1], 1_500_003, 1_500_003), ([0, 100, 10**9], [5, 4000, 1], 399_950, 399_900)],
+)
+def test_a_very_long_document_leaves_no_gap(sizes, counts, budget, reached):
+    sizes, counts = np.array(sizes), np.array(counts)
+    taken = M.fit(sizes, counts, budget)
+    assert (taken >= 0).all() and (taken <= counts).all() and (sizes * taken).sum() == reached
