@@ -189,6 +189,7 @@ class Codec:
         self.plain = r"|[\p{L}]+|" in pattern and r"[^\s\p{L}\p{N}]+" in pattern
         self.split = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
         self.mark = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+        self.leads = {x.lower().encode()[:2] for x in self.special}
         self.encode_word = library_words(path) if library else _Words(spec["model"]).encode
         self.kind = np.dtype("<u2" if max(*vocab.values(), *self.special.values(), 0) < 65536 else "<u4")
         self.code = "H" if self.kind.itemsize == 2 else "I"
@@ -233,7 +234,9 @@ class Codec:
         """The ids of a UTF-8 text. bytes.split() cuts at the six ASCII white-space characters, which no token holds."""
         if self.plain and (text.isascii() or not FAR.search(text)) and not SIGNS.search(text):
             # commas and stops are words of their own here, so more pieces are alike
-            text = text.lower().replace(b",", b" , ").replace(b".", b" . ")
+            low = text.lower()
+            if not any(x in low for x in self.leads):  # special tokens are matched in their own case
+                text = low.replace(b",", b" , ").replace(b".", b" . ")
         return np.frombuffer(b"".join(map(self.memory.__getitem__, text.split())), self.kind)
 
     def decode(self, ids: np.ndarray) -> bytes:

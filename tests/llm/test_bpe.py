@@ -81,3 +81,14 @@ def test_tables_stay_bounded(monkeypatch):
     small, large = bpe.Codec(bpe.vocabulary_path()), bpe.codec(bpe.vocabulary_path())
     text = b"one two three four five six seven one two eight nine ten one"
     assert np.array_equal(small.encode(text), large.encode(text)) and len(small.memory) <= 5 and len(small.seen) <= 5
+
+
+@pytest.mark.parametrize("text", ["a <|ENDOFTEXT|> b", "<|EndOfText|>", "so it ends<|endoftext|>, or not <|ENDoftext|>.", "<|STARTOFTEXT|>Hello, world. <|startoftext|>"])
+def test_special_tokens_in_another_case_are_text(text):
+    check(text)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["a", "B", " ", ",", ".", "<|", "|>", "<|EndOfText|>", "<|ENDOFTEXT|>", "<|endoftext|>", "<|StartOfText|>", "é", "ひ"]), max_size=12).map("".join))
+def test_special_tokens_of_any_case_equal_the_library(text):
+    check(text)
