@@ -16,9 +16,11 @@ language's limit is the median of the entropies of its own texts, so judged,
 plus one deviation of their characters and ``SPREAD`` standard errors; medians,
 so that wrong labels do not move it.
 
-The driver holds the table of distinct sequences (not their occurrences). It is
-counted first; beyond ``MAX_ENTRIES`` rows the rarest sequences are left out of
-the model, by their counts over all data, as is usual for such models.
+Distinct sequences (not their occurrences) are counted first. Up to
+``MAX_ENTRIES`` of them the model is held by the driver and broadcast
+(``Model``); beyond, the same model is built and looked up by joins
+(``Tables``), with all its counts. ``train`` alone prunes: with a bound, the
+rarest sequences go, for callers that want a model in memory at any price.
 
 Cases: text that is null or has no letter gives ``und`` with score 0 and is
 rejected; ties go to the first language by name; rows are independent, so
@@ -251,16 +253,139 @@ def by_language(table) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     return counts
 
 
-def train_folds(docs: DataFrame, text: str = "text", lang: str = "lang") -> list[Model]:
-    """For each fold a model from the rows of the other folds."""
-    table = fetched(count_sequences(docs, text, lang, fold_of(text)))
+class Tables:
+    """The models of ``Model`` as tables in the shared folder. The driver has one row per fold and language.
+
+    counted: fold (whose texts the model judges), lang, seq, n.
+    """
+
+    def __init__(self, counted: DataFrame):
+        by_order = {ORDER: counted.select("fold", "lang", "seq", F.col("n").alias("c"))}
+        for n in range(ORDER - 1, 0, -1):
+            kinds = by_order[n + 1].groupBy("fold", "lang", self.ending(n).alias("seq")).agg(F.count(F.lit(1)).alias("c"))
+            by_order[n] = materialise(kinds, f"langid-counts-{n}")
+        self.floor = materialise(by_order[1].groupBy("fold").agg((1 / (F.countDistinct("seq") + 1)).alias("floor")), "langid-floor")
+        self.keys, self.contexts, p = {}, {}, None
+        name = ["fold", "lang"]
+        for n in range(1, ORDER + 1):
+            once, twice = (F.sum((F.col("c") == k).cast("long")) for k in (1, 2))
+            share = F.when(once > 0, once / (once + 2 * twice)).otherwise(0.5)
+            discounts = by_order[n].groupBy(*name).agg(F.least(F.lit(0.95), F.greatest(F.lit(0.05), share)).alias("d"))
+            own = by_order[n].groupBy(*name, self.context(n).alias("context")).agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("kinds"))
+            own = materialise(own.join(F.broadcast(discounts), name).withColumn("back", F.col("d") * F.col("kinds") / F.col("total")), f"langid-contexts-{n}")
+            rows = by_order[n].withColumn("context", self.context(n)).join(own if n > 1 else F.broadcast(own), [*name, "context"])
+            if n == 1:
+                rows = rows.join(F.broadcast(self.floor), "fold").withColumnRenamed("floor", "below")
+            else:
+                rows = rows.withColumn("end", self.ending(n - 1)).join(p.select(*name, F.col("seq").alias("end"), F.col("p").alias("below")), [*name, "end"])
+            p = materialise(rows.select(*name, "seq", "c", ((F.col("c") - F.col("d")) / F.col("total") + F.col("back") * F.col("below")).alias("p")), f"langid-p-{n}")
+            self.keys[n] = self.by_name(p, "seq", "p", f"langid-keys-{n}")
+            self.contexts[n] = self.by_name(own, "context", "back", f"langid-backoff-{n}")
+        h = -F.log("p")
+        mean = F.sum(F.col("c") * h) / F.sum("c")
+        spread = F.sqrt(F.greatest(F.sum(F.col("c") * h * h) / F.sum("c") - mean * mean, F.lit(0.0)))
+        self.shown = materialise(p.groupBy(*name).agg(mean.alias("mean"), spread.alias("deviation")), "langid-shown")
+        self.folds: dict[str, list] = {}
+        for r in self.shown.select("lang", "fold").orderBy("lang", "fold").collect():
+            self.folds.setdefault(r["lang"], []).append(r["fold"])
+        self.langs = list(self.folds)
+
+    @staticmethod
+    def ending(n: int):
+        return F.col("seq") if n == ORDER else F.col("seq").bitwiseAND(F.lit((1 << 16 * n) - 1))
+
+    @classmethod
+    def context(cls, n: int):
+        return F.shiftrightunsigned(cls.ending(n), 16)
+
+    @staticmethod
+    def by_name(table: DataFrame, key: str, value: str, name: str) -> DataFrame:
+        """Per fold and key the logarithms by language."""
+        values = F.map_from_entries(F.collect_list(F.struct("lang", F.log(value).alias("v"))))
+        return materialise(table.groupBy("fold", key).agg(values.alias("v")), name)
+
+    def log_probabilities(self, wanted: DataFrame) -> DataFrame:
+        """wanted: distinct fold, seq. Adds v, an array in the order of ``langs``."""
+        for n in range(1, ORDER + 1):
+            for key, place, table, to in (("seq", self.ending(n), self.keys[n], f"p{n}"), ("context", self.context(n), self.contexts[n], f"b{n}")):
+                table = table.select("fold", F.col(key).alias("at"), F.col("v").alias(to))
+                wanted = wanted.withColumn("at", place).join(F.broadcast(table) if n == 1 else table, ["fold", "at"], "left").drop("at")
+        wanted = wanted.join(F.broadcast(self.floor), "fold", "left")
+
+        def value(lang):
+            v = F.log("floor")
+            for n in range(1, ORDER + 1):
+                v = F.coalesce(F.try_element_at(F.col(f"p{n}"), F.lit(lang)), F.coalesce(F.try_element_at(F.col(f"b{n}"), F.lit(lang)), F.lit(0.0)) + v)
+            return v
+
+        return wanted.select("fold", "seq", F.array(*map(value, self.langs)).alias("v"))
+
+    def judged(self, docs: DataFrame, fold=None, text: str = "text", lang: str | None = "lang") -> DataFrame:
+        """The columns of ``docs``, of ``FOUND``, and __score."""
+        given = F.lit(None) if lang is None else F.col(lang)
+        rows = docs.select("*", F.monotonically_increasing_id().alias("__row"), (F.lit(0) if fold is None else fold).alias("__fold"), given.cast("string").alias("__given"))
+        rows = materialise(rows.withColumn("__letter", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))), "langid-rows")  # row numbers must not change
+
+        def run(batches):
+            for b in batches:
+                ids, fold = (b.column(i).to_numpy() for i in (0, 1))
+                # a text at a time: a sequence is counted within its text
+                for i, t in enumerate(b.column(2).to_pylist()):
+                    seq, n = np.unique(sequences([t])[0], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seq), ids[i], np.int64)), pa.array(np.full(len(seq), fold[i], np.int32)), pa.array(seq.view(np.int64)), pa.array(n.astype(np.int64))], ["__row", "fold", "seq", "n"])
+
+        grams = materialise(rows.where("__letter").select("__row", "__fold", text).mapInArrow(run, "__row long, fold int, seq long, n long"), "langid-grams")
+        known = materialise(self.log_probabilities(grams.select("fold", "seq").distinct()), "langid-scored")
+        sums = [F.sum(F.col("n") * F.col("v")[i] ** k).alias(f"__{k}_{i}") for i in range(len(self.langs)) for k in (1, 2)]
+        rows = rows.join(grams.join(known, ["fold", "seq"]).groupBy("__row").agg(F.sum("n").alias("__chars"), *sums), "__row", "left")
+        rows = rows.withColumn("__chars", F.coalesce("__chars", F.lit(0)))
+        each = []
+        for i, name in enumerate(self.langs):
+            n = F.greatest("__chars", F.lit(1))
+            h, squares = -F.coalesce(f"__1_{i}", F.lit(0.0)) / n, F.coalesce(f"__2_{i}", F.lit(0.0)) / n
+            one = F.struct(h.alias("h"), F.lit(name).alias("lang"), F.greatest(squares - h * h, F.lit(0.0)).alias("variance"))
+            each.append(F.when(F.col("__fold").isin(self.folds[name]), one))
+        rows = rows.withColumn("__each", F.array_compact(F.array(*each)))
+        rows = rows.withColumn("__best", F.array_min("__each")).withColumn("__of_own", F.filter("__each", lambda x: x["lang"] == F.col("__given")))
+        own = F.when(F.col("__letter"), F.try_element_at("__of_own", F.lit(1)))
+        odds = F.aggregate("__each", F.lit(0.0), lambda total, x: total + F.exp((F.col("__best")["h"] - x["h"]) * F.least("__chars", F.lit(SCORE_CHARS))))
+        shown = self.shown.select(F.col("fold").alias("__fold"), F.col("lang").alias("__lang"), F.col("mean").alias("__mean"), F.col("deviation").alias("__deviation"))
+        rows = rows.withColumn("__lang", F.when(F.col("__letter"), F.coalesce(F.col("__best")["lang"], F.lit(UNKNOWN)))).join(F.broadcast(shown), ["__fold", "__lang"], "left")
+        return rows.select(
+            *[f"`{c}`" for c in docs.columns], "__lang", F.when(F.col("__letter"), F.col("__best")["h"]).alias("__h"), "__chars", "__mean", "__deviation",
+            own["h"].alias("__own"), own["variance"].alias("__variance"), F.when(F.col("__letter") & F.col("__best").isNotNull(), 1 / odds).otherwise(0.0).alias("__score"),
+        )
+
+
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang", max_entries: int = MAX_ENTRIES) -> Model | Tables:
+    """The model of all counts: in memory up to ``max_entries`` of them, else as tables."""
+    counted = materialise(count_sequences(docs, text, lang), "langid-counts")
+    return Model(by_language(counted.toPandas())) if counted.count() <= max_entries else Tables(counted)
+
+
+def train_folds(docs: DataFrame, text: str = "text", lang: str = "lang", max_entries: int = MAX_ENTRIES) -> list[Model] | Tables:
+    """For each fold a model from the rows of the other folds; together in memory up to ``max_entries`` counts, else as tables."""
+    counted = materialise(count_sequences(docs, text, lang, fold_of(text)), "langid-counts")
+    if counted.count() > max_entries // FOLDS:
+        own = F.map_from_entries(F.collect_list(F.struct("fold", "n")))
+        every = counted.groupBy("lang", "seq").agg(F.sum("n").alias("all"), own.alias("own")).withColumn("fold", F.explode(F.array(*map(F.lit, range(FOLDS)))))
+        every = every.select("fold", "lang", "seq", (F.col("all") - F.coalesce(F.try_element_at("own", F.col("fold")), F.lit(0))).alias("n"))
+        return Tables(materialise(every.where("n > 0"), "langid-others"))
+    table = counted.toPandas()
     others = (table[table["fold"] != k].groupby(["lang", "seq"], as_index=False)["n"].sum() for k in range(FOLDS))
     return [Model(by_language(x)) for x in others]
 
 
-def identify(docs: DataFrame, model: Model, keep: tuple = ("doc_id",), text: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: Model | Tables, keep: tuple = ("doc_id",), text: str = "text") -> DataFrame:
     """``keep``, lang_pred, score, entropy and rejected for every whole text."""
     spark = prepare(session(docs))
+    if isinstance(model, Tables):
+        found = model.judged(docs.select(*keep, F.col(text).alias("__text")), text="__text", lang=None)
+        limit = F.col("__mean") + SLACK + SPREAD * F.col("__deviation") / F.sqrt(F.greatest("__chars", F.lit(1)))
+        return found.select(
+            *keep, F.coalesce("__lang", F.lit(UNKNOWN)).alias("lang_pred"), F.col("__score").alias("score"),
+            F.coalesce("__h", F.lit(0.0)).alias("entropy"), (F.col("__lang").isNull() | F.coalesce(F.col("__h") > limit, F.lit(False))).alias("rejected"),
+        )
     rows = docs.select(*keep, F.col(text).alias("__text"))
     shared = spark.sparkContext.broadcast(model)  # at most MAX_ENTRIES sequences
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
@@ -334,10 +459,12 @@ def accepted(judged: DataFrame, lang: str = "lang") -> DataFrame:
     return within.where((F.col("__lang") == UNKNOWN) & F.col("__h").isNull() | (F.col("__h") <= limit))
 
 
-def keep_cross_fitted(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+def keep_cross_fitted(docs: DataFrame, text: str = "text", lang: str = "lang", max_entries: int = MAX_ENTRIES) -> DataFrame:
     """The rows of ``docs`` whose text some language accepts by what the other folds teach, all columns unchanged."""
     prepare(session(docs))
-    judged = materialise(cross_judged(docs, train_folds(docs, text, lang), text, lang), "langid-judged")
+    models = train_folds(docs, text, lang, max_entries)
+    found = models.judged(docs, fold_of(text), text, lang) if isinstance(models, Tables) else cross_judged(docs, models, text, lang)
+    judged = materialise(found, "langid-judged")
     return accepted(judged, lang).select(*[f"`{c}`" for c in docs.columns])
 
 
@@ -351,5 +478,5 @@ def learning_rows(docs: DataFrame) -> DataFrame:
 
 def op2_language_id(spark, sf_dir) -> DataFrame:
     docs = documents(spark, sf_dir)
-    found = identify(docs, train(learning_rows(docs)))
+    found = identify(docs, learn(learning_rows(docs)))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "entropy", "rejected")

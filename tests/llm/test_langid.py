@@ -77,3 +77,15 @@ def test_gibberish_is_rejected(spark, docs):
 def test_rare_sequences_go_first_beyond_the_bound(docs):
     small = L.train(docs, max_entries=3000)
     assert sum(len(k) for k in [small.keys[4]]) <= 3000
+
+
+def test_tables_hold_the_whole_model(docs, odd):
+    for df in (docs, odd):
+        rows = L.learning_rows(df)
+        tables = L.learn(rows, max_entries=10)
+        assert isinstance(tables, L.Tables)
+        want, got = (sorted(L.identify(df, m).collect(), key=lambda r: (str(r.doc_id), r.entropy)) for m in (L.learn(rows), tables))
+        assert [(r.doc_id, r.lang_pred, r.rejected) for r in got] == [(r.doc_id, r.lang_pred, r.rejected) for r in want]
+        assert all(abs(a.entropy - b.entropy) < 1e-4 and abs(a.score - b.score) < 1e-3 for a, b in zip(got, want))
+        kept = [L.keep_cross_fitted(df, max_entries=m) for m in (10, L.MAX_ENTRIES)]
+        assert kept[0].columns == df.columns and sorted(map(str, kept[0].collect())) == sorted(map(str, kept[1].collect()))
