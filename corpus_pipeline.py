@@ -23,7 +23,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each component of near fingerprints."""
+    """Keeps the document with the smallest id of each component of near fingerprints or of texts with a similarity of 0.8 on five words."""
     prepare(spark)
     return simhash.keep_one(docs)
 

@@ -12,6 +12,12 @@ forest of its links, so a dense group of n nodes gives about n links, not n * n.
 Components follow by star contraction with every round written to the shared
 folder.
 
+With ``similar``, texts whose sets of word shingles have that Jaccard similarity
+are linked too, whatever their fingerprints. Shingles have one order over all
+texts, rare ones first; two similar texts share one of the first shingles of
+each, so texts are dealt by those and no pair is lost. Each pair found is
+confirmed by the exact similarity of its texts.
+
 Cases: null text counts as empty; texts without words have fingerprint zero and
 link like any other; a null doc_id takes part but is never a component's id
 unless all its ids are null; repeated rows share a fingerprint; an empty table
@@ -20,6 +26,7 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -31,6 +38,10 @@ from pyspark.sql import functions as F
 from .common import documents, materialise, prepare, same, session, utf8_list
 
 SEED, WORDS, RADIUS, TILE = 42, 3, 2, 1024
+#: Near copies of the pipeline: similarity of the sets of shingles of so many words.
+SIMILAR, SIMILAR_WORDS = 0.8, 5
+#: Shingles are ordered by how common their bucket is in one of SAMPLE texts. Any order gives the same pairs, a good one fewer to confirm.
+BUCKET_BITS, SAMPLE = 18, 8
 
 
 def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
@@ -189,20 +200,120 @@ def stars(pairs: DataFrame, name: str = "stars") -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, tile: int = TILE, seed: int = SEED) -> DataFrame:
+def shingles(text: bytes, words: int) -> set[bytes]:
+    """The word shingles; a shorter text is one shingle, and a text without words has none."""
+    found = text.lower().split()
+    return {b" ".join(found[i : i + words]) for i in range(max(1, len(found) - words + 1))} if found else set()
+
+
+def least_shared(least: float, n: int) -> int:
+    """How many of its n shingles a text shares at least with one of similarity ``least``."""
+    return int(np.ceil(least * n - 1e-9))
+
+
+def similar_pairs(docs: DataFrame, least: float = SIMILAR, words: int = SIMILAR_WORDS) -> DataFrame:
+    """Pairs a < b of the 64-bit keys of all texts whose Jaccard similarity is at least ``least``."""
+    spark = prepare(session(docs))
+    texts = docs.where("text is not null").select(F.xxhash64("text").alias("th"), "text")
+
+    def hashed(text: bytes) -> np.ndarray:
+        return np.fromiter((xxhash.xxh64_intdigest(s) for s in shingles(text, words)), np.uint64)
+
+    def count(batches):
+        seen = np.zeros(1 << BUCKET_BITS, np.int64)
+        for b in batches:
+            for x in utf8_list(b.column(1)):
+                np.add.at(seen, (hashed(x) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), 1)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["bucket", "n"])
+
+    common = np.zeros(1 << BUCKET_BITS, np.int64)
+    table = texts.where(F.pmod("th", F.lit(SAMPLE)) == 0).mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # one row per bucket at most
+    common[table["bucket"].to_numpy(np.int64)] = table["n"].to_numpy(np.int64)
+    shared = spark.sparkContext.broadcast(common)
+
+    def first(batches):
+        for b in batches:
+            keys, found = b.column(0).to_numpy(), []
+            for x in utf8_list(b.column(1)):
+                h = hashed(x)
+                h = h[np.lexsort((h, shared.value[(h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]))]
+                found.append((h[: len(h) - least_shared(least, len(h)) + 1], len(h)))
+            many = [len(h) for h, _ in found]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([h for h, _ in found]).view(np.int64) if found else [], pa.int64()), pa.array(np.repeat(keys, many), pa.int64()), pa.array(np.repeat([n for _, n in found], many), pa.int64())],
+                ["shingle", "th", "n"],
+            )
+
+    def meet(batches):
+        def pairs(shingle, th, n):
+            at, k = np.arange(len(shingle)), 1
+            while len(at := at[at + k < len(shingle)]) and len(at := at[shingle[at] == shingle[at + k]]):
+                one, two = n[at], n[at + k]
+                fits = (np.minimum(one, two) >= least * np.maximum(one, two) - 1e-9) & (th[at] != th[at + k])
+                x, y = th[at][fits], th[at + k][fits]
+                if len(x):
+                    both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+                k += 1
+
+        held, size = [], 0
+        for b in batches:
+            held.append([c.to_numpy() for c in b.columns])
+            size += b.num_rows
+            if size >= 100_000:
+                shingle, th, n = map(np.concatenate, zip(*held))
+                cut = int(np.searchsorted(shingle, shingle[-1]))  # the last shingle may go on
+                yield from pairs(shingle[:cut], th[:cut], n[:cut])
+                # a common shingle is held whole; it is looked at again only after as many rows more
+                held, size = [[shingle[cut:], th[cut:], n[cut:]]], 0
+        if held:
+            yield from pairs(*map(np.concatenate, zip(*held)))
+
+    dealt = texts.mapInArrow(first, "shingle long, th long, n long").repartition("shingle").sortWithinPartitions("shingle")
+    candidates = materialise(dealt.mapInArrow(meet, "a long, b long").distinct(), "similar-candidates")
+
+    def confirm(batches):
+        @lru_cache(maxsize=64)
+        def of(text):
+            return shingles(text, words)
+
+        for b in batches:
+            holds = []
+            for x, y in zip(utf8_list(b.column(2)), utf8_list(b.column(3))):
+                x, y = of(x), of(y)
+                both = len(x & y)
+                holds.append(both >= least * (len(x) + len(y) - both) - 1e-9)
+            yield b.select(["a", "b"]).filter(pa.array(holds, pa.bool_()))
+
+    once = texts.dropDuplicates(["th"])
+    wanted = once.join(candidates.select(F.explode(F.array("a", "b")).alias("th")).distinct(), "th", "left_semi")
+    wanted = materialise(wanted, "similar-texts")
+    pairs = candidates.join(wanted.select(F.col("th").alias("a"), F.col("text").alias("one")), "a").join(wanted.select(F.col("th").alias("b"), F.col("text").alias("two")), "b")
+    return pairs.select("a", "b", "one", "two").mapInArrow(confirm, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, tile: int = TILE, seed: int = SEED, similar: float | None = None) -> DataFrame:
     """Per row of ``docs``: doc_id, fp, th, component_id (the smallest doc_id that it reaches)."""
     found = materialise(fingerprints(docs, words, seed), "simhash-fingerprints")
     nodes = materialise(found.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-nodes")
     roots = stars(links(nodes.select("fp"), radius, tile), "simhash-stars")
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    if similar is not None:
+        rooted = materialise(rooted, "simhash-rooted")
+        places = materialise(found.join(rooted, "fp").select("th", "root").distinct(), "similar-places")
+        pairs = similar_pairs(docs, similar).join(places.select(F.col("th").alias("a"), F.col("root").alias("x")), "a").join(places.select(F.col("th").alias("b"), F.col("root").alias("y")), "b")
+        pairs = pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        joined = stars(pairs, "similar-stars").withColumnRenamed("root", "low")
+        rooted = rooted.join(joined, rooted["root"] == joined["node"], "left").select("fp", "rep", F.coalesce("low", "root").alias("root"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = materialise(rooted.join(least, "root").select("fp", "component_id"), "simhash-components")
     return found.join(named, "fp").select("doc_id", "fp", "th", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest id, with all its columns."""
-    kept = near_duplicates(docs).where(same(F.col("doc_id"), F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
+    """One document of each group of near-duplicates, by fingerprint or by similarity, the one with the smallest id, with all its columns."""
+    kept = near_duplicates(docs, similar=SIMILAR).where(same(F.col("doc_id"), F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
     th = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
     return docs.join(kept, same(docs["doc_id"], kept["__id"]) & (th == kept["__th"]), "left_semi")
 

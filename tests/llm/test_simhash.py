@@ -59,3 +59,20 @@ def test_single_nodes_of_a_large_band_value_meet(spark):
     nodes = spark.createDataFrame([(x,) for x in [0, 1 << 21 | 1 << 42, *many]], "fp long")
     for tile in (4, 16, 1024):
         assert (0, 1 << 21 | 1 << 42) in {(r.a, r.b) for r in S.links(nodes, tile=tile).collect()}
+
+
+def test_similar_pairs_equal_brute_force(spark, docs):
+    words = " ".join(r.text for r in docs.where("lang = 'en'").orderBy("doc_id").limit(20).collect()).split()[:300]
+
+    def edited(every):
+        return " ".join(w + "q" if i % every == every // 2 else w for i, w in enumerate(words))
+
+    texts = [" ".join(words), edited(60), edited(50), edited(25), edited(7), "a b c", "a B  c", "", " "]
+    table = docs.select("text").unionByName(spark.createDataFrame([(t,) for t in texts], "text string"))
+    rows = table.selectExpr("xxhash64(text) as th", "text").distinct().collect()
+    sets = {r.th: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for r in rows if (w := re.sub("[A-Z]", lambda m: m[0].lower(), r.text).encode().split())}
+    want = {(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    assert {(r.a, r.b) for r in S.similar_pairs(table).collect()} == want and len(want) > 3
+    far = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts[:5])], docs.schema)
+    assert len({r.component_id for r in S.near_duplicates(far).collect()}) > 2
+    assert sorted(r.doc_id for r in S.keep_one(far).collect()) == [0, 3, 4]
