@@ -371,9 +371,26 @@ def train_folds(docs: DataFrame, text: str = "text", lang: str = "lang", max_ent
         every = counted.groupBy("lang", "seq").agg(F.sum("n").alias("all"), own.alias("own")).withColumn("fold", F.explode(F.array(*map(F.lit, range(FOLDS)))))
         every = every.select("fold", "lang", "seq", (F.col("all") - F.coalesce(F.try_element_at("own", F.col("fold")), F.lit(0))).alias("n"))
         return Tables(materialise(every.where("n > 0"), "langid-others"))
-    table = counted.toPandas()
-    others = (table[table["fold"] != k].groupby(["lang", "seq"], as_index=False)["n"].sum() for k in range(FOLDS))
-    return [Model(by_language(x)) for x in others]
+    return [Model(counts) for counts in other_counts(counted)]
+
+
+def other_counts(counted: DataFrame):
+    """For each fold the counts of the other folds by language. Only numbers are held, and one fold's counts at a time."""
+    table = counted.toArrow()
+    names = table["lang"].combine_chunks().dictionary_encode()
+    code, fold = names.indices.to_numpy(), table["fold"].to_numpy()
+    seq, n = table["seq"].to_numpy().view(np.uint64), table["n"].to_numpy().astype(np.float64)
+    del table
+    order = np.lexsort((seq, code))
+    code, fold, seq, n = code[order], fold[order], seq[order], n[order]
+    for k in range(FOLDS):
+        counts = {}
+        for i, name in enumerate(names.dictionary.to_pylist()):
+            at = np.flatnonzero((code == i) & (fold != k))
+            if len(at):
+                starts = np.flatnonzero(np.concatenate([[True], seq[at][1:] != seq[at][:-1]]))
+                counts[name] = seq[at][starts], np.add.reduceat(n[at], starts)
+        yield counts
 
 
 def identify(docs: DataFrame, model: Model | Tables, keep: tuple = ("doc_id",), text: str = "text") -> DataFrame:
