@@ -5,20 +5,29 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.events import rollup
 
 
-def run_rollup(spark: SparkSession, events: DataFrame, to: str, width: str = "1 hour", late: str | None = None) -> DataFrame:
+#: How far an event may lag behind the newest one; windows older than that leave the state.
+LATE = "31 days"
+
+
+def run_rollup(spark: SparkSession, events: DataFrame, to: str, width: str = "1 hour", late: str = LATE, closed: bool = False) -> DataFrame:
     """Run the stream over all files there are and return what it wrote.
 
-    With ``late``, a window is written once the watermark has passed it, so the
-    newest windows are still open at the end. Without, each batch writes the
-    state of the windows it touched, and the newest state of a window holds.
+    Each batch writes the state of the windows it touched, and the newest state
+    of a window holds. With ``closed``, a window is written once, when the
+    watermark has passed it, so the newest windows are still open at the end.
+
+    Cases: a null type is a type like any other; an event more than ``late``
+    behind the newest of earlier batches is left out; a null time belongs to no
+    window; no events give no rows.
     """
     path, state = f"{to}/out", f"{to}/state-{uuid.uuid4().hex}"
     rolled = rollup(events, width, late)
-    if late:
+    if closed:
         query = rolled.writeStream.outputMode("append").format("parquet").option("path", path)
         query.option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
         return spark.read.schema(rolled.schema).parquet(path)
@@ -26,8 +35,10 @@ def run_rollup(spark: SparkSession, events: DataFrame, to: str, width: str = "1
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
+    spark.createDataFrame([], rolled.schema).write.mode("ignore").parquet(f"{path}/batch=-1")
     query = rolled.writeStream.outputMode("update").foreachBatch(keep)
     query.option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    written = spark.read.parquet(path)
-    newest = written.groupBy("start", "event_type").agg({"batch": "max"}).withColumnRenamed("max(batch)", "batch")
-    return written.join(newest, ["start", "event_type", "batch"]).drop("batch")
+    values = [c for c in rolled.columns if c not in ("start", "event_type")]
+    written = spark.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in rolled.schema)}, batch int").parquet(path)
+    newest = written.groupBy("start", "event_type").agg(F.max_by(F.struct(*values), "batch").alias("v"))
+    return newest.select("start", "event_type", "v.*")
