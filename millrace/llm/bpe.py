@@ -24,7 +24,7 @@ import json
 import re
 import string
 from array import array
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import ahocorasick
 import numpy as np
@@ -32,7 +32,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import normalizers
+from tokenizers import Regex, Tokenizer, normalizers, pre_tokenizers
 
 from .common import documents, prepare, session, utf8_list
 
@@ -187,7 +187,7 @@ class Codec:
         pattern = next(x["pattern"]["Regex"] for x in steps if x["type"] == "Split")
         # runs of letters and runs of other signs are words of their own: short cuts for plain pieces
         self.plain = r"|[\p{L}]+|" in pattern and r"[^\s\p{L}\p{N}]+" in pattern
-        self.split = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
+        self.pattern, self.near = pattern, regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
         self.mark = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.leads = {x.lower().encode()[:2] for x in self.special}
         self.encode_word = library_words(path) if library else _Words(spec["model"]).encode
@@ -223,9 +223,19 @@ class Codec:
             if part in self.special:
                 out.append(array(self.code, [self.special[part]]).tobytes())
             else:
-                out += map(self._word, self.split.findall(self._normal(part)))
+                part = self._normal(part)
+                out += map(self._word, (self.near if max(part, default="") < "\u0300" else self.far).findall(part))
         return b"".join(out)
 
+    @cached_property
+    def far(self) -> re.Pattern:
+        """The pattern with the library's own letters, digits and white space: their Unicode version may differ from Python's from U+0300 on."""
+        pattern = self.pattern
+        for name in (r"\p{L}", r"\p{N}", r"\s"):
+            held = library_class(name)
+            pattern = pattern.replace(f"[{name}]", f"[{held}]").replace(name, held)
+        return re.compile(pattern)
+
     def _normal(self, part: str) -> str:
         """NFC, then lower case letter by letter (a final sigma stays a sigma)."""
         return part.lower() if max(part, default="") < "\u0300" else self.lower(self.nfc(part))
@@ -252,14 +262,18 @@ class Codec:
         return self.table[at].tobytes()[:-1]
 
 
-def library_words(path: str):
-    """The tokenizers library as an encoder of words."""
-    from tokenizers import Tokenizer
+@lru_cache(maxsize=4)
+def library_class(name: str) -> str:
+    """What the library's patterns take for a class, as ranges of a character class. Planes 4 to 13, 15 and 16 hold no letter, digit or white space."""
+    every = "".join(chr(c) for c in (*range(0xD800), *range(0xE000, 0x40000), *range(0xE0000, 0xF0000)))
+    found = pre_tokenizers.Split(Regex(name + "+"), "removed", invert=True).pre_tokenize_str(every)
+    return "".join(f"\\U{ord(run[0]):08x}-\\U{ord(run[-1]):08x}" for run, _ in found)
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    return lambda word: tokenizer.encode(word.decode(), add_special_tokens=False).ids
+
+def library_words(path: str):
+    """The tokenizers library's model as an encoder of words, which are normalised and split already."""
+    model, letters = Tokenizer.from_file(path).model, byte_letters()
+    return lambda word: [t.id for t in model.tokenize("".join([letters[b] for b in word]))]
 
 
 @lru_cache(maxsize=2)

@@ -92,3 +92,20 @@ def test_special_tokens_in_another_case_are_text(text):
 @given(st.lists(st.sampled_from(["a", "B", " ", ",", ".", "<|", "|>", "<|EndOfText|>", "<|ENDOFTEXT|>", "<|endoftext|>", "<|StartOfText|>", "é", "ひ"]), max_size=12).map("".join))
 def test_special_tokens_of_any_case_equal_the_library(text):
     check(text)
+
+
+@pytest.mark.parametrize("form", ["{c}", "a{c}", "{c}1", "!{c}a", "\u0130{c}", "A{c}\u0130\u0317", "{c}, {c}.{c}"])
+def test_every_code_point_beside_others(form):
+    library, codecs = loaded(), both()
+    points = [chr(c) for c in (*range(0xD800), *range(0xE000, 0x20000), *range(0x20000, 0x110000, 997))]
+    for at in range(0, len(points), 512):
+        texts = [form.format(c=c) for c in points[at : at + 512]]
+        want = [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+        for codec in codecs:
+            assert [codec.encode(t.encode()).tolist() for t in texts] == want
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=12))
+def test_any_text_equals_the_library(text):
+    check(text)
