@@ -3,9 +3,9 @@
 Each text gets a 64-bit fingerprint. Equal fingerprints are one node. Two
 fingerprints within ``radius`` differing bits agree in full on one of
 ``radius + 1`` bands of bits at least, so nodes are dealt by (band, value): the
-comparison stays exact and needs no pass over all pairs of the corpus. Where a
-band value holds more than ``tile`` nodes, they are cut into tiles by
-population count, and only tile pairs whose counts differ by ``radius`` at most
+comparison stays exact and needs no pass over all pairs of the corpus. The nodes
+of a band value are cut into tiles of one population count and at most about
+``tile`` nodes, and only tile pairs whose counts differ by ``radius`` at most
 meet, since each differing bit moves the count by one. A pair of tiles is
 compared whole, with numpy's exclusive or and bit count, and gives a spanning
 forest of its links, so a dense group of n nodes gives about n links, not n * n.
@@ -13,26 +13,25 @@ Components follow by star contraction with every round written to the shared
 folder.
 
 With ``similar``, texts whose sets of word shingles have that Jaccard similarity
-are linked too, whatever their fingerprints. Shingles have one order over all
-texts, rare ones first; two similar texts share one of the first shingles of
-each, so texts are dealt by those and no pair is lost. Each pair found is
-confirmed by the exact similarity of its texts.
+are linked too, whatever their fingerprints, each link confirmed by the exact
+sets (``similar_links``).
 
 Cases: null text counts as empty; texts without words have fingerprint zero and
 link like any other; a null doc_id takes part but is never a component's id
 unless all its ids are null; repeated rows share a fingerprint; an empty table
-gives an empty result; other columns are ignored.
+gives an empty result; other columns are ignored. ``keep_one`` keeps rows that
+repeat both id and text together.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import documents, materialise, prepare, same, session, utf8_list
@@ -40,8 +39,6 @@ from .common import documents, materialise, prepare, same, session, utf8_list
 SEED, WORDS, RADIUS, TILE = 42, 3, 2, 1024
 #: Near copies of the pipeline: similarity of the sets of shingles of so many words.
 SIMILAR, SIMILAR_WORDS = 0.8, 5
-#: Shingles are ordered by how common their bucket is in one of SAMPLE texts. Any order gives the same pairs, a good one fewer to confirm.
-BUCKET_BITS, SAMPLE = 18, 8
 
 
 def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
@@ -154,27 +151,24 @@ def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame
         for i, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:]))
     ))
     banded = nodes.select("fp", F.bit_count("fp").alias("pop"), F.explode(bands).alias("b")).select("fp", "pop", "b.band", "b.value")
-    # a band value has at most 65 population counts
+    # a band value has at most 65 population counts; tiles hold one count each, and only tiles of near counts are paired
     counted = banded.groupBy("band", "value", "pop").agg(F.count(F.lit(1)).alias("n"))
-    totals = counted.groupBy("band", "value").agg(F.sum("n").alias("total"), F.collect_list(F.struct("pop", "n")).alias("cells"))
-    cells = totals.where("total > 1").select("band", "value", "total", F.explode("cells").alias("c")).select("band", "value", "total", "c.pop", "c.n")
-    cells = materialise(cells.withColumn("parts", F.when(F.col("total") <= tile, 0).otherwise(F.ceil(F.col("n") / tile)).cast("int")), "simhash-cells")
+    total = counted.groupBy("band", "value").agg(F.sum("n").alias("total"), F.collect_list(F.struct("pop", "n")).alias("cells")).where("total > 1")
+    cells = total.select("band", "value", F.explode("cells").alias("c")).select("band", "value", "c.pop", F.ceil(F.col("c.n") / tile).cast("int").alias("parts"))
+    cells = materialise(cells, "simhash-cells")
 
-    dealt = banded.join(cells, ["band", "value", "pop"])
-    # the lowest bit of a place tells comparisons within a side from those between two: should two places collide, no link is lost
-    whole = dealt.where("parts = 0").select(F.shiftleft(F.xxhash64("band", "value"), 1).alias("place"), F.lit(0).alias("side"), "fp")
-    # larger band values: tiles by population count and part; only near tiles are paired
-    tiles = cells.where("parts > 0").select("band", "value", "pop", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    tiles = cells.select("band", "value", "pop", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    reached = tiles.select("band", "value", "pop", "part", F.explode(F.sequence(F.col("pop"), F.col("pop") + radius)).alias("pop2"))
     other = tiles.select("band", "value", F.col("pop").alias("pop2"), F.col("part").alias("part2"))
-    near = (F.col("pop2") - F.col("pop")).between(0, radius) & ((F.col("pop2") > F.col("pop")) | (F.col("part2") >= F.col("part")))
-    pairs = materialise(tiles.join(other, ["band", "value"]).where(near), "simhash-pairs")
+    pairs = materialise(reached.join(other, ["band", "value", "pop2"]).where((F.col("pop2") > F.col("pop")) | (F.col("part2") >= F.col("part"))), "simhash-pairs")
     two_sided = (F.col("pop") != F.col("pop2")) | (F.col("part") != F.col("part2"))
+    # the lowest bit of a place tells comparisons within a side from those between two: should two places collide, no link is lost
     place = F.shiftleft(F.xxhash64("band", "value", "pop", "part", "pop2", "part2"), 1).bitwiseOR(two_sided.cast("long"))
     roles = pairs.select("band", "value", "pop", "part", place.alias("place"), F.lit(0).alias("side")).unionByName(
         pairs.where(two_sided).select("band", "value", F.col("pop2").alias("pop"), F.col("part2").alias("part"), place.alias("place"), F.lit(1).alias("side"))
     )
-    parted = dealt.where("parts > 0").withColumn("part", F.expr("cast(pmod(xxhash64(fp), parts) as int)"))
-    met = whole.unionByName(parted.join(roles, ["band", "value", "pop", "part"]).select("place", "side", "fp"))
+    parted = banded.join(cells, ["band", "value", "pop"]).withColumn("part", F.expr("cast(pmod(xxhash64(fp), parts) as int)"))
+    met = parted.join(roles, ["band", "value", "pop", "part"]).select("place", "side", "fp")
     return compare_tiles(met, radius).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -211,86 +205,150 @@ def least_shared(least: float, n: int) -> int:
     return int(np.ceil(least * n - 1e-9))
 
 
-def similar_pairs(docs: DataFrame, least: float = SIMILAR, words: int = SIMILAR_WORDS) -> DataFrame:
-    """Pairs a < b of the 64-bit keys of all texts whose Jaccard similarity is at least ``least``."""
-    spark = prepare(session(docs))
-    texts = docs.where("text is not null").select(F.xxhash64("text").alias("th"), "text")
-
-    def hashed(text: bytes) -> np.ndarray:
-        return np.fromiter((xxhash.xxh64_intdigest(s) for s in shingles(text, words)), np.uint64)
+def hashed_shingles(text: bytes, words: int) -> np.ndarray:
+    """The hashes of a text's shingles, ascending."""
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s) for s in shingles(text, words)), np.uint64))
 
-    def count(batches):
-        seen = np.zeros(1 << BUCKET_BITS, np.int64)
-        for b in batches:
-            for x in utf8_list(b.column(1)):
-                np.add.at(seen, (hashed(x) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), 1)
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["bucket", "n"])
 
-    common = np.zeros(1 << BUCKET_BITS, np.int64)
-    table = texts.where(F.pmod("th", F.lit(SAMPLE)) == 0).mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # one row per bucket at most
-    common[table["bucket"].to_numpy(np.int64)] = table["n"].to_numpy(np.int64)
-    shared = spark.sparkContext.broadcast(common)
+def likely(texts: DataFrame, least: float, words: int) -> DataFrame:
+    """th of all texts that can have a similar one, and of few others.
 
-    def first(batches):
-        for b in batches:
-            keys, found = b.column(0).to_numpy(), []
-            for x in utf8_list(b.column(1)):
-                h = hashed(x)
-                h = h[np.lexsort((h, shared.value[(h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]))]
-                found.append((h[: len(h) - least_shared(least, len(h)) + 1], len(h)))
-            many = [len(h) for h, _ in found]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([h for h, _ in found]).view(np.int64) if found else [], pa.int64()), pa.array(np.repeat(keys, many), pa.int64()), pa.array(np.repeat([n for _, n in found], many), pa.int64())],
-                ["shingle", "th", "n"],
-            )
+    Take the first ``n - shared + more`` of a text's n hashes, ``shared`` being
+    what it shares with a similar text at least. Of two similar texts, the one
+    whose last hash taken is the smaller has at least its ``more`` among what
+    was taken of the other. So a text without so many hashes in common with
+    others is like none. Hashes that recur within a chunk of texts are counted there and
+    sent once, so a very common shingle gives few rows.
+    """
 
-    def meet(batches):
-        def pairs(shingle, th, n):
-            at, k = np.arange(len(shingle)), 1
-            while len(at := at[at + k < len(shingle)]) and len(at := at[shingle[at] == shingle[at + k]]):
-                one, two = n[at], n[at + k]
-                fits = (np.minimum(one, two) >= least * np.maximum(one, two) - 1e-9) & (th[at] != th[at + k])
-                x, y = th[at][fits], th[at + k][fits]
-                if len(x):
-                    both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
-                k += 1
+    def more(n: int) -> int:
+        return max(1, n // 10)
 
+    def take(batches):
         held, size = [], 0
+
+        def out():
+            th = np.repeat([t for t, _, _ in held], [len(h) for _, h, _ in held]).astype(np.int64)
+            seq = np.concatenate([h for _, h, _ in held])
+            each, at, times = np.unique(seq, return_inverse=True, return_counts=True)
+            alone = times[at] == 1
+            where = np.repeat(np.arange(len(held)), [len(h) for _, h, _ in held])
+            here = np.bincount(where[~alone], minlength=len(held))
+            first, again = seq[alone], each[times > 1]
+            n = len(held)
+            shingle = pa.array(np.concatenate([first, again, np.zeros(n, np.uint64)]).view(np.int64), mask=np.arange(len(first) + len(again) + n) >= len(first) + len(again))
+            of = pa.array(np.concatenate([th[alone], np.zeros(len(again), np.int64), [t for t, _, _ in held]]).astype(np.int64), mask=np.concatenate([np.zeros(len(first), bool), np.ones(len(again), bool), np.zeros(n, bool)]))
+            rest = np.zeros(len(first) + len(again), np.int64)
+            return pa.RecordBatch.from_arrays([shingle, of, pa.array(np.concatenate([rest, here])), pa.array(np.concatenate([rest, [k for _, _, k in held]]).astype(np.int64))], ["shingle", "th", "shared", "need"])
+
         for b in batches:
-            held.append([c.to_numpy() for c in b.columns])
-            size += b.num_rows
-            if size >= 100_000:
-                shingle, th, n = map(np.concatenate, zip(*held))
-                cut = int(np.searchsorted(shingle, shingle[-1]))  # the last shingle may go on
-                yield from pairs(shingle[:cut], th[:cut], n[:cut])
-                # a common shingle is held whole; it is looked at again only after as many rows more
-                held, size = [[shingle[cut:], th[cut:], n[cut:]]], 0
+            for th, x in zip(b.column(0).to_pylist(), utf8_list(b.column(1))):
+                h = hashed_shingles(x, words)
+                if len(h):
+                    taken = h[: len(h) - least_shared(least, len(h)) + more(len(h))]
+                    # a similar text may be shorter and take less
+                    held.append((th, taken, more(least_shared(least, len(h)))))
+                    size += len(taken)
+            if size > 500_000:
+                yield out()
+                held, size = [], 0
         if held:
-            yield from pairs(*map(np.concatenate, zip(*held)))
-
-    dealt = texts.mapInArrow(first, "shingle long, th long, n long").repartition("shingle").sortWithinPartitions("shingle")
-    candidates = materialise(dealt.mapInArrow(meet, "a long, b long").distinct(), "similar-candidates")
+            yield out()
 
-    def confirm(batches):
-        @lru_cache(maxsize=64)
-        def of(text):
-            return shingles(text, words)
+    def meet(batches):
+        def counted(shingle, th, valid):
+            again = np.concatenate([[False], shingle[1:] == shingle[:-1]])
+            again[:-1] |= again[1:].copy()
+            ids, n = np.unique(th[again & valid], return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n.astype(np.int64)), pa.array(np.zeros(len(ids), np.int64))], ["th", "shared", "need"])
 
+        rest = None  # the rows of the last shingle, which may go on
         for b in batches:
-            holds = []
-            for x, y in zip(utf8_list(b.column(2)), utf8_list(b.column(3))):
-                x, y = of(x), of(y)
-                both = len(x & y)
-                holds.append(both >= least * (len(x) + len(y) - both) - 1e-9)
-            yield b.select(["a", "b"]).filter(pa.array(holds, pa.bool_()))
+            whole = b.column(0).is_null()
+            yield b.filter(whole).select(["th", "shared", "need"])
+            b = b.filter(pc.invert(whole))
+            if not b.num_rows:
+                continue
+            new = b.column(0).to_numpy(), b.column(1).fill_null(0).to_numpy(), b.column(1).is_valid().to_numpy(zero_copy_only=False)
+            shingle, th, valid = new if rest is None else (np.concatenate(x) for x in zip(rest, new))
+            cut = int(np.searchsorted(shingle, shingle[-1]))
+            if cut:
+                yield counted(shingle[:cut], th[:cut], valid[:cut])
+            rest = shingle[cut:], th[cut:], valid[cut:]
+        if rest is not None:
+            yield counted(*rest)
+
+    taken = texts.mapInArrow(take, "shingle long, th long, shared long, need long")
+    dealt = taken.repartition(F.coalesce("shingle", "th")).sortWithinPartitions("shingle")
+    found = dealt.mapInArrow(meet, "th long, shared long, need long").groupBy("th").agg(F.sum("shared").alias("shared"), F.max("need").alias("need"))
+    return found.where("shared >= need").select("th")
+
+
+def similar_links(docs: DataFrame, least: float = SIMILAR, words: int = SIMILAR_WORDS) -> DataFrame:
+    """Pairs a < b of the 64-bit keys of texts whose Jaccard similarity is at least ``least``; they connect all texts that such pairs connect.
+
+    Only texts that can have a similar one go on, and of their shingles those
+    that several of them have. In order of how many have them, two similar texts
+    share one of the first shingles of each, so texts meet by those. All that
+    meet in a shingle are compared with one of them, the one that has most in
+    common with others, and linked texts are one component. Then again with
+    the next two, four and so on, and once few pairs of different components are
+    left, with those. So near copies of one text cost about one comparison each;
+    only texts that share most but are not similar are all compared.
+    """
+    prepare(session(docs))
+    texts = docs.where("text is not null").select(F.xxhash64("text").alias("th"), "text")
+    some = texts.join(likely(texts, least, words), "th", "left_semi").dropDuplicates(["th"])
 
-    once = texts.dropDuplicates(["th"])
-    wanted = once.join(candidates.select(F.explode(F.array("a", "b")).alias("th")).distinct(), "th", "left_semi")
-    wanted = materialise(wanted, "similar-texts")
-    pairs = candidates.join(wanted.select(F.col("th").alias("a"), F.col("text").alias("one")), "a").join(wanted.select(F.col("th").alias("b"), F.col("text").alias("two")), "b")
-    return pairs.select("a", "b", "one", "two").mapInArrow(confirm, "a long, b long")
+    def make(batches):
+        for b in batches:
+            found = [hashed_shingles(x, words) for x in utf8_list(b.column(1))]
+            ends = np.cumsum([0] + [len(h) for h in found]).astype(np.int32)
+            flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["th", "shingles"])
+
+    sets = materialise(some.mapInArrow(make, "th long, shingles array<long>"), "similar-sets")
+    each = sets.select("th", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    common = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # a text's shingles are bounded by its length
+    own = each.join(common, "shingle").groupBy("th", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("own"))
+    least_own = F.ceil(least * F.col("n") - 1e-9).cast("int")
+    alone = F.col("n") - F.size("own")  # shingles that no other text has come first in the order
+    first = F.slice("own", 1, F.greatest(F.lit(0), F.col("n") - least_own + 1 - alone))
+    entries = own.where(F.size("own") >= least_own).select("th", (F.size("own") / F.col("n")).alias("score"), F.explode(first).alias("e"))
+    entries = materialise(entries.select("th", "score", F.col("e.shingle").alias("shingle")), "similar-entries")
+    n_entries, used, links, roots, centres = entries.count(), None, None, None, 1
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        one, two = (sets.select(F.col("th").alias(k), F.col("shingles").alias(f"of_{k}")) for k in "ab")
+        both = pairs.join(one, "a").join(two, "b").withColumn("both", F.size(F.array_intersect("of_a", "of_b")))
+        return both.where(F.col("both") >= least * (F.size("of_a") + F.size("of_b") - F.col("both")) - 1e-9).select("a", "b")
+
+    while n_entries:
+        placed = entries.withColumn("root", F.col("th")) if roots is None else entries.join(roots, entries["th"] == roots["node"], "left").select("th", "score", "shingle", F.coalesce("root", "th").alias("root"))
+        open_ = placed if used is None else placed.join(used, ["shingle", "th"], "left_anti")
+        by_root = open_.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("n"))
+        left = by_root.groupBy("shingle").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same")).agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()[0]
+        last = left <= 2 * n_entries
+        other = open_.select("shingle", F.col("th").alias("th2"), F.col("root").alias("root2"))
+        if last:
+            met = open_.join(other, "shingle").where("th < th2 and root <> root2")
+        else:
+            # the next ones of shingles whose texts are not one component yet
+            mixed = by_root.groupBy("shingle").agg(F.count(F.lit(1)).alias("roots")).where("roots > 1")
+            rank = F.row_number().over(Window.partitionBy("shingle").orderBy(F.desc("score"), F.hash("th"), "th"))
+            best = open_.join(mixed, "shingle", "left_semi").withColumn("rank", rank).where(F.col("rank") <= centres)
+            best = materialise(best.select("shingle", "th", "root"), "similar-centres")
+            centres *= 2
+            used = materialise(best.select("shingle", "th") if used is None else used.unionByName(best.select("shingle", "th")), "similar-used")
+            met = best.join(other, "shingle").where("th <> th2 and root <> root2")
+        pairs = materialise(met.select(F.least("th", "th2").alias("a"), F.greatest("th", "th2").alias("b")).distinct(), "similar-candidates")
+        new = confirmed(pairs)
+        links = materialise(new if links is None else links.unionByName(new), "similar-links")
+        if last:
+            break
+        roots = stars(links, "similar-roots")
+    return links if links is not None else entries.select(F.col("th").alias("a"), F.col("th").alias("b")).where("false")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, tile: int = TILE, seed: int = SEED, similar: float | None = None) -> DataFrame:
@@ -302,7 +360,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, t
     if similar is not None:
         rooted = materialise(rooted, "simhash-rooted")
         places = materialise(found.join(rooted, "fp").select("th", "root").distinct(), "similar-places")
-        pairs = similar_pairs(docs, similar).join(places.select(F.col("th").alias("a"), F.col("root").alias("x")), "a").join(places.select(F.col("th").alias("b"), F.col("root").alias("y")), "b")
+        pairs = similar_links(docs, similar).join(places.select(F.col("th").alias("a"), F.col("root").alias("x")), "a").join(places.select(F.col("th").alias("b"), F.col("root").alias("y")), "b")
         pairs = pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         joined = stars(pairs, "similar-stars").withColumnRenamed("root", "low")
         rooted = rooted.join(joined, rooted["root"] == joined["node"], "left").select("fp", "rep", F.coalesce("low", "root").alias("root"))
@@ -313,9 +371,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, t
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each group of near-duplicates, by fingerprint or by similarity, the one with the smallest id, with all its columns."""
-    kept = near_duplicates(docs, similar=SIMILAR).where(same(F.col("doc_id"), F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
+    found = materialise(near_duplicates(docs, similar=SIMILAR), "near-duplicates")
+    # most documents stay: the fewer others are looked for
+    gone = found.where(~same(F.col("doc_id"), F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
     th = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    return docs.join(kept, same(docs["doc_id"], kept["__id"]) & (th == kept["__th"]), "left_semi")
+    return docs.join(gone, same(docs["doc_id"], gone["__id"]) & (th == gone["__th"]), "left_anti")
 
 
 def op5_simhash(spark, sf_dir) -> DataFrame:

@@ -61,6 +61,30 @@ def test_single_nodes_of_a_large_band_value_meet(spark):
         assert (0, 1 << 21 | 1 << 42) in {(r.a, r.b) for r in S.links(nodes, tile=tile).collect()}
 
 
+def joined(pairs):
+    """The groups that pairs connect."""
+    groups = {}
+    for a, b in pairs:
+        both = groups.get(a, {a}) | groups.get(b, {b})
+        groups |= dict.fromkeys(both, both)
+    return {frozenset(g) for g in groups.values()}
+
+
+@pytest.mark.parametrize("every", [12, 9])
+def test_a_family_of_near_copies_is_linked_without_all_its_pairs(spark, docs, monkeypatch, every):
+    words = " ".join(r.text for r in docs.where("lang = 'de'").orderBy("doc_id").limit(20).collect()).split()[:200]
+    table = [" ".join(words)] + [" ".join(w + f"x{k}" if i % (every * 5) == k % (every * 5) else w for i, w in enumerate(words)) for k in range(60)] + ["one two three four five six"]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in table)]
+    df = spark.createDataFrame([(t,) for t in table], "text string")
+    key = {r.text: r.th for r in df.selectExpr("text", "xxhash64(text) as th").collect()}
+    want = {tuple(sorted((key[table[i]], key[table[j]]))) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    seen = []
+    keep = S.materialise
+    monkeypatch.setattr(S, "materialise", lambda d, name: (lambda x: (seen.append(x.count()) if name == "similar-candidates" else None, x)[1])(keep(d, name)))
+    got = {(r.a, r.b) for r in S.similar_links(df).collect()}
+    assert got <= want and joined(got) == joined(want) and len(want) > 20 and sum(seen) < (4 if every == 12 else 31) * len(table)
+
+
 def test_similar_pairs_equal_brute_force(spark, docs):
     words = " ".join(r.text for r in docs.where("lang = 'en'").orderBy("doc_id").limit(20).collect()).split()[:300]
 
@@ -72,7 +96,8 @@ def test_similar_pairs_equal_brute_force(spark, docs):
     rows = table.selectExpr("xxhash64(text) as th", "text").distinct().collect()
     sets = {r.th: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for r in rows if (w := re.sub("[A-Z]", lambda m: m[0].lower(), r.text).encode().split())}
     want = {(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
-    assert {(r.a, r.b) for r in S.similar_pairs(table).collect()} == want and len(want) > 3
+    got = {(r.a, r.b) for r in S.similar_links(table).collect()}
+    assert got <= want and joined(got) == joined(want) and len(want) > 3
     far = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts[:5])], docs.schema)
     assert len({r.component_id for r in S.near_duplicates(far).collect()}) > 2
     assert sorted(r.doc_id for r in S.keep_one(far).collect()) == [0, 3, 4]
