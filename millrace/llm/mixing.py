@@ -3,14 +3,16 @@
 Each source has a target in words. Whole copies of the source come first; what
 remains is a budget. Documents are counted by exact length, every length gives
 its proportional share, and a bounded-knapsack program over the lengths left
-fits the rest to the word where the lengths allow it. Which documents of a
+fits the rest to the word where the lengths allow it; if a gap stays, some of
+the documents taken are put back and fitted again. Which documents of a
 length are taken follows a seeded hash: buckets of that hash below the quota go
 whole and only the bucket at the quota is ranked, so a source with a third of
 all rows, even all of one length, is spread over ``2**BUCKET_BITS`` groups.
 
 Cases: null text has length 0 and is taken with 0 words; a null source is a
 source of its own, after all others; a source without words has target 0; rows
-that repeat are counted and drawn one by one; an empty table gives an empty
+that repeat are counted and drawn one by one (of rows with one id and text those
+whose other columns come first); an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -27,6 +29,8 @@ WEIGHTS, SHARE, MOST, SEED = (3.0, 1.0, 2.0), 1.5, 2.0, 42
 BUCKET_BITS = 10
 #: Words that the knapsack program fits; proportional shares bring the rest down to this.
 FIT_WORDS = 1 << 15
+#: Words of taken documents that are fitted once more if those shares leave a gap, about.
+RELEASE_WORDS = 1 << 22
 
 
 def sized(docs: DataFrame, row: Column, seed: int = SEED) -> DataFrame:
@@ -98,16 +102,27 @@ def shares(counts: np.ndarray, budget: int, total: int) -> np.ndarray:
 
 
 def fit(sizes: np.ndarray, counts: np.ndarray, budget: int, seed: int = SEED) -> np.ndarray:
-    """How many documents of each size to take for ``budget`` words: proportional shares, then an exact fit."""
+    """How many documents of each size to take so that their words come nearest to ``budget``, in proportion to what there is."""
     total = int((sizes * counts).sum())
     if budget <= 0 or total == 0:
         return np.zeros(len(sizes), np.int64)
     if budget >= total:
         return counts.copy()
-    if 2 * budget > total:
-        # what stays out is fitted instead: there is more room among it than would be left
-        return counts - fit(sizes, counts, total - budget, seed)
-    taken = shares(counts, budget, total)
+    # what is taken or what stays out is fitted: the smaller first, since there is more room beside it
+    best = None
+    for inside in (2 * budget <= total, 2 * budget > total):
+        taken = fit_below(sizes, counts, budget, seed) if inside else counts - fit_below(sizes, counts, total - budget, seed)
+        gap = abs(budget - int((sizes * taken).sum()))
+        if best is None or gap < best[0]:
+            best = gap, taken
+        if gap == 0:
+            break
+    return best[1]
+
+
+def fit_below(sizes: np.ndarray, counts: np.ndarray, budget: int, seed: int) -> np.ndarray:
+    """At most ``budget`` words: proportional shares, then the knapsack over the rest, and over more if a gap is left."""
+    taken = shares(counts, budget, int((sizes * counts).sum()))
     left = budget - int((sizes * taken).sum())
     order = np.random.default_rng(seed).permutation(len(sizes)).tolist()
     while left > FIT_WORDS:
@@ -125,9 +140,25 @@ def fit(sizes: np.ndarray, counts: np.ndarray, budget: int, seed: int = SEED) ->
         more = room if total <= left else shares(room, left, total)
         taken = taken + more
         left -= int((sizes * more).sum())
-    if 0 < left <= FIT_WORDS:  # else no document fits
-        taken = taken + knapsack(sizes, counts - taken, left)
-    return taken
+    taken = filled(sizes, counts, taken, left)
+    left = budget - int((sizes * taken).sum())
+    if left == 0:
+        return taken
+    # documents of each size in turn are put back and fitted together with the rest
+    put_back, freed = np.zeros(len(sizes), np.int64), 0
+    for i in order:
+        k = int(min(taken[i], max(1, RELEASE_WORDS // (8 * max(1, sizes[i])))))
+        if freed < RELEASE_WORDS and sizes[i] > 0:
+            put_back[i] = k
+            freed += k * int(sizes[i])
+    again = filled(sizes, counts, taken - put_back, left + freed)
+    return again if budget - int((sizes * again).sum()) < left else taken
+
+
+def filled(sizes: np.ndarray, counts: np.ndarray, taken: np.ndarray, left: int) -> np.ndarray:
+    """``taken`` and what the knapsack adds for ``left`` words. Beyond ``RELEASE_WORDS`` sums are counted in larger units, rounded up."""
+    unit = max(1, -(-left // RELEASE_WORDS))
+    return taken + knapsack(-(-sizes // unit), np.where(sizes > 0, counts - taken, 0), left // unit)
 
 
 def quotas(rows: DataFrame, seed: int = SEED, **goal) -> DataFrame:
@@ -158,14 +189,18 @@ def mix(rows: DataFrame, seed: int = SEED, **goal) -> DataFrame:
     """rows: from ``sized``. row, size, source_size, target, copies (0, 1 or 2 by default)."""
     prepare(session(rows))
     drawn = rows.join(quotas(rows, seed, **goal), ["skey", "size", "bucket"])
-    rank = F.row_number().over(Window.partitionBy("skey", "size", "bucket").orderBy("order"))
-    extra = F.when(F.col("quota") == F.col("n"), 1).when(F.col("quota") == 0, 0).otherwise((F.col("rank") <= F.col("quota")).cast("int"))
-    return drawn.withColumn("rank", rank).select("row", "size", "source_size", "target", (F.col("whole") + extra).alias("copies"))
+    split = (F.col("quota") > 0) & (F.col("quota") < F.col("n"))
+    # most buckets go whole or not at all; only the rows of the others are ranked, and rows of one hash by all they carry
+    rank = F.row_number().over(Window.partitionBy("skey", "size", "bucket").orderBy("order", F.to_json("row")))
+    ranked = drawn.where(split).withColumn("extra", (rank <= F.col("quota")).cast("int"))
+    every = drawn.where(~split).withColumn("extra", (F.col("quota") > 0).cast("int")).unionByName(ranked)
+    return every.select("row", "size", "source_size", "target", (F.col("whole") + F.col("extra")).alias("copies"))
 
 
 def repeat_documents(docs: DataFrame, seed: int = SEED, **goal) -> DataFrame:
     """The mixed table: each row of ``docs`` as often as the mix takes it."""
-    mixed = mix(sized(docs, F.struct(*[docs[f"`{c}`"] for c in docs.columns]), seed), seed, **goal)
+    rows = materialise(sized(docs, F.struct(*[docs[f"`{c}`"] for c in docs.columns]), seed), "mix-rows")
+    mixed = mix(rows, seed, **goal)
     return mixed.select(F.explode(F.array_repeat("row", F.col("copies"))).alias("row")).select("row.*")
 
 

@@ -79,9 +79,25 @@ def test_fit_is_exact_on_a_large_histogram():
 
 @pytest.mark.parametrize(
     "sizes, counts, budget, reached",
-    [([100, 400_000], [4000, 1], 400_000, 400_000), ([100, 400_000], [4000, 1], 600_000, 600_000), ([7, 300_000, 900_000], [400_000, 2, 1], 1_500_003, 1_500_003), ([0, 100, 10**9], [5, 4000, 1], 399_950, 399_900)],
+    [([100, 400_000], [4000, 1], 400_000, 400_000), ([100, 400_000], [4000, 1], 600_000, 600_000), ([7, 300_000, 900_000], [400_000, 2, 1], 1_500_003, 1_500_003), ([0, 100, 10**9], [5, 4000, 1], 399_950, 399_900),
+     ([300_000, 200_000, 150_000], [1, 1, 1], 350_000, 350_000), ([300_000, 200_000, 150_000, 140_001], [1, 1, 1, 1], 340_001, 340_001), ([3, 700_000, 800_001], [2, 3, 3], 2_200_001, 2_200_001),
+     ([100_000_000, 90_000_000, 70_000_000], [1, 2, 1], 160_000_000, 160_000_000)],
 )
 def test_a_very_long_document_leaves_no_gap(sizes, counts, budget, reached):
     sizes, counts = np.array(sizes), np.array(counts)
     taken = M.fit(sizes, counts, budget)
     assert (taken >= 0).all() and (taken <= counts).all() and (sizes * taken).sum() == reached
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 400_000), st.integers(1, 3)), min_size=1, max_size=5, unique_by=lambda x: x[0]), st.integers(0, 2_000_000))
+def test_few_long_documents_are_fitted_exactly(items, budget):
+    sizes, counts = np.array([i[0] for i in items]), np.array([i[1] for i in items])
+    sums = {0}
+    for s, r in items:
+        sums = {x + s * k for x in sums for k in range(r + 1)}
+    taken = M.fit(sizes, counts, budget)
+    assert (taken >= 0).all() and (taken <= counts).all()
+    budget = min(budget, max(sums))
+    best = min(abs(x - budget) for x in sums)
+    assert abs(int((sizes * taken).sum()) - budget) == best
