@@ -7,7 +7,8 @@ order. The writer stores bytes as pages of 192 x 64 RGB pixels (576 bytes a
 row): single rows as LZW, other pages in turn as deflate tiles with predictor
 and PackBits strips.
 
-Cases: a null or malformed file gives one page row that holds only ``error``; a
+Cases: a null or malformed file, or a predictor or compression it does not
+know, gives a last page row that holds only ``error``; a
 chain of directories that comes back to itself ends with an error; null text
 counts as empty; rows are independent, so repeated rows agree; an empty table
 gives an empty result; other columns are ignored unless named in ``keep``.
@@ -32,6 +33,8 @@ STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PREDICTOR = 273, 277, 278,
 TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES = 322, 323, 324, 325
 PLAIN, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 FIELD = {1: "B", 3: "H", 4: "I"}
+#: Samples that a stored byte gives at most: a pair of bytes, 128; deflate's bound; an LZW code of over a byte, a string of the 12-bit table.
+EXPANDS = {PLAIN: 1, PACKBITS: 64, DEFLATE: 1032, OLD_DEFLATE: 1032, LZW: 4096}
 
 UNIT, PAGE_ROWS, PAGE_WIDTH, CHANNELS = 576, 64, 192, 3
 TILE = (96, 16)  # width and height in pixels
@@ -136,10 +139,8 @@ def expand(data: bytes, scheme: int, size: int) -> bytes:
         out = zlib.decompressobj().decompress(data, size)
     elif scheme == PACKBITS:
         out = unpackbits(data, size)
-    elif scheme == LZW:
-        out = unlzw(data, size)
     else:
-        raise ValueError(f"compression {scheme}")
+        out = unlzw(data, size)
     if len(out) < size:
         raise ValueError("strip or tile too short")
     return out
@@ -180,14 +181,23 @@ def read_page(data: bytes, fields: dict[int, list[int]]) -> dict:
     else:
         wide, high, offsets, sizes = width, min(height, one(ROWS_PER_STRIP, height)), fields[STRIP_OFFSETS], fields[STRIP_BYTES]
     across, down = -(-width // wide), -(-height // high)
-    if len(offsets) < across * down or width * height * samples > 1032 * max(1, len(data)) + (1 << 20):
+    if min(len(offsets), len(sizes)) < across * down:
         raise ValueError("strips or tiles are missing")
+    predictor = one(PREDICTOR, 1)
+    if predictor not in (1, 2):
+        raise ValueError(f"predictor {predictor}")
+    if scheme not in EXPANDS:
+        raise ValueError(f"compression {scheme}")
+    rows_of = lambda y: high if TILE_WIDTH in fields else min(high, height - y)  # the last strip may be shorter
+    for i, (place, size) in enumerate(zip(offsets[: across * down], sizes)):
+        if rows_of(i // across * high) * wide * samples > EXPANDS[scheme] * max(0, min(size, len(data) - place)):
+            raise ValueError("strip or tile too short")
     page = np.empty((down * high, across * wide, samples), np.uint8)
     for i, (place, size) in enumerate(zip(offsets[: across * down], sizes)):
         y, x = i // across * high, i % across * wide
-        rows = high if TILE_WIDTH in fields else min(high, height - y)  # the last strip may be shorter
+        rows = rows_of(y)
         block = np.frombuffer(expand(data[place : place + size], scheme, rows * wide * samples), np.uint8).reshape(rows, wide, samples)
-        if one(PREDICTOR, 1) == 2:
+        if predictor == 2:
             block = np.add.accumulate(block, axis=1, dtype=np.uint8)
         page[y : y + rows, x : x + wide] = block
     pixels = np.ascontiguousarray(page[:height, :width]).ravel()

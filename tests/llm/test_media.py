@@ -54,6 +54,101 @@ def test_malformed_files_give_one_error(data):
     assert page["error"]
 
 
+def tiff(width, height, samples, scheme, blocks, rows=None, tile=None, predictor=None, order="<"):
+    """A file laid out apart from the writer: directory first, short fields, then the arrays and the blocks."""
+    offset_tag, size_tag = (324, 325) if tile else (273, 279)
+    fields = {256: ("H", [width]), 257: ("H", [height]), 258: ("H", [8] * samples), 259: ("H", [scheme]), 262: ("H", [1 if samples == 1 else 2]), 277: ("H", [samples]), offset_tag: ("I", [0] * len(blocks)), size_tag: ("I", [len(b) for b in blocks])}
+    if tile:
+        fields |= {322: ("H", [tile[0]]), 323: ("H", [tile[1]])}
+    else:
+        fields[278] = ("H", [rows])
+    if predictor:
+        fields[317] = ("H", [predictor])
+    at = 8 + 2 + 12 * len(fields) + 4
+    place = at + sum(struct.calcsize(order + f"{len(v)}{k}") for k, v in fields.values() if struct.calcsize(order + f"{len(v)}{k}") > 4)
+    for i, b in enumerate(blocks):
+        fields[offset_tag][1][i] = place
+        place += len(b)
+    head = (b"II" if order == "<" else b"MM") + struct.pack(order + "HIH", 42, 8, len(fields))
+    entries, arrays = b"", b""
+    for tag, (kind, values) in sorted(fields.items()):
+        packed = struct.pack(order + f"{len(values)}{kind}", *values)
+        if len(packed) > 4:
+            arrays, packed = arrays + packed, struct.pack(order + "I", at + len(arrays))
+        entries += struct.pack(order + "HHI", tag, 3 if kind == "H" else 4, len(values)) + packed.ljust(4, b"\0")
+    return head + entries + b"\0" * 4 + arrays + b"".join(blocks)
+
+
+def plain_lzw(data):
+    """LZW as the format's text has it: codes of ever more bits, one code early, cleared when the table is full."""
+    out, table, width = "", None, 9
+    text = [bytes([b]) for b in data]
+    string = b""
+    out += f"{256:09b}"
+    table = {bytes([i]): i for i in range(256)}
+    free = 258
+    for c in text:
+        if string + c in table:
+            string += c
+            continue
+        out += f"{table[string]:0{width}b}"
+        table[string + c] = free
+        free += 1
+        if free in (512, 1024, 2048):
+            width += 1
+        if free == 4094:
+            out += f"{256:0{width}b}"
+            table, free, width = {bytes([i]): i for i in range(256)}, 258, 9
+        string = c
+    out += f"{table[string]:0{width}b}"
+    free += 1
+    width += free in (512, 1024, 2048)
+    out += f"{257:0{width}b}"
+    return int(out.ljust(-(-len(out) // 8) * 8, "0"), 2).to_bytes(-(-len(out) // 8), "big")
+
+
+PACK = {1: bytes, 8: zlib.compress, 32946: zlib.compress, 5: plain_lzw, 32773: lambda b: b"".join(bytes([len(b[i : i + 100]) - 1]) + b[i : i + 100] for i in range(0, len(b), 100))}
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+@pytest.mark.parametrize("predictor", [None, 1, 2])
+@pytest.mark.parametrize("scheme", list(PACK))
+@pytest.mark.parametrize("tiled", [False, True])
+def test_files_of_another_writer(scheme, tiled, predictor, order):
+    width, height, samples = 70, 37, 3
+    image = [[[(x * 7 + y * y + c * 31 + (x * y) % 11) % 256 for c in range(samples)] for x in range(width)] for y in range(height)]
+
+    def block(x0, y0, w, h):
+        out = bytearray()
+        for y in range(y0, y0 + h):
+            for x in range(x0, x0 + w):
+                for c in range(samples):
+                    value = lambda u: image[y][u][c] if y < height and u < width else 0
+                    out.append((value(x) - (value(x - 1) if x > x0 else 0)) % 256 if predictor == 2 else value(x))
+        return PACK[scheme](bytes(out))
+
+    if tiled:
+        file = tiff(width, height, samples, scheme, [block(x, y, 32, 16) for y in range(0, height, 16) for x in range(0, width, 32)], tile=(32, 16), predictor=predictor, order=order)
+    else:
+        file = tiff(width, height, samples, scheme, [block(0, y, width, min(10, height - y)) for y in range(0, height, 10)], rows=10, predictor=predictor, order=order)
+    (page,) = M.read_pages(file)
+    assert page["pixels"] == bytes(v for row in image for p in row for v in p) and page["compression"] == scheme
+
+
+def test_a_page_that_shrinks_a_thousandfold():
+    data = bytes(2700 * 2700)
+    packed = M.lzw(data)
+    assert len(data) > 1032 * (len(packed) + 200) and M.unlzw(packed, len(data)) == data
+    (page,) = M.read_pages(tiff(2700, 2700, 1, 5, [packed], rows=2700))
+    assert page["pixels"] == data
+
+
+def test_what_it_does_not_know_is_an_error():
+    for file in (tiff(4, 4, 1, 1, [bytes(16)], rows=4, predictor=3), tiff(4, 4, 1, 7, [bytes(16)], rows=4), tiff(60_000, 60_000, 3, 5, [bytes(99)], rows=60_000)):
+        (page,) = M.read_pages(file)
+        assert page["error"]
+
+
 def test_cut_files_never_crash():
     file = M.write_tiff(M.padded(b"some text " * 900))
     for n in range(0, len(file), 13):
