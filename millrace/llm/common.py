@@ -7,6 +7,7 @@ import sys
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -60,9 +61,30 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: later steps survive lost executors."""
     path = new_path(session(df), name)
     df.write.parquet(path)
+    held = getattr(session(df).sparkContext, "_millrace_held", None)
+    if held is not None:
+        held.append(path)
     return session(df).read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def intermediates(spark: SparkSession, docs: DataFrame):
+    """Around a stage whose result is written before the next one begins: what the stage before wrote goes, unless ``docs`` reads it."""
+    context = prepare(spark).sparkContext
+    old = getattr(context, "_millrace_done", [])
+    read = set(docs.inputFiles()) if old else set()
+    for path in old:
+        if not any(os.path.basename(path) in f for f in read):
+            where = context._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+    context._millrace_done, context._millrace_held = [p for p in old if any(os.path.basename(p) in f for f in read)], []
+    try:
+        yield
+    finally:
+        context._millrace_done += context._millrace_held
+        context._millrace_held = None
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -38,17 +38,18 @@ def normalised(text: str = "text") -> Column:
 
 
 def keyed(docs: DataFrame, hash_bits: int = 64, carry: Column | None = None) -> DataFrame:
-    """Write and reread row (a number of its own), doc_id, cp (code points of the original), norm, sha, h (its key of ``hash_bits`` leading bits) and carried."""
+    """Write and reread row (a number of its own), doc_id, cp (code points of the original), sha, h (its key of ``hash_bits`` leading bits) and norm, or instead of it what is carried."""
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"),
         "doc_id",
         F.length(F.coalesce("text", F.lit(""))).alias("cp"),
         normalised().alias("norm"),
-        (F.lit(None).cast("boolean") if carry is None else carry).alias("carried"),
+        *(() if carry is None else (carry.alias("carried"),)),
     )
     h = F.xxhash64("norm")
     h = h if hash_bits == 64 else F.shiftleft(F.shiftright(h, 64 - hash_bits), 64 - hash_bits)
-    return materialise(rows.withColumns({"h": h, "sha": F.sha2("norm", 256)}), "dedup-rows")
+    rows = rows.withColumns({"h": h, "sha": F.sha2("norm", 256)})
+    return materialise(rows if carry is None else rows.drop("norm"), "dedup-rows")
 
 
 def cell_of(h: str, bits: int) -> Column:
@@ -97,7 +98,8 @@ def build_index(rows: DataFrame, cells: DataFrame) -> DataFrame:
     # the longest original wins, then the smallest id; a fixed-width rank keeps the aggregation in its hash map
     unit = F.lit(str(2**65)).cast("decimal(20,0)")
     rank = F.col("cp").cast("decimal(10,0)") * unit - F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(str(2**63)).cast("decimal(20,0)"))
-    compared = place(rows.select("row", "doc_id", "cp", "norm", "h"), cells).groupBy("bucket", "depth", "h", "norm")
+    norm = F.col("norm") if "norm" in rows.columns else normalised("carried.text").alias("norm")
+    compared = place(rows.select("row", "doc_id", "cp", norm, "h"), cells).groupBy("bucket", "depth", "h", "norm")
     entries = compared.agg(F.max_by("row", rank).alias("keep_row"), F.max_by("doc_id", rank).alias("keep_id"), F.count(F.lit(1)).alias("n"))
     links = entries.select("bucket", "depth", "h", F.struct(F.sha2("norm", 256).alias("sha"), "keep_row", "keep_id", "n").alias("link"))
     # a chain holds the different texts that share one 64-bit key
