@@ -1,42 +1,69 @@
 """From raw documents to token ids: five stages, each written as Parquet and read back for the next.
 
 Each stage takes (spark, docs, sf_dir). All but the last return the columns of
-documents, whatever they are; the last returns one row per document taken.
+documents, whatever they are; the last returns one row per document taken. What
+a stage keeps in the shared folder goes when the next one begins, since its
+result is written by then (it stays if the next one still reads it).
+
+Cases, in every stage: a null text counts as empty, and a null id, language or
+source is a value like any other; an empty table gives an empty result; further
+columns of any name are kept, unread.
 """
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import bpe, exact_dedup, langid, mixing, simhash
-from millrace.llm.common import documents, materialise, prepare
+from millrace.llm.common import documents, intermediates, materialise
+
+
+def stage(work):
+    """A stage of the pipeline, which begins by clearing what the one before it left."""
 
+    @wraps(work)
+    def started(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with intermediates(spark, docs):
+            return work(spark, docs, sf_dir)
 
+    return started
+
+
+@stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from all rows with a language, judges each by the others; drops texts without a letter and texts that no language accepts."""
+    """Learns from all rows with a language, judges each by the others; drops texts without a letter and texts that no language accepts.
+
+    Rows that repeat stand or fall together; without any language only texts without a letter go.
+    """
     return langid.keep_cross_fitted(docs)
 
 
+@stage
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the longest original of each group of equal texts."""
+    """Keeps the longest original of each group of equal texts, then the smallest id; one row, also of rows that repeat an id."""
     return exact_dedup.keep_one(docs)
 
 
+@stage
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each component of near fingerprints or of texts with a similarity of 0.8 on five words."""
-    prepare(spark)
+    """Keeps the document with the smallest id of each component of near fingerprints or of texts with a similarity of 0.8 on five words.
+
+    All texts without a word are one component. Rows that repeat id and text stand or fall together; the stage before leaves none.
+    """
     return simhash.keep_one(docs)
 
 
+@stage
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice."""
-    prepare(spark)
+    """Each document as often as the mix takes it: not at all, once or twice. Rows that repeat are drawn one by one."""
     return mixing.repeat_documents(docs)
 
 
+@stage
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    prepare(spark)
+    """doc_id, n_tokens, ids_sha256, decoded_sha256; an empty text has no tokens."""
     return bpe.token_digests(docs)
 
 
@@ -45,8 +72,8 @@ STAGES = [("language_id", language_id), ("exact_dedup", exact), ("simhash_near_d
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for name, work in STAGES[:-1]:
+        docs = materialise(work(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
