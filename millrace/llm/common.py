@@ -100,5 +100,5 @@ def same(a, b):
 
 
 def text_key(text="text"):
-    """A 64-bit key of a text, to tell apart rows that repeat an id."""
-    return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+    """A 64-bit key of a text (string or bytes), to tell apart rows that repeat an id."""
+    return F.xxhash64(F.coalesce((F.col(text) if isinstance(text, str) else text).cast("binary"), F.lit("").cast("binary")))

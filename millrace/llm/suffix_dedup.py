@@ -2,22 +2,24 @@
 
 What is repeated is decided by run-compressed Burrows-Wheeler transforms. So
 that equal strings meet in one task, every window of ``length`` bytes is dealt
-by its anchor: the ``GRAM``-byte string in it with the smallest hash. Equal
+by its anchor: the ``gram``-byte string in it with the smallest hash. Equal
 windows have equal anchors, and consecutive windows of one anchor form one
-piece. Only anchors that occur twice, or twice within a
-piece, can hold a repeat; their pieces are dealt
-by anchor, and each task indexes its pieces, a few MB at a time.
+piece. Only anchors that occur twice, or twice within a piece, can hold a
+repeat; the different pieces of each are dealt by anchor, and each task indexes
+them, a few MB at a time. Where a piece occurs is not dealt with it: places look
+up the spans of their piece afterwards, so copies cost one piece for each batch
+of documents.
 
 The index of a batch is the transform's runs with the text positions sampled at
 both ends of each run. Only there can the nearest other suffix change: within a
 run, the match of position i - 1 with its neighbour is one longer than that of
 position i. So the statistics of all positions stream from the samples, and a
 window is repeated if the match with one of its two neighbours reaches
-``length``. Pieces with equal bytes are indexed once, and all their windows are
-repeats.
+``length``. All windows of a piece that occurs twice are repeats.
 
-An anchor with more than ``HOT`` pieces is not gathered in one task: its windows
-are counted by a 128-bit digest, across tasks, which is exact up to that digest.
+An anchor with more than ``hot`` different pieces does not fit one index. Its
+pieces are taken as texts of their own and dealt again, now by the longest
+anchor there is, the whole window; an anchor of that length has one piece.
 
 Cases: null text counts as empty; texts shorter than ``length`` bytes are kept
 whole; rows that repeat an id and text count as separate texts, hence as
@@ -35,19 +37,21 @@ from pyspark.sql import functions as F
 from .common import documents, materialise, prepare, same, session, text_key, utf8_list
 
 LENGTH = 400
-#: Bytes of an anchor, a power of two; at most LENGTH.
+#: Bytes of an anchor, at most LENGTH.
 GRAM = 128
-#: Bytes that one index covers; a single anchor's pieces may exceed it.
+#: Bytes of different pieces that one index covers; those of a single anchor may exceed it.
 BATCH_BYTES = 1 << 20
-HOT = 20_000
+HOT = 4_000
 
 
 def gram_hashes(text: np.ndarray, gram: int) -> np.ndarray:
-    """A 64-bit hash of the ``gram`` bytes (a power of two) from each position."""
+    """A 64-bit hash of the ``gram`` bytes from each position."""
     h, base, n = text.astype(np.uint64) + np.uint64(1), 0x9E3779B97F4A7C15, 1
-    while n < gram:
+    while 2 * n <= gram:
         h = h[:-n] * np.uint64(base) + h[n:]
         base, n = base * base % 2**64, 2 * n
+    if n < gram:  # two that overlap
+        h = h[: n - gram] * np.uint64(base) + h[gram - n :]
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(32))
@@ -196,8 +200,8 @@ def find_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def cut_pieces(docs: DataFrame, runs: DataFrame, length: int) -> DataFrame:
-    """doc_id, th, anchor, hot, first, piece of the given runs. A text's runs are bounded by its length."""
-    by_text = runs.groupBy(F.col("doc_id").alias("id"), "th").agg(F.collect_list(F.struct("anchor", "hot", "first", "n")).alias("runs"))
+    """doc_id, th, anchor, first and digest of the given runs; piece and times (how often) with one of the equal ones of a batch. A text's runs are bounded by its length."""
+    by_text = runs.groupBy(F.col("doc_id").alias("id"), "th").agg(F.collect_list(F.struct("anchor", "first", "n")).alias("runs"))
     texts = docs.select("doc_id", text_key().alias("tk"), "text")
     met = texts.join(by_text, same(texts["doc_id"], by_text["id"]) & (texts["tk"] == by_text["th"])).select("doc_id", "th", "runs", "text")
 
@@ -206,93 +210,104 @@ def cut_pieces(docs: DataFrame, runs: DataFrame, length: int) -> DataFrame:
             lists = b.column(2)
             flat, times = lists.flatten(), np.diff(lists.offsets.to_numpy())
             at = np.repeat(np.arange(b.num_rows), times)
-            anchor, hot, first, n = (flat.field(i) for i in range(4))
+            anchor, first, n = (flat.field(i) for i in range(3))
             texts = utf8_list(b.column(3))
             firsts, ends = first.to_numpy(), first.to_numpy() + n.to_numpy() + length - 1
             for low in range(0, len(at), 8192):
                 part = slice(low, low + 8192)
-                pieces = [texts[t][a:z] for t, a, z in zip(at[part].tolist(), firsts[part].tolist(), ends[part].tolist())]
+                seen: dict[bytes, int] = {}
+                pieces, digests, many = [], [], []
+                for i, (t, a, z) in enumerate(zip(at[part].tolist(), firsts[part].tolist(), ends[part].tolist())):
+                    piece = texts[t][a:z]
+                    k = seen.setdefault(piece, i)
+                    if k == i:
+                        pieces.append(piece)
+                        digests.append(xxhash.xxh3_128_digest(piece))
+                        many.append(1)
+                    else:
+                        many[k] += 1
+                        pieces.append(None)
+                        digests.append(digests[k])
+                        many.append(0)
                 took = pa.array(at[part])
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(took), b.column(1).take(took), anchor[low : low + 8192], hot[low : low + 8192], first[low : low + 8192], pa.array(pieces, pa.binary())],
-                    ["doc_id", "th", "anchor", "hot", "first", "piece"],
+                    [b.column(0).take(took), b.column(1).take(took), anchor[low : low + 8192], first[low : low + 8192], pa.array(digests, pa.binary()), pa.array(pieces, pa.binary()), pa.array(many, pa.int32())],
+                    ["doc_id", "th", "anchor", "first", "digest", "piece", "times"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return met.mapInArrow(run, f"doc_id {kind}, th long, anchor long, hot boolean, first int, piece binary")
+    return met.mapInArrow(run, f"doc_id {kind}, th long, anchor long, first int, digest binary, piece binary, times int")
+
+
+SPANS = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
+SPAN_TYPE = "array<struct<lo: int, hi: int>>"
 
 
 def index_pieces(pieces: DataFrame, length: int, batch_bytes: int) -> DataFrame:
-    """doc_id, th, lo, hi: byte spans of repeated windows, from pieces gathered by anchor."""
-    rows = pieces.select("anchor", "doc_id", "th", "first", "piece")
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    sorted_rows = rows.repartition("anchor").sortWithinPartitions("anchor")
+    """pieces: anchor, digest, piece, times. anchor, digest and spans of repeated windows within the piece."""
+    sorted_rows = pieces.select("anchor", "digest", "piece", "times").repartition("anchor").sortWithinPartitions("anchor")
 
     def run(batches):
-        held: dict[bytes, list] = {}  # a piece and where it occurs
-        size, last, id_type = 0, None, None
+        held: dict[tuple, list] = {}  # a piece and how often it occurs
+        size, last = 0, None
 
         def out():
-            parts = list(held)
-            flags = RunIndex(parts).repeats(length)
-            ids, keys, los, his = [], [], [], []
-            for piece, flag in zip(parts, flags):
-                places = held[piece]
-                if len(places) > 1:
+            flags = RunIndex([x[0] for x in held.values()]).repeats(length)
+            found = []
+            for (anchor, digest), (_, times), flag in zip(held, held.values(), flags):
+                if times > 1:
                     flag[:] = True
                 lo, hi = flagged_spans(flag, length)
-                for doc, th, first in places if len(lo) else ():
-                    ids += [doc] * len(lo)
-                    keys += [th] * len(lo)
-                    los += (lo + first).tolist()
-                    his += (hi + first).tolist()
-            return pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(keys, pa.int64()), pa.array(los, pa.int32()), pa.array(his, pa.int32())], ["doc_id", "th", "lo", "hi"])
+                if len(lo):
+                    found.append((anchor, digest, [{"lo": x, "hi": y} for x, y in zip(lo.tolist(), hi.tolist())]))
+            anchors, digests, spans = zip(*found) if found else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(anchors, pa.int64()), pa.array(digests, pa.binary()), pa.array(spans, SPANS)], ["anchor", "digest", "spans"])
 
         for b in batches:
-            id_type = b.schema.field(1).type
-            for anchor, doc, th, first, piece in zip(*(c.to_pylist() for c in b.columns)):
+            for anchor, digest, piece, times in zip(*(c.to_pylist() for c in b.columns)):
                 if anchor != last and size >= batch_bytes:
                     yield out()
                     held, size = {}, 0
                 last = anchor
-                places = held.setdefault(piece, [])
-                if not places:
+                if (anchor, digest) in held:
+                    held[anchor, digest][1] += times
+                else:
+                    held[anchor, digest] = [piece, times]
                     size += len(piece)
-                places.append((doc, th, first))
         if held:
             yield out()
 
-    return sorted_rows.mapInArrow(run, f"doc_id {kind}, th long, lo int, hi int")
-
-
-def count_windows(pieces: DataFrame, length: int) -> DataFrame:
-    """doc_id, th, lo, hi as ``index_pieces`` gives, for anchors with many pieces: windows are counted across tasks."""
-    rows = pieces.select("doc_id", "th", "first", "piece")
-    kind = rows.schema["doc_id"].dataType.simpleString()
-
-    def run(batches):
-        for b in batches:
-            ids, keys, firsts, texts = (c.to_pylist() for c in b.columns)
-            for doc, th, first, piece in zip(ids, keys, firsts, texts):
-                n = len(piece) - length + 1
-                d = [xxhash.xxh3_128_digest(piece[i : i + length]) for i in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array([doc] * n, b.schema.field(0).type), pa.array([th] * n, pa.int64()), pa.array(range(first, first + n), pa.int32()), pa.array(d, pa.binary())], ["doc_id", "th", "lo", "digest"])
-
-    windows = materialise(rows.mapInArrow(run, f"doc_id {kind}, th long, lo int, digest binary"), "repeat-windows")
-    twice = windows.groupBy("digest").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
-    return windows.join(twice, "digest").select("doc_id", "th", "lo", (F.col("lo") + length).alias("hi"))
+    return sorted_rows.mapInArrow(run, f"anchor long, digest binary, spans {SPAN_TYPE}")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batch_bytes: int = BATCH_BYTES, hot: int = HOT) -> DataFrame:
     """doc_id, th, lo, hi: byte spans covered by strings of ``length`` bytes that start elsewhere too; spans may overlap."""
     prepare(session(docs))
     runs = materialise(find_runs(docs, length, gram), "repeat-runs")
-    counts = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("times"), F.max("periodic").alias("periodic")).where("times > 1 or periodic").select("anchor", (F.col("times") > hot).alias("hot"))
+    counts = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("times"), F.max("periodic").alias("periodic")).where("times > 1 or periodic").select("anchor")
     pieces = materialise(cut_pieces(docs, runs.join(counts, "anchor"), length), "repeat-pieces")
-    spans = index_pieces(pieces.where("not hot"), length, batch_bytes)
-    if not pieces.where("hot").isEmpty():
-        spans = spans.unionByName(count_windows(pieces.where("hot"), length))
-    return spans
+    bytes_of = pieces.where("times > 0")
+    if gram < length:
+        large = materialise(bytes_of.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("n")).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("anchor"), "repeat-hot")
+        spans = index_pieces(bytes_of.join(large, "anchor", "left_anti"), length, batch_bytes)
+        if not large.isEmpty():
+            spans = spans.unionByName(split_hot(bytes_of.join(large, "anchor", "left_semi"), length, batch_bytes))
+    else:
+        spans = index_pieces(bytes_of, length, batch_bytes)
+    places = pieces.select("doc_id", "th", "anchor", "digest", "first")
+    met = places.join(spans, ["anchor", "digest"]).select("doc_id", "th", "first", F.explode("spans").alias("s"))
+    return met.select("doc_id", "th", (F.col("first") + F.col("s.lo")).alias("lo"), (F.col("first") + F.col("s.hi")).alias("hi"))
+
+
+def split_hot(pieces: DataFrame, length: int, batch_bytes: int) -> DataFrame:
+    """What ``index_pieces`` gives, of anchors with very many pieces: each different piece is a text, dealt by whole windows."""
+    once = pieces.groupBy("anchor", "digest").agg(F.first("piece").alias("text"), F.sum("times").alias("times"))
+    once = materialise(once.withColumn("doc_id", F.concat(F.hex("anchor"), F.hex("digest"))), "repeat-hot-pieces")
+    found = repeated_spans(once.select("doc_id", "text"), length, length, batch_bytes)
+    found = found.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    whole = F.array(F.struct(F.lit(0).alias("lo"), F.octet_length("text").alias("hi")))
+    met = once.join(found, "doc_id", "left").select("anchor", "digest", F.when(F.col("times") > 1, whole).otherwise(F.col("spans")).alias("spans"))
+    return met.where("spans is not null")
 
 
 def join_spans(lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
@@ -314,7 +329,6 @@ def remove_repeats(docs: DataFrame, **how) -> DataFrame:
     texts = docs.select("doc_id", text_key().alias("tk"), "text")
     met = texts.join(by_text, same(texts["doc_id"], by_text["id"]) & (texts["tk"] == by_text["th"]), "left").select("doc_id", "text", "spans")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    span_list = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
 
     def run(batches):
         for b in batches:
@@ -324,9 +338,9 @@ def remove_repeats(docs: DataFrame, **how) -> DataFrame:
                 cuts = [0, *(x for s in joined for x in s), len(text)]
                 kept.append(b"".join(text[a:z] for a, z in zip(cuts[::2], cuts[1::2])) if joined else text)
                 found.append([{"lo": a, "hi": z} for a, z in joined])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(found, span_list), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(found, SPANS), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
-    return met.mapInArrow(run, f"doc_id {kind}, n_bytes long, spans array<struct<lo: int, hi: int>>, kept binary")
+    return met.mapInArrow(run, f"doc_id {kind}, n_bytes long, spans {SPAN_TYPE}, kept binary")
 
 
 def op4_suffix_dedup(spark, sf_dir) -> DataFrame:
@@ -337,4 +351,5 @@ def op4_suffix_dedup(spark, sf_dir) -> DataFrame:
         (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        F.length("kept").cast("long").alias("n_kept"),
     )

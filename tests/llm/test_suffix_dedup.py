@@ -53,6 +53,14 @@ def test_documents(docs, how):
     assert result(docs, **how) == brute(docs.collect(), S.LENGTH)
 
 
+def test_a_hot_anchor_is_split_by_whole_windows(spark, docs):
+    passage = " ".join(r.text for r in docs.orderBy("doc_id").limit(3).collect())[:700]
+    rows = [(i, f"{'x' * (i % 5)} own words {i} {passage[: 420 + 13 * (i % 9)]} and {i * 7} ends {'y' * (i % 300)}") for i in range(60)] + [(100, passage), (101, passage), (102, "ab" * 500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (0, 3, 4000):
+        assert result(df, hot=hot) == brute(df.collect(), S.LENGTH)
+
+
 def test_shorter_strings_and_smaller_anchors(docs):
     few = docs.where("length(text) < 1500")
     assert result(few, length=60, gram=16) == brute(few.collect(), 60)
