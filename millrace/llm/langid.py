@@ -4,23 +4,24 @@ Texts are lower-cased; everything but letters becomes a blank, and blanks are
 joined. Four UTF-16 units pack into one 64-bit number, so the hash of a
 character sequence is exact and its suffix and context are bit operations.
 Spark counts the sequences of all training texts. From those counts each
-language's model follows; it is stored in sorted arrays, one per order, looked
-up by binary search. A text goes to the language with the lowest cross-entropy
-per character. It is rejected if that exceeds what the language's own training
-text shows by ``SLACK`` nats and ``SPREAD`` standard errors.
-
-``keep_cross_fitted`` judges the rows that the models are learned from. Rows are
-dealt into ``FOLDS`` folds by their text, so equal texts share one, and each fold
-is judged with the counts of the other folds: no text vouches for itself. A
-language's limit is the median of the entropies of its own texts, so judged,
-plus one deviation of their characters and ``SPREAD`` standard errors; medians,
-so that wrong labels do not move it.
+language's model follows; it is stored in sorted arrays, one per language and
+order, looked up by binary search. A text goes to the language with the lowest
+cross-entropy per character.
+
+Rejection and score are calibrated on texts that the judging model has not
+learned (``calibrate``): learning rows are dealt into ``FOLDS`` folds by their
+text, so equal texts share one, and each fold is judged with the counts of the
+other folds. A language's limit is the median of the entropies of its own texts,
+so judged, plus one deviation of their characters and ``SPREAD`` standard
+errors; medians, so that wrong labels do not move it. The score is a softmax
+over all of a text's characters, times the one of ``RATES`` under which the
+learning rows' own languages are most likely: characters are not independent.
+``keep_cross_fitted`` judges the learning rows themselves in the same way.
 
 Distinct sequences (not their occurrences) are counted first. Up to
 ``MAX_ENTRIES`` of them the model is held by the driver and broadcast
 (``Model``); beyond, the same model is built and looked up by joins
-(``Tables``), with all its counts. ``train`` alone prunes: with a bound, the
-rarest sequences go, for callers that want a model in memory at any price.
+(``Tables``). Both hold all counts and give the same results.
 
 Cases: text that is null or has no letter gives ``und`` with score 0 and is
 rejected; ties go to the first language by name; rows are independent, so
@@ -44,10 +45,10 @@ from .common import documents, materialise, prepare, session
 
 ORDER = 4
 MAX_ENTRIES = 4_000_000
-SLACK, SPREAD = 1.5, 6.0
+SPREAD = 6.0
 FOLDS = 4
-#: The score is a softmax of cross-entropies over this many characters at most.
-SCORE_CHARS = 100
+#: What a text's characters may count for in its score.
+RATES = tuple(2.0**-k for k in range(9))
 UNKNOWN = "und"
 
 
@@ -130,64 +131,56 @@ def sorted_lookup(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.
 
 
 class Model:
-    """Log-probabilities of all languages in sorted arrays: rows for sequences seen in any language."""
+    """Log-probabilities in sorted arrays, for each language those of its own sequences and contexts."""
 
     def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
         self.langs = sorted(counts)
-        width = len(self.langs)
-        mask = [np.uint64((1 << 16 * n) - 1) for n in range(ORDER)]
-        # counts by order: occurrences at the top; below, how many different characters stand before the sequence
-        by_order: dict[int, list] = {ORDER: [counts[x] for x in self.langs]}
-        for n in range(ORDER - 1, 0, -1):
-            by_order[n] = [np.unique(seq & mask[n], return_counts=True) for seq, _ in by_order[n + 1]]
-        self.keys, self.logp, self.contexts, self.backoff = {}, {}, {}, {}
-        units = np.unique(np.concatenate([s for s, _ in by_order[1]])) if width else np.zeros(0, np.uint64)
-        self.floor = 1 / (len(units) + 1)
-        lower = np.full((1, width), self.floor)  # the uniform model, for any character
-        for n in range(1, ORDER + 1):
-            self.keys[n] = np.unique(np.concatenate([s for s, _ in by_order[n]])) if width else np.zeros(0, np.uint64)
-            self.contexts[n] = np.unique(self.keys[n] >> np.uint64(16))
-            context = np.searchsorted(self.contexts[n], self.keys[n] >> np.uint64(16))
-            below = lower if n == 1 else lower[np.searchsorted(self.keys[n - 1], self.keys[n] & mask[n - 1])]
-            p, back = np.zeros((len(self.keys[n]), width)), np.ones((len(self.contexts[n]), width))
-            for i, (seq, c) in enumerate(by_order[n]):
-                if not len(seq):
-                    continue
+        mask = [np.uint64((1 << 16 * n) - 1) for n in range(ORDER + 1)]
+        units = np.unique(np.concatenate([counts[x][0] & mask[1] for x in self.langs])) if counts else np.zeros(0, np.uint64)
+        self.floor = 1 / (len(units) + 1)  # the uniform model, for any character
+        self.tables, self.mean, self.deviation = [], np.zeros(len(counts)), np.ones(len(counts))
+        for i, name in enumerate(self.langs):
+            # counts by order: occurrences at the top; below, how many different characters stand before the sequence
+            by_order = {ORDER: counts[name]}
+            for n in range(ORDER - 1, 0, -1):
+                by_order[n] = np.unique(by_order[n + 1][0] & mask[n], return_counts=True)
+            table, below = {}, np.array([self.floor])
+            for n in range(1, ORDER + 1):
+                seq, c = by_order[n]
                 once, twice = (c == 1).sum(), (c == 2).sum()
                 d = min(0.95, max(0.05, once / (once + 2 * twice) if once else 0.5))
-                own = np.searchsorted(self.contexts[n], seq >> np.uint64(16))
-                total = np.bincount(own, c, len(self.contexts[n]))
-                kinds = np.bincount(own, minlength=len(self.contexts[n]))
-                seen = total > 0
-                back[seen, i] = d * kinds[seen] / total[seen]
-                p[np.searchsorted(self.keys[n], seq), i] = (c - d) / total[own]
-            p += back[context] * below
-            lower = p
-            self.logp[n], self.backoff[n] = np.log(p).astype(np.float32), np.log(back).astype(np.float32)
-        self.mean, self.deviation = np.zeros(width), np.ones(width)
-        for i, (seq, c) in enumerate(by_order[ORDER]):
+                contexts, own = np.unique(seq >> np.uint64(16), return_inverse=True)
+                total, kinds = np.bincount(own, c, len(contexts)), np.bincount(own, minlength=len(contexts))
+                back = d * kinds / np.maximum(total, 1)
+                lower = below[0] if n == 1 else below[np.searchsorted(by_order[n - 1][0], seq & mask[n - 1])]
+                p = (c - d) / total[own] + back[own] * lower
+                table[n] = seq, np.log(p).astype(np.float32), contexts, np.log(back).astype(np.float32)
+                below = p
+            self.tables.append(table)
+            seq, c = counts[name]
             if len(seq):
-                h = -self.logp[ORDER][np.searchsorted(self.keys[ORDER], seq), i].astype(float)
+                h = -table[ORDER][1].astype(float)
                 self.mean[i] = np.average(h, weights=c)
                 self.deviation[i] = np.sqrt(np.average((h - self.mean[i]) ** 2, weights=c))
 
     def log_probabilities(self, packed: np.ndarray) -> np.ndarray:
         """One row for each sequence, one column for each language."""
-        at, hit = sorted_lookup(self.keys[ORDER], packed)
-        out = self.logp[ORDER][at]
-        rest = np.flatnonzero(~hit)
-        out[rest] = 0
-        for n in range(ORDER, 0, -1):
-            if not len(rest):
-                break
-            seq = packed[rest] & np.uint64((1 << 16 * n) - 1)
-            at, hit = sorted_lookup(self.keys[n], seq)
-            out[rest[hit]] += self.logp[n][at[hit]]
-            rest, seq = rest[~hit], seq[~hit]
-            at, known = sorted_lookup(self.contexts[n], seq >> np.uint64(16))
-            out[rest[known]] += self.backoff[n][at[known]]
-        out[rest] += np.log(self.floor)
-        return out
+        every, place = np.unique(packed, return_inverse=True)
+        out = np.zeros((len(every), len(self.langs)), np.float32)
+        for i, table in enumerate(self.tables):
+            rest = np.arange(len(every))
+            for n in range(ORDER, 0, -1):
+                if not len(rest):
+                    break
+                keys, logp, contexts, back = table[n]
+                seq = every[rest] & np.uint64((1 << 16 * n) - 1)
+                at, hit = sorted_lookup(keys, seq)
+                out[rest[hit], i] += logp[at[hit]]
+                rest, seq = rest[~hit], seq[~hit]
+                at, known = sorted_lookup(contexts, seq >> np.uint64(16))
+                out[rest[known], i] += back[at[known]]
+            out[rest, i] += np.log(self.floor)
+        return out[place]
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per text: cross-entropy per character and variance of its characters' for each language, and characters."""
@@ -198,20 +191,22 @@ class Model:
         h, squares = (np.stack([np.bincount(where, x[:, i], n_texts) for i in range(len(self.langs))], 1) / n for x in (-logp, logp**2))
         return h, np.maximum(squares - h**2, 0), chars
 
-    def judge(self, texts: list[str]) -> list[tuple[str, float, float, bool]]:
+    def judge(self, texts: list[str], shown: Shown | None = None) -> list[tuple[str, float, float, bool]]:
         """Per text: language, score, cross-entropy per character, rejected."""
         n_texts, width = len(texts), len(self.langs)
         if not width:
             return [(UNKNOWN, 0.0, 0.0, not HAS_LETTER.search(t)) for t in texts]
+        shown = shown or Shown()
         packed, where = sequences(texts)
         logp = self.log_probabilities(packed)
         chars = np.bincount(where, minlength=n_texts)
         h = np.stack([-np.bincount(where, logp[:, i], n_texts) for i in range(width)], 1) / np.maximum(chars, 1)[:, None]
         best = h.argmin(1)
-        odds = np.exp((h.min(1)[:, None] - h) * np.minimum(chars, SCORE_CHARS)[:, None])
+        odds = np.exp((h.min(1)[:, None] - h) * chars[:, None] * shown.rate)
         score = 1 / odds.sum(1)
         low = h[np.arange(n_texts), best]
-        limit = self.mean[best] + SLACK + SPREAD * self.deviation[best] / np.sqrt(np.maximum(chars, 1))
+        middle, wide = np.array([shown.limits.get(x, (self.mean[i], self.deviation[i])) for i, x in enumerate(self.langs)]).T
+        limit = middle[best] + wide[best] * (1 + SPREAD / np.sqrt(np.maximum(chars, 1)))
         out = []
         for i, t in enumerate(texts):
             if HAS_LETTER.search(t):
@@ -221,27 +216,19 @@ class Model:
         return out
 
 
-HAS_LETTER = regex.compile(r"\p{L}")
+class Shown:
+    """What texts that were not learned show: by language the middle of their entropies and the deviation of their characters', and the rate of the score."""
 
+    def __init__(self, limits: dict[str, tuple[float, float]] | None = None, rate: float = 1.0):
+        self.limits, self.rate = limits or {}, rate
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", max_entries: int = MAX_ENTRIES) -> Model:
-    """A model from all rows of ``docs`` that have a text and a language."""
-    table = fetched(count_sequences(docs, text, lang), max_entries)
-    return Model(by_language(table))
+
+HAS_LETTER = regex.compile(r"\p{L}")
 
 
-def fetched(counted: DataFrame, max_entries: int = MAX_ENTRIES):
-    """The counts on the driver, at most ``max_entries`` rows."""
-    counted = materialise(counted, "langid-counts")
-    if counted.count() > max_entries:
-        # the rarest go: a histogram of counts tells where to cut
-        kept, least = 0, None
-        for r in counted.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
-            if kept + r["count"] > max_entries:
-                break
-            kept, least = kept + r["count"], r["n"]
-        counted = counted.where(F.col("n") >= (least if least is not None else 1 << 62))
-    return counted.toPandas()
+def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
+    """A model in memory from all rows of ``docs`` that have a text and a language."""
+    return Model(by_language(count_sequences(docs, text, lang).toPandas()))
 
 
 def by_language(table) -> dict[str, tuple[np.ndarray, np.ndarray]]:
@@ -320,7 +307,7 @@ class Tables:
 
         return wanted.select("fold", "seq", F.array(*map(value, self.langs)).alias("v"))
 
-    def judged(self, docs: DataFrame, fold=None, text: str = "text", lang: str | None = "lang") -> DataFrame:
+    def judged(self, docs: DataFrame, fold=None, text: str = "text", lang: str | None = "lang", rate: float = 1.0) -> DataFrame:
         """The columns of ``docs``, of ``FOUND``, and __score."""
         given = F.lit(None) if lang is None else F.col(lang)
         rows = docs.select("*", F.monotonically_increasing_id().alias("__row"), (F.lit(0) if fold is None else fold).alias("__fold"), given.cast("string").alias("__given"))
@@ -348,12 +335,17 @@ class Tables:
         rows = rows.withColumn("__each", F.array_compact(F.array(*each)))
         rows = rows.withColumn("__best", F.array_min("__each")).withColumn("__of_own", F.filter("__each", lambda x: x["lang"] == F.col("__given")))
         own = F.when(F.col("__letter"), F.try_element_at("__of_own", F.lit(1)))
-        odds = F.aggregate("__each", F.lit(0.0), lambda total, x: total + F.exp((F.col("__best")["h"] - x["h"]) * F.least("__chars", F.lit(SCORE_CHARS))))
+        odds = F.aggregate("__each", F.lit(0.0), lambda total, x: total + F.exp((F.col("__best")["h"] - x["h"]) * F.col("__chars") * rate))
+
+        def likely_at(r):
+            return -F.log(F.aggregate("__each", F.lit(0.0), lambda total, x: total + F.exp(F.least((own["h"] - x["h"]) * F.col("__chars") * r, F.lit(600.0)))))
+
+        likely = F.array(*map(likely_at, RATES))
         shown = self.shown.select(F.col("fold").alias("__fold"), F.col("lang").alias("__lang"), F.col("mean").alias("__mean"), F.col("deviation").alias("__deviation"))
         rows = rows.withColumn("__lang", F.when(F.col("__letter"), F.coalesce(F.col("__best")["lang"], F.lit(UNKNOWN)))).join(F.broadcast(shown), ["__fold", "__lang"], "left")
         return rows.select(
             *[f"`{c}`" for c in docs.columns], "__lang", F.when(F.col("__letter"), F.col("__best")["h"]).alias("__h"), "__chars", "__mean", "__deviation",
-            own["h"].alias("__own"), own["variance"].alias("__variance"), F.when(F.col("__letter") & F.col("__best").isNotNull(), 1 / odds).otherwise(0.0).alias("__score"),
+            own["h"].alias("__own"), own["variance"].alias("__variance"), F.when(own.isNotNull(), likely).alias("__likely"), F.when(F.col("__letter") & F.col("__best").isNotNull(), 1 / odds).otherwise(0.0).alias("__score"),
         )
 
 
@@ -393,23 +385,27 @@ def other_counts(counted: DataFrame):
         yield counts
 
 
-def identify(docs: DataFrame, model: Model | Tables, keep: tuple = ("doc_id",), text: str = "text") -> DataFrame:
-    """``keep``, lang_pred, score, entropy and rejected for every whole text."""
-    spark = prepare(session(docs))
+def identify(docs: DataFrame, model: Model | Tables, keep: tuple = ("doc_id",), text: str = "text", shown: Shown | None = None) -> DataFrame:
+    """``keep``, lang_pred, score, entropy and rejected for every whole text. Without ``shown`` the model's own text sets the limits."""
+    spark, shown = prepare(session(docs)), shown or Shown()
     if isinstance(model, Tables):
-        found = model.judged(docs.select(*keep, F.col(text).alias("__text")), text="__text", lang=None)
-        limit = F.col("__mean") + SLACK + SPREAD * F.col("__deviation") / F.sqrt(F.greatest("__chars", F.lit(1)))
+        found = model.judged(docs.select(*keep, F.col(text).alias("__text")), text="__text", lang=None, rate=shown.rate)
+        # one row per language
+        limits = spark.createDataFrame([(k, *v) for k, v in shown.limits.items()], "__limited string, __middle double, __wide double")
+        found = found.join(F.broadcast(limits), F.col("__lang") == F.col("__limited"), "left")
+        limit = F.coalesce("__middle", "__mean") + F.coalesce("__wide", "__deviation") * (1 + SPREAD / F.sqrt(F.greatest("__chars", F.lit(1))))
         return found.select(
             *keep, F.coalesce("__lang", F.lit(UNKNOWN)).alias("lang_pred"), F.col("__score").alias("score"),
             F.coalesce("__h", F.lit(0.0)).alias("entropy"), (F.col("__lang").isNull() | F.coalesce(F.col("__h") > limit, F.lit(False))).alias("rejected"),
         )
     rows = docs.select(*keep, F.col(text).alias("__text"))
-    shared = spark.sparkContext.broadcast(model)  # at most MAX_ENTRIES sequences
+    shared = spark.sparkContext.broadcast((model, shown))  # at most MAX_ENTRIES sequences and their endings
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
     def run(batches):
+        model, shown = shared.value
         for b in batches:
-            found = shared.value.judge([t or "" for t in b.column(b.num_columns - 1).to_pylist()])
+            found = model.judge([t or "" for t in b.column(b.num_columns - 1).to_pylist()], shown)
             lang, score, entropy, rejected = zip(*found) if found else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(entropy, pa.float64()), pa.array(rejected, pa.bool_())],
@@ -434,14 +430,21 @@ def keep_identified(docs: DataFrame, model: Model, text: str = "text") -> DataFr
 
 #: What judging a row with its fold's model finds: language, its entropy and the characters; what the model's own
 #: text shows; entropy and variance of characters by the row's own language.
-FOUND = "__lang string, __h double, __chars long, __mean double, __deviation double, __own double, __variance double"
+#: ... and log-probability, by rate, of that language.
+FOUND = "__lang string, __h double, __chars long, __mean double, __deviation double, __own double, __variance double, __likely array<double>"
+
+
+def likely_of(h: np.ndarray, own: int, chars: int) -> list[float]:
+    """The log-probability of language ``own`` under each rate."""
+    z = (h[own] - h)[None, :] * (chars * np.array(RATES))[:, None]
+    return (-np.log(np.exp(np.minimum(z, 600.0)).sum(1))).tolist()
 
 
 def cross_judged(docs: DataFrame, models: list[Model], text: str = "text", lang: str = "lang") -> DataFrame:
     """The columns of ``docs`` and of ``FOUND``. __lang is ``UNKNOWN`` where there is no model, null where there is no letter."""
     shared, names = session(docs).sparkContext.broadcast(models), docs.columns
     rows = docs.select("*", fold_of(text).alias("__fold"), F.col(lang).cast("string").alias("__given"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    fields = pa.schema([("__lang", pa.string()), ("__h", pa.float64()), ("__chars", pa.int64())] + [(x, pa.float64()) for x in ("__mean", "__deviation", "__own", "__variance")])
+    fields = pa.schema([("__lang", pa.string()), ("__h", pa.float64()), ("__chars", pa.int64())] + [(x, pa.float64()) for x in ("__mean", "__deviation", "__own", "__variance")] + [("__likely", pa.list_(pa.float64()))])
 
     def run(batches):
         for b in batches:
@@ -458,30 +461,48 @@ def cross_judged(docs: DataFrame, models: list[Model], text: str = "text", lang:
                 place = {x: j for j, x in enumerate(model.langs)}
                 for r, i in enumerate(at):
                     j, own = int(h[r].argmin()), place.get(given[i])
-                    of_own = (None, None) if own is None else (float(h[r, own]), float(variance[r, own]))
+                    of_own = (None, None, None) if own is None else (float(h[r, own]), float(variance[r, own]), likely_of(h[r], own, int(chars[r])))
                     found[i] = (model.langs[j], float(h[r, j]), int(chars[r]), float(model.mean[j]), float(model.deviation[j]), *of_own)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], *(pa.array(x, f.type) for x, f in zip(zip(*found), fields))] if found else [*b.columns[: len(names)], *(pa.array([], f.type) for f in fields)], [*names, *fields.names])
 
     return rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", " + FOUND)
 
 
-def accepted(judged: DataFrame, lang: str = "lang") -> DataFrame:
-    """The rows of ``judged`` (with the columns of ``FOUND``) within their language's limit."""
+def limits_of(judged: DataFrame, lang: str = "lang") -> DataFrame:
+    """__limited (a language), __middle and __wide, from ``judged`` rows (with the columns of ``FOUND``)."""
     own = judged.where("__own is not null").groupBy(F.col(lang).cast("string").alias("__limited"))
-    # one row per language
-    limits = own.agg(F.percentile_approx("__own", 0.5, 10000).alias("__middle"), F.sqrt(F.percentile_approx("__variance", 0.5, 10000)).alias("__wide"))
+    return own.agg(F.percentile_approx("__own", 0.5, 10000).alias("__middle"), F.sqrt(F.percentile_approx("__variance", 0.5, 10000)).alias("__wide"))
+
+
+def accepted(judged: DataFrame, lang: str = "lang") -> DataFrame:
+    """The rows of ``judged`` within their language's limit."""
     middle, wide = F.coalesce("__middle", "__mean"), F.coalesce("__wide", "__deviation")
     limit = middle + wide * (1 + SPREAD / F.sqrt(F.greatest("__chars", F.lit(1))))
-    within = judged.join(F.broadcast(limits), F.col("__lang") == F.col("__limited"), "left")
+    # one row per language
+    within = judged.join(F.broadcast(limits_of(judged, lang)), F.col("__lang") == F.col("__limited"), "left")
     return within.where((F.col("__lang") == UNKNOWN) & F.col("__h").isNull() | (F.col("__h") <= limit))
 
 
+def judged_by_others(docs: DataFrame, text: str = "text", lang: str = "lang", max_entries: int = MAX_ENTRIES) -> DataFrame:
+    """The columns of ``docs`` and of ``FOUND``, each row judged by what the other folds teach."""
+    models = train_folds(docs, text, lang, max_entries)
+    return models.judged(docs, fold_of(text), text, lang) if isinstance(models, Tables) else cross_judged(docs, models, text, lang)
+
+
+def calibrate(docs: DataFrame, text: str = "text", lang: str = "lang", max_entries: int = MAX_ENTRIES) -> Shown:
+    """Limits and rate from all learning rows, each judged by the other folds."""
+    prepare(session(docs))
+    rows = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null")
+    judged = materialise(judged_by_others(rows, max_entries=max_entries).select("lang", "__own", "__variance", "__likely"), "langid-shown")
+    limits = {r["__limited"]: (r["__middle"], r["__wide"]) for r in limits_of(judged).collect()}  # one row per language
+    likely = judged.agg(*(F.sum(F.col("__likely")[i]) for i in range(len(RATES)))).first()
+    return Shown(limits, 1.0 if likely[0] is None else RATES[int(np.argmax(likely))])
+
+
 def keep_cross_fitted(docs: DataFrame, text: str = "text", lang: str = "lang", max_entries: int = MAX_ENTRIES) -> DataFrame:
     """The rows of ``docs`` whose text some language accepts by what the other folds teach, all columns unchanged."""
     prepare(session(docs))
-    models = train_folds(docs, text, lang, max_entries)
-    found = models.judged(docs, fold_of(text), text, lang) if isinstance(models, Tables) else cross_judged(docs, models, text, lang)
-    judged = materialise(found, "langid-judged")
+    judged = materialise(judged_by_others(docs, text, lang, max_entries).drop("__likely"), "langid-judged")
     return accepted(judged, lang).select(*[f"`{c}`" for c in docs.columns])
 
 
@@ -495,5 +516,6 @@ def learning_rows(docs: DataFrame) -> DataFrame:
 
 def op2_language_id(spark, sf_dir) -> DataFrame:
     docs = documents(spark, sf_dir)
-    found = identify(docs, learn(learning_rows(docs)))
+    rows = learning_rows(docs)
+    found = identify(docs, learn(rows), shown=calibrate(rows))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "entropy", "rejected")

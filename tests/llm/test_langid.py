@@ -74,9 +74,17 @@ def test_gibberish_is_rejected(spark, docs):
     assert L.keep_identified(docs, model).count() == docs.count()
 
 
-def test_rare_sequences_go_first_beyond_the_bound(docs):
-    small = L.train(docs, max_entries=3000)
-    assert sum(len(k) for k in [small.keys[4]]) <= 3000
+def test_limits_and_rate_come_from_texts_that_were_not_learned(docs):
+    rows = L.learning_rows(docs)
+    shown, model = L.calibrate(rows), L.learn(rows)
+    assert set(shown.limits) == set(model.langs) and shown.rate in L.RATES
+    # texts that were learned look better than others
+    assert all(shown.limits[x][0] > model.mean[i] for i, x in enumerate(model.langs))
+    held = docs.where(L.held_out())
+    got = L.identify(held, model, shown=shown).collect()
+    assert len(got) > 40 and sum(r.rejected for r in got) == 0
+    again = L.calibrate(rows, max_entries=10)
+    assert again.rate == shown.rate and all(abs(a - b) < 1e-3 for x in shown.limits for a, b in zip(again.limits[x], shown.limits[x]))
 
 
 def test_tables_hold_the_whole_model(docs, odd):
@@ -84,7 +92,8 @@ def test_tables_hold_the_whole_model(docs, odd):
         rows = L.learning_rows(df)
         tables = L.learn(rows, max_entries=10)
         assert isinstance(tables, L.Tables)
-        want, got = (sorted(L.identify(df, m).collect(), key=lambda r: (str(r.doc_id), r.entropy)) for m in (L.learn(rows), tables))
+        shown = L.calibrate(rows)
+        want, got = (sorted(L.identify(df, m, shown=shown).collect(), key=lambda r: (str(r.doc_id), r.entropy)) for m in (L.learn(rows), tables))
         assert [(r.doc_id, r.lang_pred, r.rejected) for r in got] == [(r.doc_id, r.lang_pred, r.rejected) for r in want]
         assert all(abs(a.entropy - b.entropy) < 1e-4 and abs(a.score - b.score) < 1e-3 for a, b in zip(got, want))
         kept = [L.keep_cross_fitted(df, max_entries=m) for m in (10, L.MAX_ENTRIES)]
