@@ -87,7 +87,9 @@ def write_tokens(docs: DataFrame, to: str, path: str | None = None, end_id: int
     """Write the token files of ``docs`` to ``to``: segments/ and manifest/."""
     spark = prepare(session(docs))
     path = path or vocabulary_path()
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # rows of one id, or of none, may lie in several parts too
+    keys = "doc_id", F.xxhash64("text")
+    ordered = docs.select("doc_id", "text").repartitionByRange(*keys).sortWithinPartitions(*keys)
     kind = ordered.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -175,15 +177,20 @@ def tokens_at(spark: SparkSession, at: str, positions: DataFrame, segment_ids: i
     blocks = F.explode(F.sequence(F.expr(f"start div {segment_ids}"), F.expr(f"(start + n - 1) div {segment_ids}")))
     asked = positions.select("pos", F.expr(f"pos div {segment_ids}").alias("block"))
     spans = held.select("start", "n", blocks.alias("block"))
-    placed = asked.join(spans, "block").where("pos >= start and pos < start + n").select("pos", "start")
-    met = placed.join(held.select("start", "levels"), "start").select("pos", "start", "levels")
+    placed = asked.join(spans, "block").where("pos >= start and pos < start + n")
+    # each segment meets all that is asked of it, at most its ids, once
+    wanted = placed.groupBy("start", "pos").agg(F.count(F.lit(1)).alias("times")).groupBy("start").agg(F.collect_list(F.struct("pos", "times")).alias("wanted"))
+    met = wanted.join(held.select("start", "levels"), "start").select("start", "wanted", "levels")
 
     def run(batches):
         for batch in batches:
-            found = [(pos, Segment(levels).get(pos - start)) for pos, start, levels in zip(*(c.to_pylist() for c in batch.columns))]
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["pos", "id"])
+            for start, wanted, levels in zip(*(c.to_pylist() for c in batch.columns)):
+                segment = Segment(levels)
+                found = [(w["pos"], segment.get(w["pos"] - start), w["times"]) for w in wanted]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["pos", "id", "times"])
 
-    return met.mapInArrow(run, "pos long, id long")
+    found = met.mapInArrow(run, "pos long, id long, times long")
+    return found.select(F.explode(F.array_repeat("pos", F.col("times").cast("int"))).alias("pos"), "id")
 
 
 def op7_token_files(spark, sf_dir) -> DataFrame:
