@@ -138,7 +138,7 @@ def hashed(text: bytes) -> np.ndarray:
     return np.concatenate([own, np.full(again, AGAIN, np.uint32), np.full(len(words) - again, AFTER, np.uint32)])
 
 
-def fit_scorer(rows: list[tuple[list[int], list[int]]], labels: np.ndarray, rounds: int = 300, rate: float = 30.0, decay: float = 1e-5) -> np.ndarray:
+def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: int = 300, rate: float = 30.0, decay: float = 1e-5) -> np.ndarray:
     """Logistic regression of soft labels on shares of hashed features; the last weight is the intercept."""
     weights = np.zeros((1 << HASH_BITS) + 1)
     if not len(rows):
@@ -199,8 +199,10 @@ def train(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -
 
     # copies of one text are drawn together, so the sample takes each text once
     sample = drawn.select("text").distinct().mapInArrow(run, "pattern long, at array<int>, n array<int>").where("pattern >= 0")
-    rows = sample.orderBy(F.xxhash64("at")).limit(2 * sample_rows).collect()
-    return Scorer(fit_scorer([(r["at"], r["n"]) for r in rows], np.array([posterior[r["pattern"]] for r in rows])), posterior)
+    rows = sample.orderBy(F.xxhash64("at")).limit(2 * sample_rows).toArrow()  # numbers, at most a feature table's width for each row
+    parts = [zip(*(np.split(c.values.to_numpy(), c.offsets.to_numpy()[1:-1]) for c in (b.column(1), b.column(2)))) for b in rows.to_batches() if b.num_rows]
+    labels = np.array([posterior[x] for x in rows.column("pattern").to_pylist()])
+    return Scorer(fit_scorer([x for part in parts for x in part], labels), posterior)
 
 
 def judge(docs: DataFrame, scorer: Scorer, keep: tuple = ("doc_id",), text: str = "text", threshold: float = 0.5) -> DataFrame:
