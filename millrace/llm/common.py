@@ -102,3 +102,17 @@ def same(a, b):
 def text_key(text="text"):
     """A 64-bit key of a text (string or bytes), to tell apart rows that repeat an id."""
     return F.xxhash64(F.coalesce((F.col(text) if isinstance(text, str) else text).cast("binary"), F.lit("").cast("binary")))
+
+
+def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], value: str, hot) -> DataFrame:
+    """``rows`` with the value of their keys in ``table``, which has each of them once.
+
+    ``hot`` tells the keys that very many rows share; there must be few. Every
+    task holds those, and their rows are spread over the other join, where they meet nothing.
+    """
+    near = table.where(hot).select(*keys, F.struct(F.col(value)).alias("__near"))
+    met = rows.join(F.broadcast(near), keys, "left")
+    spread = F.when(F.col("__near").isNull(), F.lit(0)).otherwise(1 + F.monotonically_increasing_id() % 1_000_000).cast("long")
+    far = table.where(~hot).select(*keys, F.lit(0).cast("long").alias("__spread"), F.struct(F.col(value)).alias("__far"))
+    met = met.withColumn("__spread", spread).join(far, [*keys, "__spread"], "left")
+    return met.select(*rows.columns, F.coalesce("__near", "__far")[value].alias(value))

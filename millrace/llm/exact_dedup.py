@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, documents, materialise
+from .common import ASCII_SPACE, documents, join_hot, materialise
 
 CAPACITY = 4096
 DIRECTORY_BITS = 16
@@ -111,13 +111,8 @@ def look_up(rows: DataFrame, cells: DataFrame, index: DataFrame) -> DataFrame:
     """row, doc_id, sha and link: the entry of each row, by directory, bucket, key and chain."""
     total = index.agg(F.sum(F.aggregate("chain", F.lit(0).cast("long"), lambda s, x: s + x["n"]))).first()[0] or 0
     placed = place(rows.select("row", "doc_id", "sha", "h"), cells)
-    hot = F.broadcast(index.where(F.exists("chain", lambda x: x["n"] * HOT_SHARE > total)).select("bucket", "h", F.col("chain").alias("near")))
-    met = placed.join(hot, ["bucket", "h"], "left")
-    # rows that are answered spread over all tasks and meet nothing more
-    spread = F.when(F.col("near").isNull(), F.lit(0)).otherwise(1 + F.col("row") % 1_000_000).cast("long")
-    far = index.select("bucket", "h", F.lit(0).cast("long").alias("spread"), "chain")
-    met = met.withColumn("spread", spread).join(far, ["bucket", "h", "spread"], "left")
-    link = F.filter(F.coalesce("near", "chain"), lambda x: x["sha"] == F.col("sha"))
+    met = join_hot(placed, index, ["bucket", "h"], "chain", F.exists("chain", lambda x: x["n"] * HOT_SHARE > total))
+    link = F.filter("chain", lambda x: x["sha"] == F.col("sha"))
     return met.select("row", "doc_id", "sha", F.get(link, F.lit(0)).alias("link"))
 
 

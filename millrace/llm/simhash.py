@@ -34,9 +34,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialise, prepare, same, session, utf8_list
+from .common import documents, join_hot, materialise, prepare, same, session, utf8_list
 
-SEED, WORDS, RADIUS, TILE = 42, 3, 2, 1024
+SEED, WORDS, RADIUS, TILE, HOT_SHARE = 42, 3, 2, 1024, 1000
 #: Near copies of the pipeline: similarity of the sets of shingles of so many words.
 SIMILAR, SIMILAR_WORDS = 0.8, 5
 
@@ -354,19 +354,20 @@ def similar_links(docs: DataFrame, least: float = SIMILAR, words: int = SIMILAR_
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, tile: int = TILE, seed: int = SEED, similar: float | None = None) -> DataFrame:
     """Per row of ``docs``: doc_id, fp, th, component_id (the smallest doc_id that it reaches)."""
     found = materialise(fingerprints(docs, words, seed), "simhash-fingerprints")
-    nodes = materialise(found.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-nodes")
+    nodes = materialise(found.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "simhash-nodes")
     roots = stars(links(nodes.select("fp"), radius, tile), "simhash-stars")
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "rep", "n", F.coalesce("root", "fp").alias("root"))
     if similar is not None:
         rooted = materialise(rooted, "simhash-rooted")
         places = materialise(found.join(rooted, "fp").select("th", "root").distinct(), "similar-places")
         pairs = similar_links(docs, similar).join(places.select(F.col("th").alias("a"), F.col("root").alias("x")), "a").join(places.select(F.col("th").alias("b"), F.col("root").alias("y")), "b")
         pairs = pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         joined = stars(pairs, "similar-stars").withColumnRenamed("root", "low")
-        rooted = rooted.join(joined, rooted["root"] == joined["node"], "left").select("fp", "rep", F.coalesce("low", "root").alias("root"))
+        rooted = rooted.join(joined, rooted["root"] == joined["node"], "left").select("fp", "rep", "n", F.coalesce("low", "root").alias("root"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = materialise(rooted.join(least, "root").select("fp", "component_id"), "simhash-components")
-    return found.join(named, "fp").select("doc_id", "fp", "th", "component_id")
+    named = materialise(rooted.join(least, "root").select("fp", "component_id", "n"), "simhash-components")
+    # fewer than HOT_SHARE fingerprints have more than a HOT_SHARE-th of all rows
+    return join_hot(found, named, ["fp"], "component_id", F.col("n") * HOT_SHARE > found.count()).select("doc_id", "fp", "th", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

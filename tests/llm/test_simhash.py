@@ -101,3 +101,11 @@ def test_similar_pairs_equal_brute_force(spark, docs):
     far = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts[:5])], docs.schema)
     assert len({r.component_id for r in S.near_duplicates(far).collect()}) > 2
     assert sorted(r.doc_id for r in S.keep_one(far).collect()) == [0, 3, 4]
+
+
+def test_hot_fingerprints_and_the_rest_alike(docs, monkeypatch):
+    found = []
+    for share in (1, 10**9):
+        monkeypatch.setattr(S, "HOT_SHARE", share)
+        found.append(result(S.near_duplicates(docs)))
+    assert found[0] == found[1] == brute(docs.collect())
