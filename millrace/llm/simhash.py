@@ -38,7 +38,7 @@ from .common import documents, join_hot, materialise, prepare, same, session, ut
 
 SEED, WORDS, RADIUS, TILE, HOT_SHARE = 42, 3, 2, 1024, 1000
 #: Near copies of the pipeline: similarity of the sets of shingles of so many words.
-SIMILAR, SIMILAR_WORDS = 0.8, 5
+SIMILAR, SIMILAR_WORDS, FEW = 0.8, 5, 20
 
 
 def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
@@ -292,8 +292,8 @@ def similar_links(docs: DataFrame, least: float = SIMILAR, words: int = SIMILAR_
     share one of the first shingles of each, so texts meet by those. All that
     meet in a shingle are compared with one of them, the one that has most in
     common with others, and linked texts are one component. Then again with
-    the next two, four and so on, and once few pairs of different components are
-    left, with those. So near copies of one text cost about one comparison each;
+    the next four, sixteen and so on, and once few pairs of different components
+    are left (``FEW`` for each shingle of a text), those are. So near copies of one text cost about one comparison each;
     only texts that share most but are not similar are all compared.
     """
     prepare(session(docs))
@@ -329,7 +329,7 @@ def similar_links(docs: DataFrame, least: float = SIMILAR, words: int = SIMILAR_
         open_ = placed if used is None else placed.join(used, ["shingle", "th"], "left_anti")
         by_root = open_.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("n"))
         left = by_root.groupBy("shingle").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same")).agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()[0]
-        last = left <= 2 * n_entries
+        last = centres > 1 and left <= FEW * n_entries
         other = open_.select("shingle", F.col("th").alias("th2"), F.col("root").alias("root2"))
         if last:
             met = open_.join(other, "shingle").where("th < th2 and root <> root2")
@@ -339,7 +339,7 @@ def similar_links(docs: DataFrame, least: float = SIMILAR, words: int = SIMILAR_
             rank = F.row_number().over(Window.partitionBy("shingle").orderBy(F.desc("score"), F.hash("th"), "th"))
             best = open_.join(mixed, "shingle", "left_semi").withColumn("rank", rank).where(F.col("rank") <= centres)
             best = materialise(best.select("shingle", "th", "root"), "similar-centres")
-            centres *= 2
+            centres *= 4
             used = materialise(best.select("shingle", "th") if used is None else used.unionByName(best.select("shingle", "th")), "similar-used")
             met = best.join(other, "shingle").where("th <> th2 and root <> root2")
         pairs = materialise(met.select(F.least("th", "th2").alias("a"), F.greatest("th", "th2").alias("b")).distinct(), "similar-candidates")

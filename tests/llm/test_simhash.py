@@ -79,6 +79,7 @@ def test_a_family_of_near_copies_is_linked_without_all_its_pairs(spark, docs, mo
     key = {r.text: r.th for r in df.selectExpr("text", "xxhash64(text) as th").collect()}
     want = {tuple(sorted((key[table[i]], key[table[j]]))) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
     seen = []
+    monkeypatch.setattr(S, "FEW", 2)
     keep = S.materialise
     monkeypatch.setattr(S, "materialise", lambda d, name: (lambda x: (seen.append(x.count()) if name == "similar-candidates" else None, x)[1])(keep(d, name)))
     got = {(r.a, r.b) for r in S.similar_links(df).collect()}
