@@ -112,7 +112,7 @@ def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], value: str, hot
     """
     near = table.where(hot).select(*keys, F.struct(F.col(value)).alias("__near"))
     met = rows.join(F.broadcast(near), keys, "left")
-    spread = F.when(F.col("__near").isNull(), F.lit(0)).otherwise(1 + F.monotonically_increasing_id() % 1_000_000).cast("long")
+    spread = F.when(F.col("__near").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(*rows.columns), F.lit(1_000_000))).cast("long")
     far = table.where(~hot).select(*keys, F.lit(0).cast("long").alias("__spread"), F.struct(F.col(value)).alias("__far"))
     met = met.withColumn("__spread", spread).join(far, [*keys, "__spread"], "left")
     return met.select(*rows.columns, F.coalesce("__near", "__far")[value].alias(value))
