@@ -186,7 +186,8 @@ def stars(pairs: DataFrame, name: str = "stars") -> DataFrame:
         large = both.join(lows, "a").where("b > a").select(F.col("low").alias("a"), "b").distinct()
         lows = large.groupBy("b").agg(F.min("a").alias("low"))
         small = large.join(lows, "b").select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("a").alias("b")), F.struct(F.col("low").alias("a"), F.col("b").alias("b")))).alias("e"))
-        edges = materialise(small.select("e.a", "e.b").where("a <> b").distinct(), name)
+        # a round at most doubles the edges: few of them make few files
+        edges = materialise(small.select("e.a", "e.b").where("a <> b").distinct().coalesce(1 + before[0] // 100_000), name)
         after = sized(edges)
         if after == before:
             break
@@ -325,30 +326,33 @@ def similar_links(docs: DataFrame, least: float = SIMILAR, words: int = SIMILAR_
         return both.where(F.col("both") >= least * (F.size("of_a") + F.size("of_b") - F.col("both")) - 1e-9).select("a", "b")
 
     while n_entries:
-        placed = entries.withColumn("root", F.col("th")) if roots is None else entries.join(roots, entries["th"] == roots["node"], "left").select("th", "score", "shingle", F.coalesce("root", "th").alias("root"))
+        placed = entries.withColumn("root", F.col("th")) if roots is None else entries.join(roots, "th", "left").select("th", "score", "shingle", F.coalesce("root", "th").alias("root"))
         open_ = placed if used is None else placed.join(used, ["shingle", "th"], "left_anti")
         by_root = open_.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("n"))
         left = by_root.groupBy("shingle").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same")).agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()[0]
         last = centres > 1 and left <= FEW * n_entries
-        other = open_.select("shingle", F.col("th").alias("th2"), F.col("root").alias("root2"))
+        other = open_.select("shingle", F.col("th").alias("b"), F.col("root").alias("root2"))
         if last:
-            met = open_.join(other, "shingle").where("th < th2 and root <> root2")
+            met = open_.withColumnRenamed("th", "a").join(other, "shingle").where("a < b and root <> root2")
         else:
-            # the next ones of shingles whose texts are not one component yet
+            # the next ones of shingles whose texts are not known to be one component yet
             mixed = by_root.groupBy("shingle").agg(F.count(F.lit(1)).alias("roots")).where("roots > 1")
             rank = F.row_number().over(Window.partitionBy("shingle").orderBy(F.desc("score"), F.hash("th"), "th"))
             best = open_.join(mixed, "shingle", "left_semi").withColumn("rank", rank).where(F.col("rank") <= centres)
             best = materialise(best.select("shingle", "th", "root"), "similar-centres")
+            used = best.select("shingle", "th") if used is None else used.unionByName(best.select("shingle", "th"))
+            met = best.withColumnRenamed("th", "a").join(other, "shingle").where("a <> b and root <> root2")
             centres *= 4
-            used = materialise(best.select("shingle", "th") if used is None else used.unionByName(best.select("shingle", "th")), "similar-used")
-            met = best.join(other, "shingle").where("th <> th2 and root <> root2")
-        pairs = materialise(met.select(F.least("th", "th2").alias("a"), F.greatest("th", "th2").alias("b")).distinct(), "similar-candidates")
-        new = confirmed(pairs)
+        new = confirmed(met.select("a", "b").distinct())
         links = materialise(new if links is None else links.unionByName(new), "similar-links")
         if last:
             break
-        roots = stars(links, "similar-roots")
-    return links if links is not None else entries.select(F.col("th").alias("a"), F.col("th").alias("b")).where("false")
+        # a text goes with one it is linked to, and with the one that goes with
+        one = links.groupBy("b").agg(F.min("a").alias("a"))
+        roots = materialise(one.join(one.select(F.col("b").alias("a"), F.col("a").alias("further")), "a", "left").select(F.col("b").alias("th"), F.coalesce("further", "a").alias("root")), "similar-roots")
+    if links is None:
+        links = entries.select(F.col("th").alias("a"), F.col("th").alias("b")).where("false")
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, tile: int = TILE, seed: int = SEED, similar: float | None = None) -> DataFrame:
