@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op9_bpe
+from .centroids import OP11_SQL, op11_centroids
 from .chat import op10_chat
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .langid import op2_language_id
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_bpe": op9_bpe,
     "op10_chat": op10_chat,
+    "op11_centroids": op11_centroids,
 }
 
-ORACLE_SQL = {"op8_exact_dedup": OP8_SQL}
+ORACLE_SQL = {"op8_exact_dedup": OP8_SQL, "op11_centroids": OP11_SQL}
