@@ -6,6 +6,7 @@ from .bpe import op9_bpe
 from .centroids import OP11_SQL, op11_centroids
 from .chat import op10_chat
 from .exact_dedup import OP8_SQL, op8_exact_dedup
+from .importance import op13_importance
 from .langid import op2_language_id
 from .media import op6_media_tiff
 from .mixing import op3_mixing
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_bpe": op9_bpe,
     "op10_chat": op10_chat,
     "op11_centroids": op11_centroids,
+    "op13_importance": op13_importance,
 }
 
 ORACLE_SQL = {"op8_exact_dedup": OP8_SQL, "op11_centroids": OP11_SQL}
