@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op9_bpe
 from .centroids import OP11_SQL, op11_centroids
 from .chat import op10_chat
+from .ctw import op12_ctw
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .importance import op13_importance
 from .langid import op2_language_id
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_bpe": op9_bpe,
     "op10_chat": op10_chat,
     "op11_centroids": op11_centroids,
+    "op12_ctw": op12_ctw,
     "op13_importance": op13_importance,
 }
 
