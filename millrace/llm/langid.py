@@ -2,7 +2,8 @@
 
 Texts are lower-cased; everything but letters becomes a blank, and blanks are
 joined. Four UTF-16 units pack into one 64-bit number, so the hash of a
-character sequence is exact and its suffix and context are bit operations.
+character sequence is exact and its suffix and context are bit operations; a
+letter beyond U+FFFF counts as its two units.
 Spark counts the sequences of all training texts. From those counts each
 language's model follows; it is stored in sorted arrays, one per language and
 order, looked up by binary search. A text goes to the language with the lowest
@@ -20,11 +21,13 @@ learning rows' own languages are most likely: characters are not independent.
 
 Distinct sequences (not their occurrences) are counted first. Up to
 ``MAX_ENTRIES`` of them the model is held by the driver and broadcast
-(``Model``); beyond, the same model is built and looked up by joins
-(``Tables``). Both hold all counts and give the same results.
+(``Model``); beyond, the same model is built by joins of counted sequences
+(``Tables``), each chunk of texts asks once for the distinct sequences it has,
+parts of the sorted model answer, and the texts are judged by the answers. Both
+hold all counts, read texts with the same code and give the same results.
 
 Cases: text that is null or has no letter gives ``und`` with score 0 and is
-rejected; ties go to the first language by name; rows are independent, so
+rejected; a text none of whose letters was learned is rejected; ties go to the first language by name; rows are independent, so
 repeated rows agree; without any training text all is ``und`` and only texts
 without a letter are rejected; a null doc_id is not held out and not learned
 from; other columns are ignored; a language with texts in one fold only has no
@@ -40,6 +43,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
 from .common import documents, materialise, prepare, session
 
@@ -52,19 +56,29 @@ RATES = tuple(2.0**-k for k in range(9))
 UNKNOWN = "und"
 
 
+HAS_LETTER = regex.compile(r"\p{L}")
+
+
 @lru_cache(maxsize=1)
 def letters() -> np.ndarray:
-    """Which UTF-16 units are letters."""
-    return np.array([0xD800 > c or c > 0xDFFF for c in range(65536)]) & np.array([chr(c).isalpha() for c in range(65536)])
+    """Which code points are letters; half of a surrogate pair is none by itself."""
+    found = np.zeros(0x110000, bool)
+    for m in regex.finditer(r"\p{L}+", "".join(" " if 0xD800 <= c < 0xE000 else chr(c) for c in range(0x110000))):
+        found[m.start() : m.end()] = True
+    return found
 
 
 def sequences(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Packed sequences of ORDER units, one for each kept character, and the index of the text of each."""
+    """Packed sequences of ORDER units, one for each kept unit, and the index of the text of each."""
     gap = "\0" * (ORDER - 1)
     joined = "".join(gap + (t.replace("\0", " ") if "\0" in t else t) for t in texts).lower()
     units = np.frombuffer(joined.encode("utf-16-le", "surrogatepass"), "<u2")
     border = units == 0
     is_letter = letters()[units]
+    high = np.flatnonzero(units >> 10 == 0b110110)  # first halves of code points beyond U+FFFF
+    if len(high):
+        point = 0x10000 + ((units[high].astype(np.int64) & 1023) << 10) + (units[high + 1] & 1023)
+        is_letter[high] = is_letter[high + 1] = letters()[point]
     blank = ~is_letter
     keep = border | is_letter
     keep[1:] |= blank[1:] & ~blank[:-1]
@@ -130,15 +144,56 @@ def sorted_lookup(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.
     return at, keys[at] == wanted
 
 
-class Model:
+class Judge:
+    """What judges texts: langs, mean and deviation of their own text, and the units learned. ``log_probabilities`` is a subclass's."""
+
+    langs: list[str]
+    mean: np.ndarray
+    deviation: np.ndarray
+    units: np.ndarray
+
+    def log_probabilities(self, packed: np.ndarray) -> np.ndarray:
+        """One row for each sequence, one column for each language."""
+        raise NotImplementedError
+
+    def entropies(self, texts: list[str]) -> tuple[np.ndarray, ...]:
+        """Per text: cross-entropy per unit and variance of its units' for each language, units, and whether a letter of it was learned."""
+        packed, where = sequences(texts)
+        chars = np.bincount(where, minlength=len(texts))
+        h, variance = np.zeros((2, len(texts), len(self.langs)))
+        seen = np.zeros(len(texts), bool)
+        full = np.flatnonzero(chars)
+        if len(full):
+            starts, n = np.searchsorted(where, full), chars[full][:, None]
+            logp = self.log_probabilities(packed)
+            h[full] = -np.add.reduceat(logp, starts, axis=0, dtype=np.float64) / n
+            variance[full] = np.maximum(np.add.reduceat(logp * logp, starts, axis=0, dtype=np.float64) / n - h[full] ** 2, 0)
+            learned = np.zeros(65536, bool)
+            learned[self.units] = True
+            learned[32] = False
+            seen[full] = np.logical_or.reduceat(learned[packed & np.uint64(65535)], starts)
+        return h, variance, chars, seen
+
+    def judge(self, texts: list[str], shown: Shown | None = None) -> list[tuple[str, float, float, bool]]:
+        """Per text: language, score, cross-entropy per unit, rejected."""
+        found = found_in(lambda _: self, [0] * len(texts), [None] * len(texts), texts, (shown or Shown()).rate)
+        return [(f["lang"] or UNKNOWN, f["score"], f["h"] or 0.0, rejected_by(f, (shown or Shown()).limits)) for f in found]
+
+
+#: How far a sequence's bits are spread to find its slot in a model's front.
+SPREAD_BITS = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Model(Judge):
     """Log-probabilities in sorted arrays, for each language those of its own sequences and contexts."""
 
     def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
         self.langs = sorted(counts)
         mask = [np.uint64((1 << 16 * n) - 1) for n in range(ORDER + 1)]
-        units = np.unique(np.concatenate([counts[x][0] & mask[1] for x in self.langs])) if counts else np.zeros(0, np.uint64)
-        self.floor = 1 / (len(units) + 1)  # the uniform model, for any character
+        self.units = np.unique(np.concatenate([counts[x][0] & mask[1] for x in self.langs])) if counts else np.zeros(0, np.uint64)
+        self.floor = 1 / (len(self.units) + 1)  # the uniform model, for any character
         self.tables, self.mean, self.deviation = [], np.zeros(len(counts)), np.ones(len(counts))
+        self.every = None
         for i, name in enumerate(self.langs):
             # counts by order: occurrences at the top; below, how many different characters stand before the sequence
             by_order = {ORDER: counts[name]}
@@ -163,9 +218,8 @@ class Model:
                 self.mean[i] = np.average(h, weights=c)
                 self.deviation[i] = np.sqrt(np.average((h - self.mean[i]) ** 2, weights=c))
 
-    def log_probabilities(self, packed: np.ndarray) -> np.ndarray:
-        """One row for each sequence, one column for each language."""
-        every, place = np.unique(packed, return_inverse=True)
+    def searched(self, every: np.ndarray) -> np.ndarray:
+        """Log-probabilities of distinct sequences, by search in the arrays of each language and order."""
         out = np.zeros((len(every), len(self.langs)), np.float32)
         for i, table in enumerate(self.tables):
             rest = np.arange(len(every))
@@ -180,42 +234,38 @@ class Model:
                 at, known = sorted_lookup(contexts, seq >> np.uint64(16))
                 out[rest[known], i] += back[at[known]]
             out[rest, i] += np.log(self.floor)
-        return out[place]
-
-    def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per text: cross-entropy per character and variance of its characters' for each language, and characters."""
-        packed, where = sequences(texts)
-        logp, n_texts = self.log_probabilities(packed).astype(float), len(texts)
-        chars = np.bincount(where, minlength=n_texts)
-        n = np.maximum(chars, 1)[:, None]
-        h, squares = (np.stack([np.bincount(where, x[:, i], n_texts) for i in range(len(self.langs))], 1) / n for x in (-logp, logp**2))
-        return h, np.maximum(squares - h**2, 0), chars
+        return out
 
-    def judge(self, texts: list[str], shown: Shown | None = None) -> list[tuple[str, float, float, bool]]:
-        """Per text: language, score, cross-entropy per character, rejected."""
-        n_texts, width = len(texts), len(self.langs)
-        if not width:
-            return [(UNKNOWN, 0.0, 0.0, not HAS_LETTER.search(t)) for t in texts]
-        shown = shown or Shown()
-        packed, where = sequences(texts)
-        logp = self.log_probabilities(packed)
-        chars = np.bincount(where, minlength=n_texts)
-        h = np.stack([-np.bincount(where, logp[:, i], n_texts) for i in range(width)], 1) / np.maximum(chars, 1)[:, None]
-        best = h.argmin(1)
-        odds = np.exp((h.min(1)[:, None] - h) * chars[:, None] * shown.rate)
-        score = 1 / odds.sum(1)
-        low = h[np.arange(n_texts), best]
-        middle, wide = np.array([shown.limits.get(x, (self.mean[i], self.deviation[i])) for i, x in enumerate(self.langs)]).T
-        limit = middle[best] + wide[best] * (1 + SPREAD / np.sqrt(np.maximum(chars, 1)))
-        out = []
-        for i, t in enumerate(texts):
-            if HAS_LETTER.search(t):
-                out.append((self.langs[best[i]], float(score[i]), float(low[i]), bool(low[i] > limit[i])))
-            else:
-                out.append((UNKNOWN, 0.0, 0.0, True))
+    def log_probabilities(self, packed: np.ndarray) -> np.ndarray:
+        if self.every is None:
+            # each worker has all learned sequences with the values of all languages, and slots that lead to most of them at once
+            self.every = np.unique(np.concatenate([t[ORDER][0] for t in self.tables] + [np.zeros(1, np.uint64)]))
+            self.values = self.searched(self.every)
+            self.shift = np.uint64(64 - min(22, (8 * len(self.every)).bit_length()))
+            self.front = np.zeros(1 << int(64 - self.shift), np.int32)
+            self.front[(self.every * SPREAD_BITS) >> self.shift] = np.arange(len(self.every))
+        at = self.front[(packed * SPREAD_BITS) >> self.shift]
+        out = self.values[at]
+        missed = np.flatnonzero(self.every[at] != packed)
+        if len(missed):
+            new, back = np.unique(packed[missed], return_inverse=True)
+            at, hit = sorted_lookup(self.every, new)
+            values = self.values[at]
+            values[~hit] = self.searched(new[~hit])
+            out[missed] = values[back]
         return out
 
 
+class Answers(Judge):
+    """The part of a model that a chunk of texts asked for."""
+
+    def __init__(self, langs, mean, deviation, units, key, values):
+        self.langs, self.mean, self.deviation, self.units, self.key, self.values = langs, mean, deviation, units, key, values
+
+    def log_probabilities(self, packed: np.ndarray) -> np.ndarray:
+        return self.values[np.searchsorted(self.key, packed)]
+
+
 class Shown:
     """What texts that were not learned show: by language the middle of their entropies and the deviation of their characters', and the rate of the score."""
 
@@ -223,9 +273,6 @@ class Shown:
         self.limits, self.rate = limits or {}, rate
 
 
-HAS_LETTER = regex.compile(r"\p{L}")
-
-
 def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """A model in memory from all rows of ``docs`` that have a text and a language."""
     return Model(by_language(count_sequences(docs, text, lang).toPandas()))
@@ -276,6 +323,9 @@ class Tables:
         for r in self.shown.select("lang", "fold").orderBy("lang", "fold").collect():
             self.folds.setdefault(r["lang"], []).append(r["fold"])
         self.langs = list(self.folds)
+        self.units: dict[int, np.ndarray] = {}  # at most 65,536 of each fold
+        for r in by_order[1].groupBy("fold").agg(F.collect_set("seq").alias("seq")).collect():
+            self.units[r["fold"]] = np.array(r["seq"], np.int64)
 
     @staticmethod
     def ending(n: int):
@@ -307,63 +357,154 @@ class Tables:
 
         return wanted.select("fold", "seq", F.array(*map(value, self.langs)).alias("v"))
 
-    def judged(self, docs: DataFrame, fold=None, text: str = "text", lang: str | None = "lang", rate: float = 1.0) -> DataFrame:
-        """The columns of ``docs``, of ``FOUND``, and __score."""
-        given = F.lit(None) if lang is None else F.col(lang)
-        rows = docs.select("*", F.monotonically_increasing_id().alias("__row"), (F.lit(0) if fold is None else fold).alias("__fold"), given.cast("string").alias("__given"))
-        rows = materialise(rows.withColumn("__letter", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))), "langid-rows")  # row numbers must not change
+    def judged(self, rows: DataFrame, rate: float) -> DataFrame:
+        """``judged_rows`` by tables: chunks of rows ask for the sequences they have."""
+        rows = materialise(rows.withColumn("chunk", F.shiftright(F.monotonically_increasing_id(), CHUNK_BITS)), "langid-rows")  # chunks must not change
+        parts = int(session(rows).conf.get("spark.sql.shuffle.partitions"))
+
+        def ask(batches):
+            held: dict[tuple, list] = {}
 
-        def run(batches):
+            def out():
+                for (chunk, fold), each in held.items():
+                    seq = np.unique(np.concatenate(each))
+                    part = part_of(seq, parts)
+                    order = np.argsort(part, kind="stable")
+                    for own in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in ([int(part[own[0]])], [fold], [chunk])] + [pa.array([seq[own].tobytes()], pa.binary())], ["part", "fold", "chunk", "keys"])
+
+            now = None
             for b in batches:
-                ids, fold = (b.column(i).to_numpy() for i in (0, 1))
-                # a text at a time: a sequence is counted within its text
-                for i, t in enumerate(b.column(2).to_pylist()):
-                    seq, n = np.unique(sequences([t])[0], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seq), ids[i], np.int64)), pa.array(np.full(len(seq), fold[i], np.int32)), pa.array(seq.view(np.int64)), pa.array(n.astype(np.int64))], ["__row", "fold", "seq", "n"])
-
-        grams = materialise(rows.where("__letter").select("__row", "__fold", text).mapInArrow(run, "__row long, fold int, seq long, n long"), "langid-grams")
-        known = materialise(self.log_probabilities(grams.select("fold", "seq").distinct()), "langid-scored")
-        sums = [F.sum(F.col("n") * F.col("v")[i] ** k).alias(f"__{k}_{i}") for i in range(len(self.langs)) for k in (1, 2)]
-        rows = rows.join(grams.join(known, ["fold", "seq"]).groupBy("__row").agg(F.sum("n").alias("__chars"), *sums), "__row", "left")
-        rows = rows.withColumn("__chars", F.coalesce("__chars", F.lit(0)))
-        each = []
-        for i, name in enumerate(self.langs):
-            n = F.greatest("__chars", F.lit(1))
-            h, squares = -F.coalesce(f"__1_{i}", F.lit(0.0)) / n, F.coalesce(f"__2_{i}", F.lit(0.0)) / n
-            one = F.struct(h.alias("h"), F.lit(name).alias("lang"), F.greatest(squares - h * h, F.lit(0.0)).alias("variance"))
-            each.append(F.when(F.col("__fold").isin(self.folds[name]), one))
-        rows = rows.withColumn("__each", F.array_compact(F.array(*each)))
-        rows = rows.withColumn("__best", F.array_min("__each")).withColumn("__of_own", F.filter("__each", lambda x: x["lang"] == F.col("__given")))
-        own = F.when(F.col("__letter"), F.try_element_at("__of_own", F.lit(1)))
-        odds = F.aggregate("__each", F.lit(0.0), lambda total, x: total + F.exp((F.col("__best")["h"] - x["h"]) * F.col("__chars") * rate))
-
-        def likely_at(r):
-            return -F.log(F.aggregate("__each", F.lit(0.0), lambda total, x: total + F.exp(F.least((own["h"] - x["h"]) * F.col("__chars") * r, F.lit(600.0)))))
-
-        likely = F.array(*map(likely_at, RATES))
-        shown = self.shown.select(F.col("fold").alias("__fold"), F.col("lang").alias("__lang"), F.col("mean").alias("__mean"), F.col("deviation").alias("__deviation"))
-        rows = rows.withColumn("__lang", F.when(F.col("__letter"), F.coalesce(F.col("__best")["lang"], F.lit(UNKNOWN)))).join(F.broadcast(shown), ["__fold", "__lang"], "left")
-        return rows.select(
-            *[f"`{c}`" for c in docs.columns], "__lang", F.when(F.col("__letter"), F.col("__best")["h"]).alias("__h"), "__chars", "__mean", "__deviation",
-            own["h"].alias("__own"), own["variance"].alias("__variance"), F.when(own.isNotNull(), likely).alias("__likely"), F.when(F.col("__letter") & F.col("__best").isNotNull(), 1 / odds).otherwise(0.0).alias("__score"),
-        )
+                chunk, fold, texts = (c.to_pylist() for c in b.columns)
+                for key in sorted(set(zip(chunk, fold))):
+                    if key[0] != now:
+                        yield from out()
+                        held, now = {}, key[0]
+                    seq, _ = sequences([t or "" for c, f, t in zip(chunk, fold, texts) if (c, f) == key])
+                    if len(seq):
+                        held.setdefault(key, []).append(np.unique(seq))
+            yield from out()
+
+        def differ(batches):
+            held: dict[int, list] = {}
+            for b in batches:
+                for fold, keys in zip(*(c.to_pylist() for c in b.columns)):
+                    held.setdefault(fold, []).append(np.frombuffer(keys, np.uint64))
+                    if sum(map(len, held[fold])) > 2_000_000:
+                        held[fold] = [np.unique(np.concatenate(held[fold]))]
+            for fold, each in held.items():
+                seq = np.unique(np.concatenate(each)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seq), fold, np.int64)), pa.array(seq)], ["fold", "seq"])
+
+        sent = materialise(rows.select("chunk", "fold", "text").mapInArrow(ask, "part long, fold long, chunk long, keys binary"), "langid-asked")
+        # parts meet in one task or another, so what they ask for is made distinct once more
+        wanted = sent.repartition("part").select("fold", "keys").mapInArrow(differ, "fold long, seq long").distinct()
+        known = materialise(self.log_probabilities(wanted.select(F.col("fold").cast("int").alias("fold"), "seq")), "langid-scored")
+        width = len(self.langs)
+
+        def answer(batches):
+            now, tables, held = None, {}, {}
+            for b in batches:
+                part, fold, asks = (b.column(i).to_numpy() for i in range(3))
+                cuts = np.flatnonzero((np.diff(part) != 0) | (np.diff(asks) != 0) | (np.diff(fold) != 0)) + 1
+                for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(part)]):
+                    if lo == hi:
+                        continue
+                    if part[lo] != now:
+                        now, tables, held = part[lo], {}, {}
+                    rows, f = b.slice(lo, hi - lo), int(fold[lo])
+                    if not asks[lo]:
+                        held.setdefault(f, []).append((rows.column(3).to_numpy().view(np.uint64), rows.column(4).flatten().to_numpy().reshape(-1, width)))
+                        continue
+                    if f not in tables:
+                        key, value = (np.concatenate(x) for x in zip(*held.pop(f)))
+                        order = np.argsort(key)
+                        tables[f] = key[order], value[order].astype(np.float32)
+                    key, value = tables[f]
+                    for chunk, keys in zip(rows.column(5).to_pylist(), rows.column(6).to_pylist()):
+                        found = value[np.searchsorted(key, np.frombuffer(keys, np.uint64))]
+                        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([f], pa.int32()), pa.array([keys], pa.binary()), pa.array([found.tobytes()], pa.binary())], ["chunk", "fold", "keys", "answers"])
+
+        none = lambda kind: F.lit(None).cast(kind)
+        table = known.select(part_of_column("seq", parts).alias("part"), F.col("fold").cast("long").alias("fold"), F.lit(0).alias("asks"), "seq", "v", none("long").alias("chunk"), none("binary").alias("keys"))
+        asked = sent.select("part", "fold", F.lit(1).alias("asks"), none("long").alias("seq"), none("array<double>").alias("v"), "chunk", "keys")
+        answers = table.unionByName(asked).repartition("part").sortWithinPartitions("part", "asks", "fold").mapInArrow(answer, "chunk long, fold int, keys binary, answers binary")
+
+        every, of_fold, shown, units = self.langs, self.folds, {(r["fold"], r["lang"]): (r["mean"], r["deviation"]) for r in self.shown.collect()}, self.units
+        row_type = rows.schema["row"].dataType
+
+        def finish(batches):
+            now, held, judges = None, {}, {}
+
+            def judge(fold):
+                if fold not in judges:
+                    langs = [x for x in every if fold in of_fold[x]]
+                    key, value = (np.concatenate(x) for x in zip(*held[fold])) if fold in held else (np.zeros(0, np.uint64), np.zeros((0, width), np.float32))
+                    order = np.argsort(key, kind="stable")
+                    mean, deviation = np.array([shown[fold, x] for x in langs]).reshape(-1, 2).T
+                    judges[fold] = Answers(langs, mean, deviation, units.get(fold, np.zeros(0, np.int64)), key[order], value[order][:, [every.index(x) for x in langs]])
+                return judges[fold]
+
+            for b in batches:
+                chunk, asks = b.column(0).to_numpy(), b.column(1).to_numpy()
+                cuts = np.flatnonzero((np.diff(chunk) != 0) | (np.diff(asks) != 0)) + 1
+                for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(chunk)]):
+                    if lo == hi:
+                        continue
+                    if chunk[lo] != now:
+                        now, held, judges = chunk[lo], {}, {}
+                    rows = b.slice(lo, hi - lo)
+                    fold = rows.column(2).to_pylist()
+                    if not asks[lo]:
+                        for f, keys, values in zip(fold, *(rows.column(i).to_pylist() for i in (3, 4))):
+                            held.setdefault(f, []).append((np.frombuffer(keys, np.uint64), np.frombuffer(values, np.float32).reshape(-1, width)))
+                        continue
+                    found = found_in(judge, fold, *(rows.column(i).to_pylist() for i in (6, 7)), rate)
+                    yield pa.RecordBatch.from_arrays([rows.column(5), pa.array(found, FOUND)], ["row", "found"])
+
+        told = answers.select("chunk", F.lit(0).alias("asks"), "fold", "keys", "answers", none(row_type).alias("row"), none("string").alias("given"), none("string").alias("text"))
+        judged = rows.select("chunk", F.lit(1).alias("asks"), "fold", none("binary").alias("keys"), none("binary").alias("answers"), "row", "given", "text")
+        met = told.unionByName(judged).repartition("chunk").sortWithinPartitions("chunk", "asks")
+        return met.mapInArrow(finish, judged_schema(rows))
+
+
+#: Rows of a chunk that asks together, as a power of two.
+CHUNK_BITS = 12
+
+
+def part_of(seq: np.ndarray, parts: int) -> np.ndarray:
+    return ((seq ^ seq >> np.uint64(21) ^ seq >> np.uint64(42)) & np.uint64(0x7FFFFFFF)) % np.uint64(parts)
+
+
+def part_of_column(seq: str, parts: int):
+    """``part_of`` of a column."""
+    x = F.col(seq).bitwiseXOR(F.shiftrightunsigned(seq, 21)).bitwiseXOR(F.shiftrightunsigned(seq, 42))
+    return x.bitwiseAND(F.lit(0x7FFFFFFF).cast("long")) % F.lit(parts).cast("long")
+
+
+def counted(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """Written: fold, lang, seq, n over all learning texts. One count serves the whole model and those of the folds."""
+    return materialise(count_sequences(docs, text, lang, fold_of(text)), "langid-counts")
 
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", max_entries: int = MAX_ENTRIES) -> Model | Tables:
     """The model of all counts: in memory up to ``max_entries`` of them, else as tables."""
-    counted = materialise(count_sequences(docs, text, lang), "langid-counts")
-    return Model(by_language(counted.toPandas())) if counted.count() <= max_entries else Tables(counted)
+    return whole_model(counted(docs, text, lang), max_entries)
+
+
+def whole_model(counts: DataFrame, max_entries: int = MAX_ENTRIES) -> Model | Tables:
+    every = materialise(counts.groupBy("lang", "seq").agg(F.sum("n").alias("n")).select(F.lit(0).alias("fold"), "lang", "seq", "n"), "langid-all")
+    return Model(by_language(every.toPandas())) if every.count() <= max_entries else Tables(every)
 
 
-def train_folds(docs: DataFrame, text: str = "text", lang: str = "lang", max_entries: int = MAX_ENTRIES) -> list[Model] | Tables:
+def fold_models(counts: DataFrame, max_entries: int = MAX_ENTRIES) -> list[Model] | Tables:
     """For each fold a model from the rows of the other folds; together in memory up to ``max_entries`` counts, else as tables."""
-    counted = materialise(count_sequences(docs, text, lang, fold_of(text)), "langid-counts")
-    if counted.count() > max_entries // FOLDS:
+    if counts.count() > max_entries // FOLDS:
         own = F.map_from_entries(F.collect_list(F.struct("fold", "n")))
-        every = counted.groupBy("lang", "seq").agg(F.sum("n").alias("all"), own.alias("own")).withColumn("fold", F.explode(F.array(*map(F.lit, range(FOLDS)))))
+        every = counts.groupBy("lang", "seq").agg(F.sum("n").alias("all"), own.alias("own")).withColumn("fold", F.explode(F.array(*map(F.lit, range(FOLDS)))))
         every = every.select("fold", "lang", "seq", (F.col("all") - F.coalesce(F.try_element_at("own", F.col("fold")), F.lit(0))).alias("n"))
         return Tables(materialise(every.where("n > 0"), "langid-others"))
-    return [Model(counts) for counts in other_counts(counted)]
+    return [Model(counts) for counts in other_counts(counts)]
 
 
 def other_counts(counted: DataFrame):
@@ -385,34 +526,91 @@ def other_counts(counted: DataFrame):
         yield counts
 
 
+#: What judging a text finds: language (``UNKNOWN`` without a model, null without a letter), its entropy, the units, whether a letter was learned;
+#: what the model's own text shows; the row's own language, the text's entropy and variance of units by it, its log-probability by rate; the score.
+FOUND = pa.struct(
+    [("lang", pa.string()), ("h", pa.float64()), ("chars", pa.int64()), ("seen", pa.bool_()), ("mean", pa.float64()), ("deviation", pa.float64()), ("given", pa.string())]
+    + [("own", pa.float64()), ("variance", pa.float64()), ("likely", pa.list_(pa.float64())), ("score", pa.float64())]
+)
+FOUND_TYPE = "struct<lang: string, h: double, chars: long, seen: boolean, mean: double, deviation: double, given: string, own: double, variance: double, likely: array<double>, score: double>"
+
+
+def judged_schema(rows: DataFrame) -> StructType:
+    return StructType().add("row", rows.schema["row"].dataType).add("found", DataType.fromDDL(FOUND_TYPE))
+
+
+def likely_of(h: np.ndarray, own: int, chars: int) -> list[float]:
+    """The log-probability of language ``own`` under each rate."""
+    z = (h[own] - h)[None, :] * (chars * np.array(RATES))[:, None]
+    return (-np.log(np.exp(np.minimum(z, 600.0)).sum(1))).tolist()
+
+
+def found_in(judge, fold: list, given: list, texts: list, rate: float = 1.0) -> list[dict]:
+    """What each text's judge finds; ``judge`` gives the one of a fold."""
+    texts = [t or "" for t in texts]
+    out = [dict.fromkeys((f.name for f in FOUND)) | {"given": g, "score": 0.0} for g in given]
+    for k in set(fold):
+        by, at = judge(k), [i for i, f in enumerate(fold) if f == k and HAS_LETTER.search(texts[i])]
+        if not by.langs:
+            for i in at:
+                out[i]["lang"] = UNKNOWN
+            continue
+        h, variance, chars, seen = by.entropies([texts[i] for i in at])
+        place = {x: j for j, x in enumerate(by.langs)}
+        for r, i in enumerate(at):
+            j, own = int(h[r].argmin()), place.get(given[i])
+            score = 1 / np.exp((h[r, j] - h[r]) * chars[r] * rate).sum()
+            out[i] |= {"lang": by.langs[j], "h": float(h[r, j]), "chars": int(chars[r]), "seen": bool(seen[r]), "mean": float(by.mean[j]), "deviation": float(by.deviation[j]), "score": float(score)}
+            if own is not None:
+                out[i] |= {"own": float(h[r, own]), "variance": float(variance[r, own]), "likely": likely_of(h[r], own, int(chars[r]))}
+    return out
+
+
+def rejected_by(found: dict, limits: dict) -> bool:
+    """Without a letter, or judged and above the limit of its language, or without a learned letter."""
+    if found["lang"] is None or found["h"] is None:
+        return found["lang"] is None
+    middle, wide = limits.get(found["lang"], (found["mean"], found["deviation"]))
+    return not found["seen"] or found["h"] > middle + wide * (1 + SPREAD / max(1, found["chars"]) ** 0.5)
+
+
+def judged_rows(rows: DataFrame, models: list[Model] | Tables, rate: float = 1.0) -> DataFrame:
+    """rows: row (a struct of what to carry), given (a language or null), fold, text. row and found (``FOUND``), each text judged by the model of its fold."""
+    if isinstance(models, Tables):
+        return models.judged(rows, rate)
+    shared = session(rows).sparkContext.broadcast(models)  # at most MAX_ENTRIES sequences and their endings
+
+    def run(batches):
+        for b in batches:
+            given, fold, texts = (b.column(i).to_pylist() for i in (1, 2, 3))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found_in(shared.value.__getitem__, fold, given, texts, rate), FOUND)], ["row", "found"])
+
+    return rows.select("row", "given", "fold", "text").mapInArrow(run, judged_schema(rows))
+
+
+def carried(docs: DataFrame, columns, fold, text: str, lang: str | None) -> DataFrame:
+    """What ``judged_rows`` takes; columns of any name lie within ``row``."""
+    given = F.lit(None).cast("string") if lang is None else F.col(f"`{lang}`").cast("string")
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in columns]).alias("row"), given.alias("given"), fold.alias("fold"), F.col(f"`{text}`").alias("text"))
+
+
 def identify(docs: DataFrame, model: Model | Tables, keep: tuple = ("doc_id",), text: str = "text", shown: Shown | None = None) -> DataFrame:
     """``keep``, lang_pred, score, entropy and rejected for every whole text. Without ``shown`` the model's own text sets the limits."""
     spark, shown = prepare(session(docs)), shown or Shown()
-    if isinstance(model, Tables):
-        found = model.judged(docs.select(*keep, F.col(text).alias("__text")), text="__text", lang=None, rate=shown.rate)
-        # one row per language
-        limits = spark.createDataFrame([(k, *v) for k, v in shown.limits.items()], "__limited string, __middle double, __wide double")
-        found = found.join(F.broadcast(limits), F.col("__lang") == F.col("__limited"), "left")
-        limit = F.coalesce("__middle", "__mean") + F.coalesce("__wide", "__deviation") * (1 + SPREAD / F.sqrt(F.greatest("__chars", F.lit(1))))
-        return found.select(
-            *keep, F.coalesce("__lang", F.lit(UNKNOWN)).alias("lang_pred"), F.col("__score").alias("score"),
-            F.coalesce("__h", F.lit(0.0)).alias("entropy"), (F.col("__lang").isNull() | F.coalesce(F.col("__h") > limit, F.lit(False))).alias("rejected"),
-        )
-    rows = docs.select(*keep, F.col(text).alias("__text"))
-    shared = spark.sparkContext.broadcast((model, shown))  # at most MAX_ENTRIES sequences and their endings
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    found = judged_rows(carried(docs, keep, F.lit(0), text, None), model if isinstance(model, Tables) else [model], shown.rate)
+    limits = spark.createDataFrame([(k, *v) for k, v in shown.limits.items()], "limited string, middle double, wide double")  # one row per language
+    return within(found, limits).select(
+        *[F.col("row")[c].alias(c) for c in keep], F.coalesce("found.lang", F.lit(UNKNOWN)).alias("lang_pred"), F.col("found.score").alias("score"),
+        F.coalesce("found.h", F.lit(0.0)).alias("entropy"), (~F.col("accepted")).alias("rejected"),
+    )
 
-    def run(batches):
-        model, shown = shared.value
-        for b in batches:
-            found = model.judge([t or "" for t in b.column(b.num_columns - 1).to_pylist()], shown)
-            lang, score, entropy, rejected = zip(*found) if found else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(entropy, pa.float64()), pa.array(rejected, pa.bool_())],
-                [*b.schema.names[:-1], "lang_pred", "score", "entropy", "rejected"],
-            )
 
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double, entropy double, rejected boolean")
+def within(judged: DataFrame, limits: DataFrame) -> DataFrame:
+    """``judged`` with accepted: the text has a letter, a learned one, and is within its language's limit; without a model any letter does."""
+    met = judged.join(F.broadcast(limits), F.col("found.lang") == F.col("limited"), "left")
+    limit = F.coalesce("middle", "found.mean") + F.coalesce("wide", "found.deviation") * (1 + SPREAD / F.sqrt(F.greatest("found.chars", F.lit(1))))
+    near = F.coalesce(F.col("found.seen") & (F.col("found.h") <= limit), F.lit(True))
+    return met.select("row", "found", (F.col("found.lang").isNotNull() & near).alias("accepted"))
 
 
 def keep_identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -428,82 +626,29 @@ def keep_identified(docs: DataFrame, model: Model, text: str = "text") -> DataFr
     return docs.mapInArrow(run, docs.schema)
 
 
-#: What judging a row with its fold's model finds: language, its entropy and the characters; what the model's own
-#: text shows; entropy and variance of characters by the row's own language.
-#: ... and log-probability, by rate, of that language.
-FOUND = "__lang string, __h double, __chars long, __mean double, __deviation double, __own double, __variance double, __likely array<double>"
+def limits_of(judged: DataFrame) -> DataFrame:
+    """limited (a language), middle and wide, from what ``judged`` rows show of their own languages."""
+    own = judged.where("found.own is not null").groupBy(F.col("found.given").alias("limited"))
+    return own.agg(F.percentile_approx("found.own", 0.5, 10000).alias("middle"), F.sqrt(F.percentile_approx("found.variance", 0.5, 10000)).alias("wide"))
 
 
-def likely_of(h: np.ndarray, own: int, chars: int) -> list[float]:
-    """The log-probability of language ``own`` under each rate."""
-    z = (h[own] - h)[None, :] * (chars * np.array(RATES))[:, None]
-    return (-np.log(np.exp(np.minimum(z, 600.0)).sum(1))).tolist()
-
-
-def cross_judged(docs: DataFrame, models: list[Model], text: str = "text", lang: str = "lang") -> DataFrame:
-    """The columns of ``docs`` and of ``FOUND``. __lang is ``UNKNOWN`` where there is no model, null where there is no letter."""
-    shared, names = session(docs).sparkContext.broadcast(models), docs.columns
-    rows = docs.select("*", fold_of(text).alias("__fold"), F.col(lang).cast("string").alias("__given"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    fields = pa.schema([("__lang", pa.string()), ("__h", pa.float64()), ("__chars", pa.int64())] + [(x, pa.float64()) for x in ("__mean", "__deviation", "__own", "__variance")] + [("__likely", pa.list_(pa.float64()))])
-
-    def run(batches):
-        for b in batches:
-            fold, given, texts = (b.column(len(names) + i).to_pylist() for i in range(3))
-            found = [(None,) * len(fields)] * len(texts)
-            for k in set(fold):
-                at = [i for i, f in enumerate(fold) if f == k and HAS_LETTER.search(texts[i])]
-                model = shared.value[k]
-                if not model.langs:
-                    for i in at:
-                        found[i] = (UNKNOWN, *(None,) * (len(fields) - 1))
-                    continue
-                h, variance, chars = model.entropies([texts[i] for i in at])
-                place = {x: j for j, x in enumerate(model.langs)}
-                for r, i in enumerate(at):
-                    j, own = int(h[r].argmin()), place.get(given[i])
-                    of_own = (None, None, None) if own is None else (float(h[r, own]), float(variance[r, own]), likely_of(h[r], own, int(chars[r])))
-                    found[i] = (model.langs[j], float(h[r, j]), int(chars[r]), float(model.mean[j]), float(model.deviation[j]), *of_own)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], *(pa.array(x, f.type) for x, f in zip(zip(*found), fields))] if found else [*b.columns[: len(names)], *(pa.array([], f.type) for f in fields)], [*names, *fields.names])
-
-    return rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", " + FOUND)
-
-
-def limits_of(judged: DataFrame, lang: str = "lang") -> DataFrame:
-    """__limited (a language), __middle and __wide, from ``judged`` rows (with the columns of ``FOUND``)."""
-    own = judged.where("__own is not null").groupBy(F.col(lang).cast("string").alias("__limited"))
-    return own.agg(F.percentile_approx("__own", 0.5, 10000).alias("__middle"), F.sqrt(F.percentile_approx("__variance", 0.5, 10000)).alias("__wide"))
-
-
-def accepted(judged: DataFrame, lang: str = "lang") -> DataFrame:
-    """The rows of ``judged`` within their language's limit."""
-    middle, wide = F.coalesce("__middle", "__mean"), F.coalesce("__wide", "__deviation")
-    limit = middle + wide * (1 + SPREAD / F.sqrt(F.greatest("__chars", F.lit(1))))
-    # one row per language
-    within = judged.join(F.broadcast(limits_of(judged, lang)), F.col("__lang") == F.col("__limited"), "left")
-    return within.where((F.col("__lang") == UNKNOWN) & F.col("__h").isNull() | (F.col("__h") <= limit))
-
-
-def judged_by_others(docs: DataFrame, text: str = "text", lang: str = "lang", max_entries: int = MAX_ENTRIES) -> DataFrame:
-    """The columns of ``docs`` and of ``FOUND``, each row judged by what the other folds teach."""
-    models = train_folds(docs, text, lang, max_entries)
-    return models.judged(docs, fold_of(text), text, lang) if isinstance(models, Tables) else cross_judged(docs, models, text, lang)
-
-
-def calibrate(docs: DataFrame, text: str = "text", lang: str = "lang", max_entries: int = MAX_ENTRIES) -> Shown:
-    """Limits and rate from all learning rows, each judged by the other folds."""
+def calibrate(docs: DataFrame, text: str = "text", lang: str = "lang", max_entries: int = MAX_ENTRIES, counts: DataFrame | None = None) -> Shown:
+    """Limits and rate from all learning rows, each judged by the other folds; ``counts`` from ``counted``, if there are."""
     prepare(session(docs))
-    rows = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null")
-    judged = materialise(judged_by_others(rows, max_entries=max_entries).select("lang", "__own", "__variance", "__likely"), "langid-shown")
-    limits = {r["__limited"]: (r["__middle"], r["__wide"]) for r in limits_of(judged).collect()}  # one row per language
-    likely = judged.agg(*(F.sum(F.col("__likely")[i]) for i in range(len(RATES)))).first()
+    rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
+    models = fold_models(counted(docs, text, lang) if counts is None else counts, max_entries)
+    judged = materialise(judged_rows(carried(rows, [lang], fold_of(text), text, lang), models).select("found"), "langid-shown")
+    limits = {r["limited"]: (r["middle"], r["wide"]) for r in limits_of(judged).collect()}  # one row per language
+    likely = judged.agg(*(F.sum(F.col("found.likely")[i]) for i in range(len(RATES)))).first()
     return Shown(limits, 1.0 if likely[0] is None else RATES[int(np.argmax(likely))])
 
 
 def keep_cross_fitted(docs: DataFrame, text: str = "text", lang: str = "lang", max_entries: int = MAX_ENTRIES) -> DataFrame:
     """The rows of ``docs`` whose text some language accepts by what the other folds teach, all columns unchanged."""
     prepare(session(docs))
-    judged = materialise(judged_by_others(docs, text, lang, max_entries).drop("__likely"), "langid-judged")
-    return accepted(judged, lang).select(*[f"`{c}`" for c in docs.columns])
+    judged = judged_rows(carried(docs, docs.columns, fold_of(text), text, lang), fold_models(counted(docs, text, lang), max_entries))
+    judged = materialise(judged.withColumn("found", F.col("found").dropFields("likely", "score")), "langid-judged")
+    return within(judged, limits_of(judged)).where("accepted").select("row.*")
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -517,5 +662,6 @@ def learning_rows(docs: DataFrame) -> DataFrame:
 def op2_language_id(spark, sf_dir) -> DataFrame:
     docs = documents(spark, sf_dir)
     rows = learning_rows(docs)
-    found = identify(docs, learn(rows), shown=calibrate(rows))
+    counts = counted(rows)
+    found = identify(docs, whole_model(counts), shown=calibrate(rows, counts=counts))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "entropy", "rejected")

@@ -98,3 +98,25 @@ def test_tables_hold_the_whole_model(docs, odd):
         assert all(abs(a.entropy - b.entropy) < 1e-4 and abs(a.score - b.score) < 1e-3 for a, b in zip(got, want))
         kept = [L.keep_cross_fitted(df, max_entries=m) for m in (10, L.MAX_ENTRIES)]
         assert kept[0].columns == df.columns and sorted(map(str, kept[0].collect())) == sorted(map(str, kept[1].collect()))
+
+
+def test_rare_letters_count_alike_in_both_ways(spark, docs):
+    """Letters of late Unicode versions and beyond U+FFFF: no language has learned them, so the text goes."""
+    rows = [(10**6 + i, t, None, "a", len(t)) for i, t in enumerate(["\u0870\u0871", "\U00010570\U00010571", "\U00010570 the", "\U0001F600 1 \u0660", "𝒳", "the"])]
+    df = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    learned = L.learning_rows(docs)
+    found = []
+    for most in (L.MAX_ENTRIES, 10):
+        got = {r.doc_id - 10**6: r for r in L.identify(df, L.learn(learned, max_entries=most)).where("doc_id >= 1000000").collect()}
+        assert [got[i].rejected for i in (0, 1, 3)] == [True] * 3 and got[3].lang_pred == "und" and got[0].lang_pred != "und" != got[1].lang_pred
+        assert got[0].entropy > 1 and got[1].entropy > 1 and not got[5].rejected and got[2].entropy > got[5].entropy
+        found.append([(got[i].lang_pred, round(got[i].entropy, 3), round(got[i].score, 3), got[i].rejected) for i in sorted(got)])
+        kept = {r.doc_id - 10**6 for r in L.keep_cross_fitted(df, max_entries=most).where("doc_id >= 1000000").collect()}
+        assert not kept & {0, 1, 3} and 5 in kept
+    assert found[0] == found[1]
+
+
+def test_the_front_finds_what_search_finds(docs):
+    model = L.train(docs)
+    seq, _ = L.sequences(["completely new wrds, żółć and \U00010400", docs.first().text])
+    assert np.array_equal(model.log_probabilities(seq), model.searched(seq))

@@ -1,6 +1,8 @@
 import random
 
 import corpus_pipeline as P
+from pyspark.sql import functions as F
+
 from millrace.llm import bpe
 
 
@@ -34,6 +36,19 @@ def test_odd_rows(spark, odd, empty):
         P.STAGES[-1][1](spark, table, None).collect()
 
 
+def test_columns_of_any_name_are_kept(spark, docs):
+    names = ["__fold", "__text", "__given", "__lang", "__h", "__limited", "__middle", "__id", "__th", "row", "found", "chunk", "accepted", "limited", "th", "root", "a.b", "given", "fold", "copies", "size", "carried"]
+    table = docs.limit(30)
+    for i, name in enumerate(names):
+        table = table.withColumn(name, F.lit(i))
+    columns = table.columns
+    for _, stage in P.STAGES[:-1]:
+        table = spark.createDataFrame(stage(spark, table, None).collect(), table.schema)
+        assert table.columns == columns
+    assert table.count() and all([r[c] for c in columns[5:]] == list(range(len(names))) for r in table.collect())
+    assert P.STAGES[-1][1](spark, table, None).count() == table.count()
+
+
 def test_a_labelled_text_does_not_vouch_for_itself(spark, folder, docs):
     draw = random.Random(3)
     noise = ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(2000)) for _ in range(3)]
