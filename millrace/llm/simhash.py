@@ -25,6 +25,7 @@ repeat both id and text together.
 
 from __future__ import annotations
 
+import math
 from itertools import repeat
 
 import numpy as np
@@ -285,17 +286,43 @@ def likely(texts: DataFrame, least: float, words: int) -> DataFrame:
     return found.where("shared >= need").select("th")
 
 
+def size_class(n):
+    """Sizes within about five per cent of each other share one."""
+    return F.floor(F.log(n.cast("double")) / math.log(1.05)).cast("int")
+
+
+def most_partner(rem, n, least: float):
+    """The most shingles that a text may have to be similar to one of ``n``, if they share ``rem`` at most."""
+    return F.floor(rem * ((1 + least) / least) - n + 1e-6).cast("int")
+
+
+def meeting(rows: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """The smaller and the larger texts of all pairs that a shingle can be the first one in common of, both with ``at``, the size class of the smaller.
+
+    rows: shingle, n (a text's shingles), rem (how many of them, from this one
+    on, others have). What two texts share is at most the lesser ``rem``. So a
+    text that lacks too much for any partner of the sizes there are meets nothing.
+    """
+    most = most_partner(F.col("rem"), F.col("n"), least)
+    small = rows.where(most >= F.col("n")).withColumn("at", size_class(F.col("n")))
+    lo, hi = F.ceil(least * F.col("n") - 1e-9).cast("int"), F.least(F.col("n"), most)
+    large = rows.where(hi >= lo).withColumn("at", F.explode(F.sequence(size_class(lo), size_class(hi))))
+    return small, large
+
+
 def similar_links(docs: DataFrame, least: float = SIMILAR, words: int = SIMILAR_WORDS) -> DataFrame:
     """Pairs a < b of the 64-bit keys of texts whose Jaccard similarity is at least ``least``; they connect all texts that such pairs connect.
 
     Only texts that can have a similar one go on, and of their shingles those
     that several of them have. In order of how many have them, two similar texts
-    share one of the first shingles of each, so texts meet by those. All that
-    meet in a shingle are compared with one of them, the one that has most in
-    common with others, and linked texts are one component. Then again with
-    the next four, sixteen and so on, and once few pairs of different components
-    are left (``FEW`` for each shingle of a text), those are. So near copies of one text cost about one comparison each;
-    only texts that share most but are not similar are all compared.
+    share one of the first shingles of each, so texts meet by those, and only if
+    what is left of both in that order is enough for their sizes (``meeting``).
+    While many pairs remain, all that meet in a shingle are compared with one of
+    them, the one that has most in common with others, and linked texts are one
+    component; then again with the next four, sixteen and so on. Once few pairs
+    of different components are left (``FEW`` for each shingle of a text), those
+    are compared. So near copies of one text cost about one comparison each, and
+    texts that lack too much to be similar to any other of their size cost none.
     """
     prepare(session(docs))
     texts = docs.where("text is not null").select(F.xxhash64("text").alias("th"), "text")
@@ -316,9 +343,12 @@ def similar_links(docs: DataFrame, least: float = SIMILAR, words: int = SIMILAR_
     least_own = F.ceil(least * F.col("n") - 1e-9).cast("int")
     alone = F.col("n") - F.size("own")  # shingles that no other text has come first in the order
     first = F.slice("own", 1, F.greatest(F.lit(0), F.col("n") - least_own + 1 - alone))
-    entries = own.where(F.size("own") >= least_own).select("th", (F.size("own") / F.col("n")).alias("score"), F.explode(first).alias("e"))
-    entries = materialise(entries.select("th", "score", F.col("e.shingle").alias("shingle")), "similar-entries")
+    entries = own.where(F.size("own") >= least_own).select("th", "n", F.size("own").alias("some"), F.posexplode(first).alias("i", "e"))
+    entries = entries.select("th", "n", (F.col("some") / F.col("n")).alias("score"), F.col("e.shingle").alias("shingle"), (F.col("some") - F.col("i")).alias("rem"))
+    entries = materialise(entries, "similar-entries")
     n_entries, used, links, roots, centres = entries.count(), None, None, None, 1
+    of_pair = lambda k: [F.col(x).alias(f"{x}_{k}") for x in ("n", "rem", "root")]
+    enough = (F.least("rem_a", "rem_b") * (1 + least) >= least * (F.col("n_a") + F.col("n_b")) - 1e-6) & (F.col("root_a") != F.col("root_b"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         one, two = (sets.select(F.col("th").alias(k), F.col("shingles").alias(f"of_{k}")) for k in "ab")
@@ -326,22 +356,29 @@ def similar_links(docs: DataFrame, least: float = SIMILAR, words: int = SIMILAR_
         return both.where(F.col("both") >= least * (F.size("of_a") + F.size("of_b") - F.col("both")) - 1e-9).select("a", "b")
 
     while n_entries:
-        placed = entries.withColumn("root", F.col("th")) if roots is None else entries.join(roots, "th", "left").select("th", "score", "shingle", F.coalesce("root", "th").alias("root"))
+        placed = entries.withColumn("root", F.col("th")) if roots is None else entries.join(roots, "th", "left").select(*entries.columns, F.coalesce("root", "th").alias("root"))
         open_ = placed if used is None else placed.join(used, ["shingle", "th"], "left_anti")
-        by_root = open_.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("n"))
-        left = by_root.groupBy("shingle").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same")).agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()[0]
-        last = centres > 1 and left <= FEW * n_entries
-        other = open_.select("shingle", F.col("th").alias("b"), F.col("root").alias("root2"))
+        small, large = meeting(open_, least)
+        sides = small.select("shingle", "at", "root", F.lit(1).alias("s"), F.lit(0).alias("l")).unionByName(large.select("shingle", "at", "root", F.lit(0).alias("s"), F.lit(1).alias("l")))
+        by_root = sides.groupBy("shingle", "at", "root").agg(F.sum("s").alias("s"), F.sum("l").alias("l"))
+        by_class = by_root.groupBy("shingle", "at").agg(F.sum("s").alias("s"), F.sum("l").alias("l"), F.sum(F.col("s") * F.col("l")).alias("same")).where("s * l > same")
+        by_class = materialise(by_class, "similar-classes")
+        left = by_class.agg(F.sum(F.col("s").cast("double") * F.col("l") - F.col("same"))).first()[0] or 0
+        last = left <= FEW * n_entries
         if last:
-            met = open_.withColumnRenamed("th", "a").join(other, "shingle").where("a < b and root <> root2")
+            mine = small.select("shingle", "at", F.col("th").alias("a"), *of_pair("a"))
+            other = large.select("shingle", "at", F.col("th").alias("b"), *of_pair("b"))
+            # of two of one size each is a smaller and a larger one
+            met = mine.join(other, ["shingle", "at"]).where(enough & ((F.col("n_a") < F.col("n_b")) | (F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b"))))
         else:
             # the next ones of shingles whose texts are not known to be one component yet
-            mixed = by_root.groupBy("shingle").agg(F.count(F.lit(1)).alias("roots")).where("roots > 1")
+            mixed = by_class.select("shingle").distinct()
             rank = F.row_number().over(Window.partitionBy("shingle").orderBy(F.desc("score"), F.hash("th"), "th"))
             best = open_.join(mixed, "shingle", "left_semi").withColumn("rank", rank).where(F.col("rank") <= centres)
-            best = materialise(best.select("shingle", "th", "root"), "similar-centres")
-            used = best.select("shingle", "th") if used is None else used.unionByName(best.select("shingle", "th"))
-            met = best.withColumnRenamed("th", "a").join(other, "shingle").where("a <> b and root <> root2")
+            best = materialise(best.select("shingle", F.col("th").alias("a"), *of_pair("a")), "similar-centres")
+            now = best.select("shingle", F.col("a").alias("th"))
+            used = now if used is None else used.unionByName(now)
+            met = best.join(open_.select("shingle", F.col("th").alias("b"), *of_pair("b")), "shingle").where(enough)
             centres *= 4
         new = confirmed(met.select("a", "b").distinct())
         links = materialise(new if links is None else links.unionByName(new), "similar-links")
