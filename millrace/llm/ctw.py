@@ -425,7 +425,7 @@ def scored(docs: DataFrame, learns, held_out=None, depth: int = DEPTH, chunk_byt
     chunks = in_chunks(docs, learns, ~learns if held_out is None else held_out, chunk_bytes)
     size = chunks.agg(F.sum(F.length("data"))).first()[0] or 0
     parts = parts or max(1, min(MOST_PARTS, size // PART_BYTES))
-    sent = messages(chunks, depth, parts)
+    sent = materialise(messages(chunks, depth, parts), "ctw-messages")
     counts = add_up(sent)
     upper = upper_tree(counts, depth)
 
