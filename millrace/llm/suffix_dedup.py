@@ -7,8 +7,7 @@ windows have equal anchors, and consecutive windows of one anchor form one
 piece. Only anchors that occur twice, or twice within a piece, can hold a
 repeat; the different pieces of each are dealt by anchor, and each task indexes
 them, a few MB at a time. Where a piece occurs is not dealt with it: places look
-up the spans of their piece afterwards, so copies cost one piece for each batch
-of documents.
+up the spans of their piece afterwards, so copies cost one piece for each task.
 
 The index of a batch is the transform's runs with the text positions sampled at
 both ends of each run. Only there can the nearest other suffix change: within a
@@ -17,9 +16,12 @@ position i. So the statistics of all positions stream from the samples, and a
 window is repeated if the match with one of its two neighbours reaches
 ``length``. All windows of a piece that occurs twice are repeats.
 
-An anchor with more than ``hot`` different pieces does not fit one index. Its
-pieces are taken as texts of their own and dealt again, now by the longest
-anchor there is, the whole window; an anchor of that length has one piece.
+An anchor with more than ``hot`` different pieces does not fit one index. A
+window holds its anchor at one place, so it goes on at one side of it at least
+by half of what the window has beside its anchor; with that half the anchor
+grows, and the piece's windows are dealt again by the longer anchors. What no
+other piece has beside the anchor drops out; what many have is one piece once it
+lies within what they share. Each level is indexed like the first.
 
 Cases: null text counts as empty; texts shorter than ``length`` bytes are kept
 whole; rows that repeat an id and text count as separate texts, hence as
@@ -41,7 +43,8 @@ LENGTH = 400
 GRAM = 128
 #: Bytes of different pieces that one index covers; those of a single anchor may exceed it.
 BATCH_BYTES = 1 << 20
-HOT = 4_000
+#: Different pieces of one anchor that go into one index; digests that a task keeps of what it has sent.
+HOT, SENT = 4_000, 500_000
 
 
 def gram_hashes(text: np.ndarray, gram: int) -> np.ndarray:
@@ -200,12 +203,13 @@ def find_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def cut_pieces(docs: DataFrame, runs: DataFrame, length: int) -> DataFrame:
-    """doc_id, th, anchor, first and digest of the given runs; piece and times (how often) with one of the equal ones of a batch. A text's runs are bounded by its length."""
+    """doc_id, th, anchor, first and digest of the given runs; piece with one of the equal ones of a task, times 1 with that and a second one, else 0. A text's runs are bounded by its length."""
     by_text = runs.groupBy(F.col("doc_id").alias("id"), "th").agg(F.collect_list(F.struct("anchor", "first", "n")).alias("runs"))
     texts = docs.select("doc_id", text_key().alias("tk"), "text")
     met = texts.join(by_text, same(texts["doc_id"], by_text["id"]) & (texts["tk"] == by_text["th"])).select("doc_id", "th", "runs", "text")
 
     def run(batches):
+        sent: dict[bytes, int] = {}  # how often this task has met a piece: its bytes go once, its repetition once
         for b in batches:
             lists = b.column(2)
             flat, times = lists.flatten(), np.diff(lists.offsets.to_numpy())
@@ -215,20 +219,18 @@ def cut_pieces(docs: DataFrame, runs: DataFrame, length: int) -> DataFrame:
             firsts, ends = first.to_numpy(), first.to_numpy() + n.to_numpy() + length - 1
             for low in range(0, len(at), 8192):
                 part = slice(low, low + 8192)
-                seen: dict[bytes, int] = {}
                 pieces, digests, many = [], [], []
-                for i, (t, a, z) in enumerate(zip(at[part].tolist(), firsts[part].tolist(), ends[part].tolist())):
+                for t, a, z in zip(at[part].tolist(), firsts[part].tolist(), ends[part].tolist()):
                     piece = texts[t][a:z]
-                    k = seen.setdefault(piece, i)
-                    if k == i:
-                        pieces.append(piece)
-                        digests.append(xxhash.xxh3_128_digest(piece))
-                        many.append(1)
-                    else:
-                        many[k] += 1
-                        pieces.append(None)
-                        digests.append(digests[k])
-                        many.append(0)
+                    digest = xxhash.xxh3_128_digest(piece)
+                    met = sent.get(digest, 0)
+                    digests.append(digest)
+                    pieces.append(None if met else piece)
+                    many.append(int(met < 2))
+                    if met < 2:
+                        sent[digest] = met + 1
+                if len(sent) > SENT:
+                    sent.clear()  # they are sent again
                 took = pa.array(at[part])
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).take(took), b.column(1).take(took), anchor[low : low + 8192], first[low : low + 8192], pa.array(digests, pa.binary()), pa.array(pieces, pa.binary()), pa.array(many, pa.int32())],
@@ -244,7 +246,7 @@ SPAN_TYPE = "array<struct<lo: int, hi: int>>"
 
 
 def index_pieces(pieces: DataFrame, length: int, batch_bytes: int) -> DataFrame:
-    """pieces: anchor, digest, piece, times. anchor, digest and spans of repeated windows within the piece."""
+    """pieces: anchor, digest, piece (null in rows that only count), times. anchor, digest and spans of repeated windows within the piece."""
     sorted_rows = pieces.select("anchor", "digest", "piece", "times").repartition("anchor").sortWithinPartitions("anchor")
 
     def run(batches):
@@ -269,10 +271,10 @@ def index_pieces(pieces: DataFrame, length: int, batch_bytes: int) -> DataFrame:
                     yield out()
                     held, size = {}, 0
                 last = anchor
-                if (anchor, digest) in held:
-                    held[anchor, digest][1] += times
-                else:
-                    held[anchor, digest] = [piece, times]
+                entry = held.setdefault((anchor, digest), [None, 0])
+                entry[1] += times
+                if entry[0] is None and piece is not None:
+                    entry[0] = piece
                     size += len(piece)
         if held:
             yield out()
@@ -286,28 +288,73 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
     runs = materialise(find_runs(docs, length, gram), "repeat-runs")
     counts = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("times"), F.max("periodic").alias("periodic")).where("times > 1 or periodic").select("anchor")
     pieces = materialise(cut_pieces(docs, runs.join(counts, "anchor"), length), "repeat-pieces")
-    bytes_of = pieces.where("times > 0")
-    if gram < length:
-        large = materialise(bytes_of.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("n")).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("anchor"), "repeat-hot")
-        spans = index_pieces(bytes_of.join(large, "anchor", "left_anti"), length, batch_bytes)
-        if not large.isEmpty():
-            spans = spans.unionByName(split_hot(bytes_of.join(large, "anchor", "left_semi"), length, batch_bytes))
-    else:
-        spans = index_pieces(bytes_of, length, batch_bytes)
+    spans = indexed(pieces.where("times > 0").select("anchor", "digest", "piece", "times"), length, gram, batch_bytes, hot)
     places = pieces.select("doc_id", "th", "anchor", "digest", "first")
     met = places.join(spans, ["anchor", "digest"]).select("doc_id", "th", "first", F.explode("spans").alias("s"))
     return met.select("doc_id", "th", (F.col("first") + F.col("s.lo")).alias("lo"), (F.col("first") + F.col("s.hi")).alias("hi"))
 
 
-def split_hot(pieces: DataFrame, length: int, batch_bytes: int) -> DataFrame:
-    """What ``index_pieces`` gives, of anchors with very many pieces: each different piece is a text, dealt by whole windows."""
-    once = pieces.groupBy("anchor", "digest").agg(F.first("piece").alias("text"), F.sum("times").alias("times"))
-    once = materialise(once.withColumn("doc_id", F.concat(F.hex("anchor"), F.hex("digest"))), "repeat-hot-pieces")
-    found = repeated_spans(once.select("doc_id", "text"), length, length, batch_bytes)
-    found = found.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    whole = F.array(F.struct(F.lit(0).alias("lo"), F.octet_length("text").alias("hi")))
-    met = once.join(found, "doc_id", "left").select("anchor", "digest", F.when(F.col("times") > 1, whole).otherwise(F.col("spans")).alias("spans"))
-    return met.where("spans is not null")
+def indexed(pieces: DataFrame, length: int, gram: int, batch_bytes: int, hot: int) -> DataFrame:
+    """``index_pieces``, but the anchors (of ``gram`` bytes) with more than ``hot`` different pieces are narrowed first."""
+    if gram >= length:  # every piece is one window
+        return index_pieces(pieces, length, batch_bytes)
+    different = pieces.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("n")).groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
+    large = materialise(different.where(F.col("n") > hot).select("anchor"), "repeat-hot")
+    if large.isEmpty():
+        return index_pieces(pieces, length, batch_bytes)
+    spans = index_pieces(pieces.join(large, "anchor", "left_anti"), length, batch_bytes)
+    return spans.unionByName(narrowed(pieces.join(large, "anchor", "left_semi"), length, gram, batch_bytes, hot))
+
+
+def longer_anchors(piece: bytes, anchor: int, at: int | None, length: int, gram: int) -> list[tuple[int, int, bytes, int]]:
+    """key, place, text and the anchor's place in it, of the parts of a piece that have one longer anchor each.
+
+    ``at`` is the anchor's place if it is the only one that counts; at the top
+    it is looked for, since a periodic piece has its anchor at several places.
+    """
+    n, grown = len(piece) - length + 1, -(-(length - gram) // 2)
+    if at is None:
+        places = np.flatnonzero(gram_hashes(np.frombuffer(piece, np.uint8), gram).view(np.int64) == anchor)
+        of = places[np.searchsorted(places, np.arange(n))]  # the first in each window
+        first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        groups = zip(first.tolist(), [*(first[1:] - 1).tolist(), n - 1], of[first].tolist())
+    else:
+        groups = [(0, n - 1, at)]
+    out = []
+    for low, high, place in groups:
+        # windows that go on before the anchor by ``grown`` bytes, and those that go on behind it
+        for a, z, new, side in ((low, min(high, place - grown), place - grown, b"<"), (max(low, place - grown + 1), high, place, b">")):
+            if a <= z:
+                out.append((xxhash.xxh3_64_intdigest(side + piece[new : new + gram + grown]) - (1 << 63), a, piece[a : z + length], new - a))
+    return out
+
+
+def narrowed(pieces: DataFrame, length: int, gram: int, batch_bytes: int, hot: int) -> DataFrame:
+    """What ``index_pieces`` gives, of anchors with very many pieces: their windows are dealt by longer anchors."""
+    at = F.first("at", ignorenulls=True) if "at" in pieces.columns else F.lit(None).cast("int")
+    once = pieces.groupBy("anchor", "digest").agg(F.first("piece", ignorenulls=True).alias("piece"), at.alias("at"), F.sum("times").cast("int").alias("times"))
+    once = materialise(once, "repeat-hot-pieces")
+
+    def run(batches):
+        for b in batches:
+            rows = [
+                (anchor, digest, place, key, xxhash.xxh3_128_digest(text), text, new, min(times, 2))
+                for anchor, digest, piece, at, times in zip(*(c.to_pylist() for c in b.columns))
+                for key, place, text, new in longer_anchors(piece, anchor, at, length, gram)
+            ]
+            kinds = pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32()
+            names = ["up", "whole", "place", "anchor", "digest", "piece", "at", "times"]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], names)
+
+    parts = once.mapInArrow(run, "up long, whole binary, place int, anchor long, digest binary, piece binary, at int, times int")
+    # what only one piece has beside its anchor is repeated nowhere
+    shared = parts.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1").select("anchor")
+    parts = parts.join(shared, "anchor", "left_semi")
+    different = parts.groupBy("anchor", "digest").agg(F.first("piece").alias("piece"), F.first("at").alias("at"), F.sum("times").cast("int").alias("times"))
+    spans = indexed(materialise(different, "repeat-narrowed"), length, gram + -(-(length - gram) // 2), batch_bytes, hot)
+    met = parts.select("up", "whole", "place", "anchor", "digest").join(spans, ["anchor", "digest"]).select("up", "whole", "place", F.explode("spans").alias("s"))
+    own = F.struct((F.col("place") + F.col("s.lo")).alias("lo"), (F.col("place") + F.col("s.hi")).alias("hi"))
+    return met.groupBy(F.col("up").alias("anchor"), F.col("whole").alias("digest")).agg(F.collect_list(own).alias("spans"))
 
 
 def join_spans(lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:

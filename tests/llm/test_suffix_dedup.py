@@ -53,7 +53,7 @@ def test_documents(docs, how):
     assert result(docs, **how) == brute(docs.collect(), S.LENGTH)
 
 
-def test_a_hot_anchor_is_split_by_whole_windows(spark, docs):
+def test_a_hot_anchor_is_split_by_longer_anchors(spark, docs):
     passage = " ".join(r.text for r in docs.orderBy("doc_id").limit(3).collect())[:700]
     rows = [(i, f"{'x' * (i % 5)} own words {i} {passage[: 420 + 13 * (i % 9)]} and {i * 7} ends {'y' * (i % 300)}") for i in range(60)] + [(100, passage), (101, passage), (102, "ab" * 500)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -71,3 +71,24 @@ def test_odd_rows_and_periods(spark, odd, empty):
     assert S.remove_repeats(empty).count() == 0
     periods = spark.createDataFrame([(i, "ab" * i) for i in range(0, 500, 50)] + [(1000, "xyz " * 300), (1001, None)], "doc_id long, text string")
     assert result(periods) == brute(periods.collect(), S.LENGTH)
+
+
+def test_longer_anchors_hold_every_window_once(docs):
+    text = docs.first().text.encode() * 3 + b"ab" * 400
+    first, n, anchor, _ = S.window_runs(text, 100, 16)
+    windows = []
+    for f, k, a in zip(first.tolist(), n.tolist(), anchor.tolist()):
+        level = [(text[f : f + k + 99], a, None, f)]
+        gram = 16
+        while gram < 100:
+            level = [(t, key, new, at + place) for piece, x, old, at in level for key, place, t, new in S.longer_anchors(piece, x, old, 100, gram)]
+            gram += -(-(100 - gram) // 2)
+        windows += [at for t, _, _, at in level for at in range(at, at + len(t) - 99)]
+    assert sorted(windows) == list(range(len(text) - 99))
+
+
+def test_hot_periods(spark):
+    rows = [(i, f"{i} begins " + "xyz " * 40 + f" {i * 31} " + "abcdefghij" * (i % 7) + " ends") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (0, 2):
+        assert result(df, length=60, gram=16, hot=hot) == brute(df.collect(), 60)
