@@ -9,7 +9,7 @@ from labelled transcripts by Spark and smoothed; their table has a fixed size.
 Lines are range-partitioned and sorted, so a task holds a run of transcripts.
 Those that lie within the run are decoded many at once, a line of each at a
 time. The first and the last one of a task, and any of over ``BLOCK_LINES``
-lines, are cut into blocks. Viterbi's recursion is a product of matrices over
+lines or ``BLOCK_BYTES`` bytes, are cut into blocks. Viterbi's recursion is a product of matrices over
 (max, +): each block gives one matrix, and blocks of blocks are multiplied in
 turn (``FAN`` at a time) until one matrix is left. Back down, each block gets
 its first and last state and decodes its own lines. Scores are whole numbers, so
@@ -33,6 +33,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,6 +47,8 @@ START, SCALE, NEVER = len(STATES), 1 << 24, -(1 << 60)
 MARKERS, SIZES, ENDINGS = 256, 8, 5
 #: Lines in one block, blocks in one block of blocks, and lines that a task decodes at once.
 BLOCK_LINES, FAN, AT_ONCE = 4096, 64, 50_000
+#: Bytes that close a block, and that a task decodes at once, however few the lines; a single line is never cut.
+BLOCK_BYTES, BYTES_AT_ONCE = 4 << 20, 16 << 20
 
 #: A word, perhaps in brackets or after signs of a heading, before a colon, closing bracket or angle.
 MARKER = re.compile(r"\s*[#*<\[(]{0,4}\s*([A-Za-z]{1,12})\s*(?:[:>\])]|\*\*){1,3}\s*", re.ASCII)
@@ -157,8 +160,8 @@ def decode(lines: DataFrame, model: Speakers) -> DataFrame:
 
     def run(batches):
         m, part = shared.value, TaskContext.get().partitionId()
-        block, seq, ready, ready_lines = 0, 0, [], 0
-        held, n, begun, is_open = [], 0, 0, True  # the transcript at hand
+        block, seq, ready, ready_lines, ready_bytes = 0, 0, [], 0, 0
+        held, n, size, begun, is_open = [], 0, 0, 0, True  # the transcript at hand
 
         def rows_of(slices, starts, blocks, states=None):
             table = pa.Table.from_batches(slices).combine_chunks()
@@ -191,22 +194,27 @@ def decode(lines: DataFrame, model: Speakers) -> DataFrame:
                     yield open_block()
                 else:
                     ready.append((held, begun, block))
-                    ready_lines += n
-                    if ready_lines >= AT_ONCE:
+                    ready_lines, ready_bytes = ready_lines + n, ready_bytes + size
+                    if ready_lines >= AT_ONCE or ready_bytes >= BYTES_AT_ONCE:
                         yield decoded()
-                        ready, ready_lines = [], 0
+                        ready, ready_lines, ready_bytes = [], 0, 0
                 block += 1
-                held, n, begun, is_open = [], 0, seq, False
+                held, n, size, begun, is_open = [], 0, 0, seq, False
             nothing = False
-            while piece.num_rows:
-                if n == BLOCK_LINES:
+            weight = np.cumsum(pc.binary_length(piece.column(2)).to_numpy())
+            done = 0
+            while done < piece.num_rows:
+                if n == BLOCK_LINES or size >= BLOCK_BYTES:
                     is_open = True
                     yield open_block()
                     block += 1
-                    held, n, begun = [], 0, seq
-                took = min(piece.num_rows, BLOCK_LINES - n)
-                held.append(piece.slice(0, took))
-                n, seq, piece = n + took, seq + took, piece.slice(took)
+                    held, n, size, begun = [], 0, 0, seq
+                before = int(weight[done - 1]) if done else 0
+                # up to the line that fills the block
+                took = min(piece.num_rows - done, BLOCK_LINES - n, 1 + int(np.searchsorted(weight[done:], before + BLOCK_BYTES - size)))
+                held.append(piece.slice(done, took))
+                n, seq, done = n + took, seq + took, done + took
+                size += int(weight[done - 1]) - before
         if ready:
             yield decoded()
         if held:

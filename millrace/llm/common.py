@@ -8,6 +8,7 @@ import tempfile
 import uuid
 import zipfile
 from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 import pyarrow as pa
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 ASCII_SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows in one Arrow batch. Texts may hold a few MB, so batches stay short.
-BATCH_ROWS = 256
+#: Rows and bytes in one Arrow batch, whichever is reached first.
+BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
 
 
 def session(df: DataFrame) -> SparkSession:
@@ -30,6 +31,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Shorten Arrow batches and make this package importable on the executors."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     package = Path(__file__).resolve().parents[1]
     places = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
     if str(package.parent) not in places and not getattr(spark.sparkContext, "_millrace_shipped", False):
@@ -61,28 +63,56 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: later steps survive lost executors."""
     path = new_path(session(df), name)
     df.write.parquet(path)
-    held = getattr(session(df).sparkContext, "_millrace_held", None)
-    if held is not None:
-        held.append(path)
+    if (kept := _kept.get()) is not None:
+        kept.append(path)
     return session(df).read.schema(df.schema).parquet(path)
 
 
+#: Where the work at hand notes what it writes; each thread and each run has its own.
+_kept: ContextVar[list[str] | None] = ContextVar("kept", default=None)
+
+
 @contextmanager
-def intermediates(spark: SparkSession, docs: DataFrame):
-    """Around a stage whose result is written before the next one begins: what the stage before wrote goes, unless ``docs`` reads it."""
-    context = prepare(spark).sparkContext
-    old = getattr(context, "_millrace_done", [])
-    read = set(docs.inputFiles()) if old else set()
-    for path in old:
-        if not any(os.path.basename(path) in f for f in read):
-            where = context._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
-    context._millrace_done, context._millrace_held = [p for p in old if any(os.path.basename(p) in f for f in read)], []
+def noted():
+    """The paths that ``materialise`` writes within."""
+    paths: list[str] = []
+    token = _kept.set(paths)
     try:
-        yield
+        yield paths
     finally:
-        context._millrace_done += context._millrace_held
-        context._millrace_held = None
+        _kept.reset(token)
+
+
+def is_noted() -> bool:
+    return _kept.get() is not None
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete what is no longer read."""
+    context = spark.sparkContext
+    for path in paths:
+        where = context._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def written_at(spark: SparkSession, path: str) -> float:
+    """When a file was written, in seconds."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).getModificationTime() / 1000
+
+
+def numbered(rows: DataFrame, order: list, name: str, file: str) -> DataFrame:
+    """``rows``, written, with their place (0, 1, ...) in an order over all of them. Range partitions are sorted each on its own; the driver has their sizes."""
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id())  # partition and place within
+    placed = materialise(placed, file)
+    part = F.shiftright(name, 33)
+    before, offsets = 0, []
+    for r in placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect():
+        offsets.append(f"{r['part']}L, {before}L")
+        before += r["n"]
+    if not offsets:
+        return placed
+    return placed.withColumn(name, F.try_element_at(F.expr(f"map({', '.join(offsets)})"), part) + F.col(name).bitwiseAND((1 << 33) - 1))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,12 @@
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import chat as C
+from millrace.llm.common import BATCH_BYTES
 
 SCHEMA = "conv long, pos long, line string"
 
@@ -143,3 +145,24 @@ def test_empty_and_repeated(spark, model, lines):
     twice = spark.createDataFrame([(1, 0, "User: a"), (1, 0, "User: a")], SCHEMA)
     assert C.decode(twice, model).count() == 2
     assert C.learn(lines.where("false")).step.shape == (C.START + 1, C.START + 1)
+
+
+def test_long_lines_close_blocks_by_their_bytes(spark, lines, model, monkeypatch):
+    """50 MB of lines of 100 kB: batches, blocks and what a task decodes at once hold a few MB."""
+    long = spark.range(500).select((F.col("id") % 3).alias("conv"), F.col("id").alias("pos"), F.concat(F.lit("User: "), F.repeat(F.lit("long line "), 10_000), F.lit("?")).alias("line"))
+    found = C.decode(long, model)
+    blocks = found.groupBy("part", "block").agg(F.sum(F.octet_length("line")).alias("n"), F.countDistinct("conv").alias("convs")).collect()
+    assert sum(r.n for r in blocks) > 50e6 and max(r.n for r in blocks) <= C.BLOCK_BYTES + 100_100 and {r.convs for r in blocks} == {1}
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    assert max(r.n for r in long.mapInArrow(sizes, "n long").collect()) < 2 * BATCH_BYTES
+    # the same paths as without the bound
+    want = sorted(map(str, C.turns(C.decode(lines.select("conv", "pos", "line"), model)).collect()))
+    monkeypatch.setattr(C, "BLOCK_BYTES", 300)
+    monkeypatch.setattr(C, "BYTES_AT_ONCE", 1000)
+    small = C.decode(lines.select("conv", "pos", "line"), model)
+    assert small.select("part", "block").distinct().count() > 536
+    assert len(want) == len(got := sorted(map(str, C.turns(small).collect()))) and sum(a != b for a, b in zip(got, want)) < 0.02 * len(want)  # ties may go either way
