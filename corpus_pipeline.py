@@ -2,8 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir). All but the last return the columns of
 documents, whatever they are; the last returns one row per document taken. What
-a stage keeps in the shared folder goes when the next one begins, since its
-result is written by then (it stays if the next one still reads it).
+a stage keeps in the shared folder goes once its result is written: ``run`` knows
+when, and clears the stage's input too. Where stages are called one by one, what
+one kept goes when the same thread calls the next one with documents that were
+written since then; otherwise it stays.
 
 Cases, in every stage: a null text counts as empty, and a null id, language or
 source is a value like any other; an empty table gives an empty result; further
@@ -12,21 +14,37 @@ columns of any name are kept, unread.
 
 from __future__ import annotations
 
+import threading
+import time
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import bpe, exact_dedup, langid, mixing, simhash
-from millrace.llm.common import documents, intermediates, materialise
+from millrace.llm.common import discard, documents, is_noted, materialise, noted, prepare, written_at
+
+#: By thread: the last stage called on its own, what it kept, and when it ended.
+_last = threading.local()
 
 
 def stage(work):
-    """A stage of the pipeline, which begins by clearing what the one before it left."""
+    """A stage of the pipeline. Called on its own, it first clears what the one before it left."""
 
     @wraps(work)
     def started(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        with intermediates(spark, docs):
+        prepare(spark)
+        if is_noted():  # ``run`` clears
             return work(spark, docs, sf_dir)
+        names = [f.__name__ for _, f in STAGES]
+        last, paths, ended = getattr(_last, "stage", (None, [], 0.0))
+        if last in names[:-1] and names.index(last) + 1 == names.index(work.__name__):
+            files = docs.inputFiles()
+            if files and all(not f.startswith(p) for f in files for p in paths) and written_at(spark, files[0]) > ended - 1:
+                discard(spark, paths)
+        with noted() as paths:
+            out = work(spark, docs, sf_dir)
+        _last.stage = work.__name__, paths, time.time()
+        return out
 
     return started
 
@@ -71,10 +89,16 @@ STAGES = [("language_id", language_id), ("exact_dedup", exact), ("simhash_near_d
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), []
     for name, work in STAGES[:-1]:
-        docs = materialise(work(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        with noted() as kept:
+            out = work(spark, docs, sf_dir)
+        with noted() as written:
+            docs = materialise(out, f"pipeline-{name}")
+        discard(spark, kept + before)
+        before = written
+    with noted():
+        return STAGES[-1][1](spark, docs, sf_dir)
 
 
 #: Language models, fingerprints, subset sums and merges are beyond SQL; tests/llm compares each with a brute-force version.
