@@ -1,3 +1,4 @@
+import os
 import random
 
 import corpus_pipeline as P
@@ -57,3 +58,34 @@ def test_a_labelled_text_does_not_vouch_for_itself(spark, folder, docs):
     rows = [(900000 + i, t, lang, "a", len(t)) for i, (t, lang) in enumerate(zip(bad, ["en", "en", "de", "fr", "es", "en"]))]
     kept = P.language_id(spark, docs.unionByName(spark.createDataFrame(rows, docs.schema)), folder)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in docs.collect())
+
+
+def test_two_runs_in_one_session_do_not_meet(spark, folder, docs, tmp_path):
+    one, two = P.run(spark, folder), P.run(spark, folder)  # neither is read yet
+    assert P.language_id(spark, docs, folder).count() == docs.count()
+    want = sorted(map(tuple, two.collect()))
+    assert sorted(map(tuple, one.collect())) == want
+    # stage by stage, as another program would write them; a second chain begins in between
+    table = docs
+    for i, (_, stage) in enumerate(P.STAGES[:-1]):
+        out = stage(spark, table, folder)
+        kept = P._last.stage[1]
+        other = P.exact(spark, docs, folder) if i == 1 else None
+        out.write.parquet(str(tmp_path / str(i)))
+        if other is not None:
+            assert other.count() > 0
+            P._last.stage = stage.__name__, kept, 0.0
+        table = spark.read.parquet(str(tmp_path / str(i)))
+    assert sorted(map(tuple, P.STAGES[-1][1](spark, table, folder).collect())) == want
+
+
+def test_what_a_stage_kept_goes_once_its_result_is_written(spark, docs, tmp_path):
+    out = P.exact(spark, docs, None)
+    kept = [p.removeprefix("file://") for p in P._last.stage[1]]
+    assert kept and all(map(os.path.exists, kept))
+    P.near(spark, docs, None)  # reads what was there before, so nothing goes
+    assert all(map(os.path.exists, kept))
+    out.write.parquet(str(tmp_path / "out"))
+    P._last.stage = "exact", kept, P._last.stage[2] - 3600
+    P.near(spark, spark.read.parquet(str(tmp_path / "out")), None)
+    assert not any(map(os.path.exists, kept))
