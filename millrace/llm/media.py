@@ -176,10 +176,14 @@ def read_page(data: bytes, fields: dict[int, list[int]]) -> dict:
     width, height, samples, scheme = one(WIDTH), one(HEIGHT), one(SAMPLES, 1), one(COMPRESSION, PLAIN)
     if set(fields.get(BITS, [1])) != {8} or fields.get(284, [1]) != [1]:
         raise ValueError("only 8-bit chunky samples")
+    if min(width, height, samples) < 1:
+        raise ValueError("a page without pixels")
     if TILE_WIDTH in fields:
         wide, high, offsets, sizes = one(TILE_WIDTH), one(TILE_HEIGHT), fields[TILE_OFFSETS], fields[TILE_BYTES]
     else:
         wide, high, offsets, sizes = width, min(height, one(ROWS_PER_STRIP, height)), fields[STRIP_OFFSETS], fields[STRIP_BYTES]
+    if min(wide, high) < 1:
+        raise ValueError("strips or tiles without pixels")
     across, down = -(-width // wide), -(-height // high)
     if min(len(offsets), len(sizes)) < across * down:
         raise ValueError("strips or tiles are missing")

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import struct
 import zlib
 
@@ -167,3 +168,22 @@ def test_odd_rows(odd, empty):
     stored = M.store_texts(odd)
     assert stored.count() == odd.count() and M.page_rows(stored).where("error is not null").count() == 0
     assert M.page_rows(M.store_texts(empty)).count() == 0
+
+
+def test_every_directory_field_may_be_wrong():
+    """Any value in any part of any field: an error at most."""
+    draw = random.Random(4)
+    for n in (600, 9000):
+        file = M.write_tiff(M.padded(bytes(draw.randrange(32, 127) for _ in range(n))))
+        (at,) = struct.unpack_from("<I", file, 4)
+        places = []
+        while at:
+            (entries,) = struct.unpack_from("<H", file, at)
+            places += [(at, 2)] + [(at + 2 + 12 * i + k, size) for i in range(entries) for k, size in ((0, 2), (2, 2), (4, 4), (8, 4), (8, 2))] + [(at + 2 + 12 * entries, 4)]
+            (at,) = struct.unpack_from("<I", file, at + 2 + 12 * entries)
+        for place, size in places:
+            for value in (0, 1, 2, 255, 65535, (1 << 8 * size) - 1, 1 << 8 * size - 1, draw.randrange(1 << 8 * size), draw.randrange(len(file))):
+                changed = bytearray(file)
+                changed[place : place + size] = (value % (1 << 8 * size)).to_bytes(size, "little")
+                for page in M.read_pages(bytes(changed)):
+                    assert "error" in page or len(page["pixels"]) == page["width"] * page["height"] * page["samples"]
