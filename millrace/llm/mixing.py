@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, materialise, prepare, session
+from .common import WORD, documents, materialise, numbered, prepare, session
 
 WEIGHTS, SHARE, MOST, SEED = (3.0, 1.0, 2.0), 1.5, 2.0, 42
 BUCKET_BITS = 10
@@ -31,6 +31,10 @@ BUCKET_BITS = 10
 FIT_WORDS = 1 << 15
 #: Words of taken documents that are fitted once more if those shares leave a gap, about.
 RELEASE_WORDS = 1 << 22
+#: Documents of one length that are fitted once more, of lengths of which an eighth of those words holds none.
+HUGE_AGAIN = 16
+#: A source of no more documents is fitted as a whole.
+FEW_DOCUMENTS = 256
 
 
 def sized(docs: DataFrame, row: Column, seed: int = SEED) -> DataFrame:
@@ -47,25 +51,25 @@ def sized(docs: DataFrame, row: Column, seed: int = SEED) -> DataFrame:
 
 
 def targets(totals: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """totals: source, skey, source_size. Adds target. One row per source goes through its windows.
+    """totals: source, skey, source_size. Adds target.
 
-    Sources that reach ``most`` times their size stop there. Taken in order of
-    cap per weight, a source is full if an even share of what the fuller ones
-    leave would exceed its cap; the rest share by weight.
+    Sources that reach ``most`` times their size stop there; the rest share what
+    is left by weight. So a source gets its weight times one common level, or its
+    cap if that is less. The level rises from an even share: what full sources
+    leave is shared out among the others until no more of them are full. Each
+    step is one sum over the sources, which lie in as many tasks as it takes.
     """
-    every = Window.partitionBy()
-    ranked = totals.withColumn("place", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
-    ranked = ranked.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("place") - 1) % len(weights) + 1))
-    ranked = ranked.withColumn("cap", most * F.col("source_size"))
-    before = Window.orderBy(F.col("cap") / F.col("weight"), "place").rowsBetween(Window.unboundedPreceding, -1)
-    left = share * F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    open_weight = F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    ranked = ranked.withColumn("level", left / open_weight)
-    full = F.col("level") * F.col("weight") >= F.col("cap")
-    common = F.min(F.when(~full, F.struct("place_in_order", "level"))).over(every)["level"]
-    ranked = ranked.withColumn("place_in_order", F.row_number().over(Window.orderBy(F.col("cap") / F.col("weight"), "place")))
-    share_of = F.coalesce(common, F.lit(0.0)) * F.col("weight")
-    return ranked.withColumn("target", F.when(full, F.col("cap")).otherwise(F.least(F.col("cap"), share_of))).select("skey", "source_size", "target")
+    placed = numbered(totals, [F.col("source").asc_nulls_last()], "place", "mix-sources")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))
+    placed = placed.withColumn("weight", weight).withColumn("cap", most * F.col("source_size"))
+    level, full, before = 0.0, F.lit(False), None
+    while True:
+        sums = placed.agg(F.sum("source_size"), F.sum(F.when(full, F.col("cap"))), F.sum(F.when(~full, F.col("weight"))), F.sum(full.cast("long"))).first()
+        if not sums[0] or not sums[2] or sums[3] == before:
+            break
+        level, before = (share * sums[0] - (sums[1] or 0.0)) / sums[2], sums[3]
+        full = F.lit(level) * F.col("weight") >= F.col("cap")
+    return placed.withColumn("target", F.when(full, F.col("cap")).otherwise(F.least(F.col("cap"), F.lit(level) * F.col("weight")))).select("skey", "source_size", "target")
 
 
 def knapsack(sizes: np.ndarray, room: np.ndarray, budget: int) -> np.ndarray:
@@ -144,15 +148,24 @@ def fit_below(sizes: np.ndarray, counts: np.ndarray, budget: int, seed: int) ->
     left = budget - int((sizes * taken).sum())
     if left == 0:
         return taken
-    # documents of each size in turn are put back and fitted together with the rest
+    # documents of each size in turn are put back and fitted together with the rest; of huge ones several, since no few others make up for one
     put_back, freed = np.zeros(len(sizes), np.int64), 0
+    if counts.sum() <= FEW_DOCUMENTS:
+        put_back, order = taken.copy(), []
     for i in order:
-        k = int(min(taken[i], max(1, RELEASE_WORDS // (8 * max(1, sizes[i])))))
-        if freed < RELEASE_WORDS and sizes[i] > 0:
-            put_back[i] = k
-            freed += k * int(sizes[i])
-    again = filled(sizes, counts, taken - put_back, left + freed)
-    return again if budget - int((sizes * again).sum()) < left else taken
+        huge = sizes[i] > RELEASE_WORDS // 8
+        if sizes[i] > 0 and (huge or freed < RELEASE_WORDS):
+            put_back[i] = min(taken[i], HUGE_AGAIN if huge else RELEASE_WORDS // (8 * sizes[i]))
+            freed += 0 if huge else int(put_back[i] * sizes[i])
+    again = taken - put_back
+    room = budget - int((sizes * again).sum())
+    while room > 0:
+        again = filled(sizes, counts, again, room)
+        now = budget - int((sizes * again).sum())
+        if now == room:
+            break
+        room = now  # counted in smaller units than before
+    return again if room < left else taken
 
 
 def filled(sizes: np.ndarray, counts: np.ndarray, taken: np.ndarray, left: int) -> np.ndarray:

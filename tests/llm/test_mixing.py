@@ -1,3 +1,4 @@
+import itertools
 import re
 
 import numpy as np
@@ -101,3 +102,34 @@ def test_few_long_documents_are_fitted_exactly(items, budget):
     budget = min(budget, max(sums))
     best = min(abs(x - budget) for x in sums)
     assert abs(int((sizes * taken).sum()) - budget) == best
+
+
+def test_huge_documents_are_fitted_together():
+    assert M.fit(np.array([729_596, 5_176_265]), np.array([2, 1]), 1_414_272).tolist() == [2, 0]
+    draw = np.random.default_rng(0)
+    for _ in range(60):
+        sizes = np.unique(np.exp(draw.uniform(np.log(5e4), np.log(6e6), draw.integers(2, 7))).astype(np.int64))
+        counts = draw.integers(1, 3, len(sizes))
+        budget = int(draw.integers(1, (sizes * counts).sum()))
+        best = min(abs(budget - int((sizes * np.array(c)).sum())) for c in itertools.product(*(range(x + 1) for x in counts)))
+        taken = M.fit(sizes, counts, budget)
+        # sums beyond RELEASE_WORDS are counted in larger units
+        assert (taken <= counts).all() and abs(budget - int((sizes * taken).sum())) <= best + 16 * -(-int((sizes * counts).sum()) // M.RELEASE_WORDS)
+
+
+def test_targets_of_many_sources(spark):
+    draw = np.random.default_rng(2)
+    for n, share, most in ((1, 1.5, 2.0), (7, 1.5, 2.0), (400, 1.5, 2.0), (50, 0.5, 1.0), (50, 2.0, 2.0), (20, 5.0, 2.0)):
+        sizes = np.exp(draw.uniform(0, 12, n)).astype(int)
+        rows = [(f"s{i:04d}" if i else None, f"={i}", int(x)) for i, x in enumerate(sizes)]
+        got = {r.skey: r.target for r in M.targets(spark.createDataFrame(rows, "source string, skey string, source_size long"), share=share, most=most).collect()}
+        order = [*range(1, n), 0]  # null comes last
+        weight = {i: (3.0, 1.0, 2.0)[k % 3] for k, i in enumerate(order)}
+        left, open_, want = share * sizes.sum(), set(order), {}
+        while open_:
+            level = left / sum(weight[i] for i in open_)
+            full = {i for i in open_ if level * weight[i] >= most * sizes[i]}
+            want |= {i: most * sizes[i] for i in full} if full else {i: level * weight[i] for i in open_}
+            left -= sum(most * sizes[i] for i in full)
+            open_ = open_ - full if full else set()
+        assert all(abs(got[f"={i}"] - want[i]) <= 1e-6 * want[i] for i in order)
