@@ -96,6 +96,7 @@ SELECT conv_id, count(*) AS n_turns, CAST(sum(len(regexp_extract_all(coalesce(te
        arg_min(text, turn) AS opening, arg_max(text, turn) AS closing
 FROM conversations GROUP BY conv_id""",
     "event_rollup": ROLLUP,
+    # the stream leaves out events that come 31 days late (rollup.LATE); the tables hold 30 days, so none does
     "event_rollup_stream": ROLLUP,
     "event_sessions": """
 WITH e AS (SELECT user_id, ts, event_type, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events),

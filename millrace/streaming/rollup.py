@@ -21,24 +21,39 @@ def run_rollup(spark: SparkSession, events: DataFrame, to: str, width: str = "1
     of a window holds. With ``closed``, a window is written once, when the
     watermark has passed it, so the newest windows are still open at the end.
 
-    Cases: a null type is a type like any other; an event more than ``late``
-    behind the newest of earlier batches is left out; a null time belongs to no
-    window; no events give no rows.
+    Cases: a null type is a type like any other; an event whose window ended
+    ``late`` or more before the newest event of earlier batches (without the one
+    just before) is left out; a null time belongs to no window; no events give
+    no rows.
     """
-    path, state = f"{to}/out", f"{to}/state-{uuid.uuid4().hex}"
+    here = f"{to}/{uuid.uuid4().hex}"
+    path, state = f"{here}/out", f"{here}/state"
     rolled = rollup(events, width, late)
     if closed:
         query = rolled.writeStream.outputMode("append").format("parquet").option("path", path)
         query.option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
         return spark.read.schema(rolled.schema).parquet(path)
 
+    written = []  # on the driver: the batches there are
+
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    spark.createDataFrame([], rolled.schema).write.mode("ignore").parquet(f"{path}/batch=-1")
-    query = rolled.writeStream.outputMode("update").foreachBatch(keep)
-    query.option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+        written.append(number)
+
+    # in this mode a batch without new events would only clear state that ends with the run
+    setting = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        query = rolled.writeStream.outputMode("update").foreachBatch(keep)
+        query.option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(setting, before)
+    if not written:
+        return spark.createDataFrame([], rolled.schema)
+    if len(set(written)) == 1:
+        return spark.read.schema(rolled.schema).parquet(f"{path}/batch={written[0]}")
     values = [c for c in rolled.columns if c not in ("start", "event_type")]
-    written = spark.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in rolled.schema)}, batch int").parquet(path)
-    newest = written.groupBy("start", "event_type").agg(F.max_by(F.struct(*values), "batch").alias("v"))
+    found = spark.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in rolled.schema)}, batch int").parquet(path)
+    newest = found.groupBy("start", "event_type").agg(F.max_by(F.struct(*values), "batch").alias("v"))
     return newest.select("start", "event_type", "v.*")

@@ -1,3 +1,4 @@
+import os
 import re
 
 from millrace.operators import events, summaries
@@ -101,3 +102,31 @@ def test_word_rows_do_not_carry_a_long_sentence(spark):
         carried = re.findall(r"Generate explode\(.*?\), \[([^\]]*)\], (?:true|false)", df._jdf.queryExecution().executedPlan().toString())
         assert carried and not any("sentence" in x or "text" in x for x in carried)
         assert df.count() == 1
+
+
+def parts_in_turn(spark, tmp_path, parts):
+    """A stream that reads each part in a batch of its own, in order."""
+    schema = "event_id long, ts string, event_type string, value double"
+    for i, part in enumerate(parts):
+        path = f"{tmp_path}/events.parquet/part{i}"
+        spark.createDataFrame(part, schema).selectExpr("event_id", "cast(ts as timestamp_ntz) as ts", "event_type", "value").coalesce(1).write.parquet(path)
+        for f in os.listdir(path):
+            os.utime(f"{path}/{f}", (1_700_000_000 + i, 1_700_000_000 + i))
+    table = spark.read.option("recursiveFileLookup", "true").parquet(f"{tmp_path}/events.parquet")
+    return table, spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/events.parquet")
+
+
+def test_late_rows_over_batches(spark, tmp_path):
+    first, second = [(1, "2024-01-01 00:10:00", "a", 1.0)], [(2, "2024-02-10 00:00:00", "a", 1.0)]
+    late, in_time = (4, "2024-01-01 00:20:00", "a", 2.0), (5, "2024-01-20 00:20:00", "a", 3.0)
+    # a watermark holds from the batch after the next one: the third batch still reaches the first window, the fourth does not
+    table, source = parts_in_turn(spark, tmp_path, (first, second, [late, in_time], [(7, *late[1:]), (8, *in_time[1:])]))
+    got = {(str(r.start), r.event_type): r.n for r in run_rollup(spark, source, f"file://{tmp_path}/out").collect()}
+    assert got == {("2024-01-01 00:00:00", "a"): 2, ("2024-02-10 00:00:00", "a"): 1, ("2024-01-20 00:00:00", "a"): 2}
+    batch = {(str(r.start), r.event_type): r.n for r in events.rollup(table).collect()}
+    assert batch == got | {("2024-01-01 00:00:00", "a"): 3}
+
+
+def test_a_stream_without_events(spark, tmp_path):
+    table, source = parts_in_turn(spark, tmp_path, ([],))
+    assert run_rollup(spark, source, f"file://{tmp_path}/out").count() == 0
