@@ -35,11 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialise, prepare, session, utf8_list
+from .common import documents, materialise, numbered, prepare, session, utf8_list
 
 BUCKETS, SEED, PERCENT, LEAST_WORDS = 10_000, 42, 5, 20
 #: Words and pairs in the head, and the bytes of its longest word.
 HEAD_WORDS, HEAD_PAIRS, LONGEST = 1 << 16, 1 << 16, 32
+#: Words, most frequent first, whose pairs are counted.
+PAIR_WORDS = 2048
 TAIL = -1
 
 #: A-Z become a-z; every other ASCII character but digits and a-z is a blank.
@@ -150,10 +152,23 @@ class _Tails:
 _tails = _Tails()
 
 
-def most_frequent(rows: DataFrame, key: str, n: int) -> list:
-    """The ``n`` most frequent keys of rows that hold key and n; smaller keys first on ties."""
-    counted = rows.groupBy(key).agg(F.sum("n").alias("n")).where("n > 1")
-    return [r[key] for r in counted.orderBy(F.desc("n"), key).limit(n).select(key).collect()]
+def most_frequent(rows: DataFrame, key: str, n: int, name: str) -> list:
+    """The most frequent keys of rows that hold key and n: at most ``n``, whole classes of counts only.
+
+    Counts within ten per cent are one class, so the driver sees a few hundred
+    classes and then no more than ``n`` keys.
+    """
+    counted = rows.groupBy(key).agg(F.sum("n").alias("n")).where("n > 1").withColumn("size", F.floor(F.log("n") / log(1.1)).cast("int"))
+    counted = materialise(counted, name)
+    least, found = None, 0
+    for r in counted.groupBy("size").agg(F.count(F.lit(1)).alias("keys")).orderBy(F.desc("size")).collect():
+        found += r["keys"]
+        if found > n:
+            break
+        least = r["size"]
+    if least is None:
+        return []
+    return [r[key] for r in sorted(counted.where(F.col("size") >= least).select(key, "n").collect(), key=lambda r: (-r["n"], r[key]))]
 
 
 def learn_head(docs: DataFrame, words: int = HEAD_WORDS, pairs: int = HEAD_PAIRS) -> Head:
@@ -179,34 +194,27 @@ def learn_head(docs: DataFrame, words: int = HEAD_WORDS, pairs: int = HEAD_PAIRS
         yield out()
 
     # words and pairs seen once by a task are sent all the same: counts are exact
-    head = Head([bytes(w) for w in most_frequent(texts.mapInArrow(counted, "word binary, n long"), "word", words)]) if words else Head([])
+    head = Head([bytes(w) for w in most_frequent(texts.mapInArrow(counted, "word binary, n long"), "word", words, "importance-words")]) if words else Head([])
     if not pairs or not head.ids:
         return head
+    # a frequent pair has two frequent words: a fixed table of counts holds all pairs of the first PAIR_WORDS
     shared = spark.sparkContext.broadcast(head)
 
     def paired(batches):
-        head, held, size = shared.value, [], 0
-
-        def merged():
-            code, at = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
-            return code, np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64)
-
+        head = shared.value
+        width, near = len(head.alone), min(PAIR_WORDS, len(head.alone))
+        total = np.zeros(near * near, np.int32)
         for b in batches:
             texts = [words_of(t) for t in utf8_list(b.column(0))]
             starts = np.cumsum([0] + [len(t) for t in texts])[:-1]
-            code, n = np.unique(head.codes(head.numbered(list(chain.from_iterable(texts))), starts), return_counts=True)
-            held.append((code, n))
-            size += len(code)
-            if size > 2_000_000:
-                held = [merged()]
-                size = len(held[0][0])
-                if size > 1_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], ["code", "n"])
-                    held, size = [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], ["code", "n"])
+            code = head.codes(head.numbered(list(chain.from_iterable(texts))), starts)
+            first, second = code // width, code % width
+            few = (first < near) & (second < near)
+            np.add.at(total, first[few] * near + second[few], 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at // max(1, near) * width + at % max(1, near)), pa.array(total[at].astype(np.int64))], ["code", "n"])
 
-    return head.with_pairs(np.array(most_frequent(texts.mapInArrow(paired, "code long, n long"), "code", pairs), np.int64))
+    return head.with_pairs(np.array(most_frequent(texts.mapInArrow(paired, "code long, n long"), "code", pairs, "importance-pairs"), np.int64))
 
 
 def bucket_totals(docs: DataFrame, head: Head, buckets: int = BUCKETS) -> list[int]:
@@ -254,19 +262,9 @@ def weighted(docs: DataFrame, head: Head, gain: np.ndarray) -> DataFrame:
 def ranked(rows: DataFrame, among, share: int) -> DataFrame:
     """``rows`` with rank: 1, 2, ... by descending score, then doc_id, for the first ``share`` percent of those that ``among`` holds for."""
     order = [F.desc("score"), F.asc_nulls_last("doc_id"), F.asc("n_features"), F.asc("weight")]
-    sorted_ = rows.where(among).repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = materialise(sorted_.withColumn("at", F.monotonically_increasing_id()), "importance-sorted")  # partition and place within
-    part = F.shiftright("at", 33)
-    sizes = placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()  # a row per partition
-    before, total = {}, 0
-    for r in sizes:
-        before[r["part"]] = total
-        total += r["n"]
-    drawn = share * total // 100
-    # only the first partitions hold drawn rows
-    offset = F.try_element_at(F.create_map(*[F.lit(x).cast("long") for p, n in before.items() if n < drawn for x in (p, n)]), part) if drawn else F.lit(None).cast("long")
-    rank = offset + F.col("at").bitwiseAND((1 << 33) - 1) + 1
-    first = placed.withColumn("rank", F.when(rank <= drawn, rank)).drop("at")
+    placed = numbered(rows.where(among), order, "place", "importance-sorted")
+    drawn = share * placed.count() // 100
+    first = placed.withColumn("rank", F.when(F.col("place") < drawn, F.col("place") + 1)).drop("place")
     return first.unionByName(rows.where(~among).withColumn("rank", F.lit(None).cast("long")))
 
 
@@ -289,3 +287,61 @@ def select(docs: DataFrame, target: DataFrame, **how) -> DataFrame:
 def op13_importance(spark, sf_dir) -> DataFrame:
     target = prepare(spark).read.parquet(f"{sf_dir}/benchmark.parquet")
     return resampled(documents(spark, sf_dir), target).select("doc_id", "n_features", "weight", "score", "rank", "n_words")
+
+
+def op13_sql(buckets: int = BUCKETS, percent: int = PERCENT, least_words: int = LEAST_WORDS, seed: int = SEED) -> str:
+    """The query in SQL. A run's CRC goes on from that of the run without its last word, byte by byte."""
+    table = list(range(256))
+    for _ in range(8):
+        table = [n >> 1 ^ 0xEDB88320 * (n & 1) for n in table]
+    upper = "".join(map(chr, range(65, 91)))
+
+    def after(state: str, more: str) -> str:
+        return f"list_reduce(list_concat([{state}], {more}), lambda c, x: xor({table}[(xor(c, x) & 255) + 1], c >> 8))"
+
+    def bucket(state: str) -> str:
+        return f"xor({state}, 4294967295) % {buckets} AS bucket"
+
+    return f"""
+WITH texts AS (SELECT doc_id, NULL AS item, text FROM documents UNION ALL SELECT NULL, item_id, text FROM benchmark),
+w AS (
+  SELECT row_number() OVER () AS r, doc_id, item,
+         regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS a
+  FROM texts),
+i AS (SELECT r, a, unnest(range(1, len(a) + 1)) AS i FROM w),
+f AS MATERIALIZED (SELECT r, a[i] AS w1, a[i + 1] AS w2, a[i + 2] AS w3 FROM i),
+b AS MATERIALIZED (
+  SELECT w1 AS word, list_transform(regexp_extract_all(hex(encode(w1)), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS bytes
+  FROM (SELECT DISTINCT w1 FROM f)),
+f1 AS MATERIALIZED (SELECT word AS w1, {after("4294967295", "bytes")} AS state FROM b),
+f2 AS MATERIALIZED (
+  SELECT w1, w2, {after("state", "list_concat([32], bytes)")} AS state
+  FROM (SELECT DISTINCT w1, w2 FROM f WHERE w2 IS NOT NULL) JOIN f1 USING (w1) JOIN b ON word = w2),
+f3 AS MATERIALIZED (
+  SELECT w1, w2, w3, {after("state", "list_concat([32], bytes)")} AS state
+  FROM (SELECT DISTINCT w1, w2, w3 FROM f WHERE w3 IS NOT NULL) JOIN f2 USING (w1, w2) JOIN b ON word = w3),
+p AS MATERIALIZED (
+  SELECT r, bucket, count(*) AS n FROM (
+    SELECT r, {bucket("state")} FROM f JOIN f1 USING (w1)
+    UNION ALL SELECT r, {bucket("state")} FROM f JOIN f2 USING (w1, w2)
+    UNION ALL SELECT r, {bucket("state")} FROM f JOIN f3 USING (w1, w2, w3))
+  GROUP BY r, bucket),
+t AS (
+  SELECT bucket, coalesce(sum(n) FILTER (item IS NULL), 0) AS s, coalesce(sum(n) FILTER (item IS NOT NULL), 0) AS t
+  FROM p JOIN w USING (r) GROUP BY bucket),
+g AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST((t + 1) * ((SELECT sum(s) FROM t) + {buckets}) AS DOUBLE) / CAST((s + 1) * ((SELECT sum(t) FROM t) + {buckets}) AS DOUBLE))) AS BIGINT) AS gain
+  FROM t),
+d AS (
+  SELECT w.r, doc_id, len(a) AS n_words, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_features, CAST(coalesce(sum(n * gain), 0) AS BIGINT) AS weight
+  FROM w LEFT JOIN p ON p.r = w.r LEFT JOIN g USING (bucket) WHERE item IS NULL GROUP BY w.r, doc_id, a),
+s AS (
+  SELECT *, weight + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM d),
+k AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id ASC NULLS LAST, n_features, weight) AS rank FROM s WHERE n_words >= {least_words})
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= {percent} * (SELECT count(*) FROM k) // 100 THEN rank END AS rank, n_words
+FROM s LEFT JOIN k USING (r)
+"""
+
+
+OP13_SQL = op13_sql()

@@ -7,7 +7,7 @@ from .centroids import OP11_SQL, op11_centroids
 from .chat import op10_chat
 from .ctw import op12_ctw
 from .exact_dedup import OP8_SQL, op8_exact_dedup
-from .importance import op13_importance
+from .importance import OP13_SQL, op13_importance
 from .langid import op2_language_id
 from .media import op6_media_tiff
 from .mixing import op3_mixing
@@ -32,4 +32,4 @@ QUERIES = {
     "op13_importance": op13_importance,
 }
 
-ORACLE_SQL = {"op8_exact_dedup": OP8_SQL, "op11_centroids": OP11_SQL}
+ORACLE_SQL = {"op8_exact_dedup": OP8_SQL, "op11_centroids": OP11_SQL, "op13_importance": OP13_SQL}

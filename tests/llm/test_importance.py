@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from millrace.llm import importance as C
+from support import oracle, rows
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -73,3 +74,8 @@ def test_states_of_joined_words():
     for i, a in enumerate(words):
         for j, b in enumerate(words):
             assert int(head.joined(head.alone[[i]], np.array([j]))[0]) == zlib.crc32(a + b" " + b)
+
+
+def test_sql(spark, folder):
+    whole = lambda df: df.assign(rank=df["rank"].astype("Int64"))
+    assert rows(whole(C.op13_importance(spark, folder).toPandas())) == rows(whole(oracle(C.OP13_SQL, folder)))
