@@ -1,9 +1,11 @@
 """SimHash near-duplicates by tiled exact comparison.
 
-Each text gets a 64-bit fingerprint. Equal fingerprints are one node. Two
-fingerprints within ``radius`` differing bits agree in full on one of
-``radius + 1`` bands of bits at least, so nodes are dealt by (band, value): the
-comparison stays exact and needs no pass over all pairs of the corpus. The nodes
+Each text gets a 64-bit fingerprint. Equal fingerprints are one node. Cut into
+``radius + k`` blocks of bits, two fingerprints within ``radius`` differing bits
+agree in full on ``k`` blocks at least. A band is one choice of ``k`` blocks
+(three of five for two bits: ten bands of about 38 bits each), and nodes are
+dealt by (band, value): the comparison stays exact, needs no pass over all pairs
+of the corpus, and a value holds few nodes that are not close. The nodes
 of a band value are cut into tiles of one population count and at most about
 ``tile`` nodes, and only tile pairs whose counts differ by ``radius`` at most
 meet, since each differing bit moves the count by one. A pair of tiles is
@@ -26,7 +28,7 @@ repeat both id and text together.
 from __future__ import annotations
 
 import math
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,8 @@ from pyspark.sql import functions as F
 from .common import documents, join_hot, materialise, prepare, same, session, utf8_list
 
 SEED, WORDS, RADIUS, TILE, HOT_SHARE = 42, 3, 2, 1024, 1000
+#: Bands that a fingerprint is dealt to at most, if fewer blocks have to agree for that.
+MOST_BANDS = 20
 #: Near copies of the pipeline: similarity of the sets of shingles of so many words.
 SIMILAR, SIMILAR_WORDS, FEW = 0.8, 5, 20
 
@@ -144,13 +148,18 @@ def compare_tiles(tiles: DataFrame, radius: int) -> DataFrame:
     return tiles.repartition("place").sortWithinPartitions("place").select("place", "side", "fp").mapInArrow(run, "a long, b long")
 
 
+def band_masks(radius: int) -> list[int]:
+    """The bits of each band, as signed 64-bit numbers: every choice of ``agree`` of ``radius + agree`` blocks."""
+    agree = max(k for k in (1, 2, 3) if k == 1 or math.comb(radius + k, k) <= MOST_BANDS)
+    cuts = [64 * i // (radius + agree) for i in range(radius + agree + 1)]
+    blocks = [(1 << hi) - (1 << lo) for lo, hi in zip(cuts[:-1], cuts[1:])]
+    masks = [sum(chosen) for chosen in combinations(blocks, agree)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
 def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """nodes: distinct fp. Pairs a < b that connect all nodes within ``radius`` bits, through others or directly."""
-    cuts = [64 * i // (radius + 1) for i in range(radius + 2)]
-    bands = F.array(*(
-        F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.col("fp"), lo).bitwiseAND((1 << (hi - lo)) - 1).alias("value"))
-        for i, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:]))
-    ))
+    bands = F.array(*(F.struct(F.lit(i).alias("band"), F.col("fp").bitwiseAND(F.lit(mask)).alias("value")) for i, mask in enumerate(band_masks(radius))))
     banded = nodes.select("fp", F.bit_count("fp").alias("pop"), F.explode(bands).alias("b")).select("fp", "pop", "b.band", "b.value")
     # a band value has at most 65 population counts; tiles hold one count each, and only tiles of near counts are paired
     counted = banded.groupBy("band", "value", "pop").agg(F.count(F.lit(1)).alias("n"))

@@ -1,5 +1,6 @@
 import re
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -61,6 +62,24 @@ def test_single_nodes_of_a_large_band_value_meet(spark):
         assert (0, 1 << 21 | 1 << 42) in {(r.a, r.b) for r in S.links(nodes, tile=tile).collect()}
 
 
+def test_bands_miss_no_close_pair_and_hold_few_others():
+    draw = np.random.default_rng(1)
+    for radius, n_bands in ((0, 1), (1, 4), (2, 10), (3, 20), (6, 7)):
+        masks = np.array(S.band_masks(radius), np.int64).view(np.uint64)
+        assert len(masks) == n_bands
+        for _ in range(200):
+            bits = draw.choice(64, radius, replace=False)
+            differ = np.uint64(sum(1 << int(b) for b in bits))
+            assert (differ & masks == 0).any()
+    # pairs to compare per fingerprint, at two sizes: three bands of 21 bits have about 0.06 and 0.6
+    per = []
+    for n in (100_000, 1_000_000):
+        fp = draw.integers(0, 1 << 64, n, dtype=np.uint64)
+        shared = [np.unique(fp & m, return_counts=True)[1] for m in np.array(S.band_masks(2), np.int64).view(np.uint64)]
+        per.append(sum(int((c * (c - 1) // 2).sum()) for c in shared) / n)
+    assert max(per) < 0.001
+
+
 def joined(pairs):
     """The groups that pairs connect."""
     groups = {}
@@ -110,3 +129,37 @@ def test_hot_fingerprints_and_the_rest_alike(docs, monkeypatch):
         monkeypatch.setattr(S, "HOT_SHARE", share)
         found.append(result(S.near_duplicates(docs)))
     assert found[0] == found[1] == brute(docs.collect())
+
+
+def test_centreless_families_and_sizes(spark, docs, monkeypatch):
+    """Edits, cuts and additions of one text of different lengths, some near the bound."""
+    words = " ".join(r.text for r in docs.where("lang = 'fr'").orderBy("doc_id").limit(20).collect()).split()[:150]
+    draw = np.random.default_rng(5)
+    table = []
+    for k in range(70):
+        own = list(words)
+        for i in draw.choice(len(own), 3 + k % 3, replace=False).tolist():
+            own[i] = f"{own[i]}q{k}"
+        at = int(draw.integers(0, 120))
+        table.append(" ".join(own if k % 3 == 0 else own[:at] + own[at + k % 12 :] if k % 3 == 1 else own[:at] + [f"new{k}"] + own[at:]))
+    table += table[:3] + [" ".join(words[:n]) for n in (5, 6, 120, 124, 125, 126, 130, 149)]
+    df = spark.createDataFrame([(t,) for t in table], "text string")
+    key = {r.text: r.th for r in df.selectExpr("text", "xxhash64(text) as th").collect()}
+    sets = {key[t]: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for t in table for w in [t.split()]}
+    want = {(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    for few in (20, 0):
+        monkeypatch.setattr(S, "FEW", few)
+        got = {(r.a, r.b) for r in S.similar_links(df).collect()}
+        assert got <= want and joined(got) == joined(want) and len(want) > 10
+
+
+def test_texts_that_lack_too_much_meet_nothing(spark, docs, monkeypatch):
+    """Copies of one text with four edits each share 86 % of their shingles with it and are similar to nothing: no texts are compared."""
+    words = " ".join(r.text for r in docs.where("lang = 'es'").orderBy("doc_id").limit(20).collect()).split()[:150]
+    table = [" ".join(w + f"q{k}" if i % 36 == 2 + k % 34 else w for i, w in enumerate(words)) for k in range(120)]
+    seen = []
+    keep = S.materialise
+    monkeypatch.setattr(S, "materialise", lambda d, name: (lambda x: (seen.append((name, x.count())), x)[1])(keep(d, name)))
+    assert S.similar_links(spark.createDataFrame([(t,) for t in table], "text string")).collect() == []
+    rows = dict(seen)
+    assert rows["similar-sets"] == len(table) and rows.get("similar-classes", 0) == 0
