@@ -205,20 +205,31 @@ def stars(pairs: DataFrame, name: str = "stars") -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
-def shingles(text: bytes, words: int) -> set[bytes]:
-    """The word shingles; a shorter text is one shingle, and a text without words has none."""
-    found = text.lower().split()
-    return {b" ".join(found[i : i + words]) for i in range(max(1, len(found) - words + 1))} if found else set()
-
-
 def least_shared(least: float, n: int) -> int:
     """How many of its n shingles a text shares at least with one of similarity ``least``."""
     return int(np.ceil(least * n - 1e-9))
 
 
+#: Odd, so that multiplying loses nothing.
+MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
 def hashed_shingles(text: bytes, words: int) -> np.ndarray:
-    """The hashes of a text's shingles, ascending."""
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s) for s in shingles(text, words)), np.uint64))
+    """The distinct 64-bit hashes of a text's word shingles, ascending; a shorter text is one shingle, and one without words has none.
+
+    Words are hashed once, and a shingle's hash is made of its words' in their order.
+    """
+    found = text.lower().split()
+    if not found:
+        return np.zeros(0, np.uint64)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
+    words = min(words, len(h))
+    n = len(h) - words + 1
+    out = np.full(n, words, np.uint64)
+    for i in range(words):
+        out = (out ^ h[i : n + i]) * MIX
+        out ^= out >> np.uint64(29)
+    return np.unique(out)
 
 
 def likely(texts: DataFrame, least: float, words: int) -> DataFrame:
