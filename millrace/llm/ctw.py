@@ -34,6 +34,7 @@ result; a very long text is a chunk of its own; other columns are ignored.
 from __future__ import annotations
 
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -110,11 +111,14 @@ def unpacked_words(data: bytes) -> list[bytes]:
 # ---- the tree
 
 
-def log_rising(k: np.ndarray, offset: float, _table: dict = {}) -> np.ndarray:  # noqa: B006
+@lru_cache(maxsize=2)
+def rising_table(offset: float) -> np.ndarray:
+    return np.concatenate([[0.0], np.cumsum(np.log(np.arange(256) + offset))])
+
+
+def log_rising(k: np.ndarray, offset: float) -> np.ndarray:
     """log of offset * (offset + 1) * ... * (offset + k - 1)."""
-    if offset not in _table:
-        _table[offset] = np.concatenate([[0.0], np.cumsum(np.log(np.arange(256) + offset))])
-    table = _table[offset]
+    table = rising_table(offset)
     out = table[np.minimum(k, 256)]
     far = k > 256
     if far.any():
@@ -158,7 +162,7 @@ class Level:
         """The nodes of decision j, each as its context and the bits so far."""
         return np.unique(self.key >> np.uint64(8 - j)) if len(self.key) else self.key
 
-    def parents(self, j: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    def parents(self, j: int) -> tuple[np.ndarray, np.ndarray]:
         """The nodes one level up of decision j, and the sums of their children's log probabilities, in units."""
         node = self.nodes(j)
         context, bits = node >> np.uint64(j + 8), node & np.uint64((1 << j) - 1)
@@ -178,7 +182,7 @@ def levels(key: np.ndarray, count: np.ndarray, depth: int, least: int, below: li
     for d in range(depth, least - 1, -1):
         out[d] = Level(key, count, below)
         if d > least:
-            below = [out[d].parents(j, d)[1] / UNIT for j in range(8)]
+            below = [out[d].parents(j)[1] / UNIT for j in range(8)]
             key, count = shorter(key, count)
     return out
 
@@ -352,7 +356,7 @@ def upper_tree(counts: DataFrame, depth: int) -> dict[int, Level]:
             lowest = tree[UPPER + 1]
             for d in range(depth, UPPER, -1):
                 key, count = shorter(key, count)
-            rows = [(8, key, count)] + [(j, *lowest.parents(j, UPPER + 1)) for j in range(8)]
+            rows = [(8, key, count)] + [(j, *lowest.parents(j)) for j in range(8)]
             for j, node, n in rows:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), j, np.int32)), pa.array(node.view(np.int64)), pa.array(n.astype(np.int64))], ["decision", "node", "n"])
 
