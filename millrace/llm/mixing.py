@@ -33,6 +33,8 @@ FIT_WORDS = 1 << 15
 RELEASE_WORDS = 1 << 22
 #: Documents of one length that are fitted once more, of lengths of which an eighth of those words holds none.
 HUGE_AGAIN = 16
+#: Lengths of sources, about 50 bytes each, up to which their quotas are broadcast; more of them meet the rows in a shuffle.
+HELD_LENGTHS = 200_000
 #: A source of no more documents is fitted as a whole.
 FEW_DOCUMENTS = 256
 
@@ -175,7 +177,7 @@ def filled(sizes: np.ndarray, counts: np.ndarray, taken: np.ndarray, left: int)
 
 
 def quotas(rows: DataFrame, seed: int = SEED, **goal) -> DataFrame:
-    """skey, size, bucket, n, quota, whole (copies of every document), source_size, target."""
+    """skey, size, upto (the buckets below go whole), part (how many go of that one), whole (copies of every document), source_size, target."""
     hist = materialise(rows.groupBy("source", "skey", "size", "bucket").agg(F.count(F.lit(1)).alias("n")), "mix-lengths")
     totals = hist.groupBy("source", "skey").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     # one row per source
@@ -193,20 +195,27 @@ def quotas(rows: DataFrame, seed: int = SEED, **goal) -> DataFrame:
 
     fitted = counted.groupBy("skey").applyInPandas(fit_source, "skey string, size long, whole int, extra long, source_size long, target double")
     passed = F.coalesce(F.sum("n").over(Window.partitionBy("skey", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranges = hist.withColumn("passed", passed).join(fitted, ["skey", "size"])
     quota = F.greatest(F.lit(0), F.least(F.col("n"), F.col("extra") - F.col("passed")))
-    return materialise(ranges.select("skey", "size", "bucket", "n", quota.alias("quota"), "whole", "source_size", "target"), "mix-quotas")
+    ranges = hist.withColumn("passed", passed).join(fitted, ["skey", "size"]).withColumn("quota", quota)
+    # buckets go whole up to one, of which a part goes, and none after that
+    short = F.col("quota") < F.col("n")
+    upto = F.coalesce(F.min(F.when(short, F.col("bucket"))), F.lit(1 << BUCKET_BITS))
+    same = [F.first(c).alias(c) for c in ("whole", "source_size", "target")]
+    by_length = ranges.groupBy("skey", "size").agg(upto.alias("upto"), F.coalesce(F.sum(F.when(short, F.col("quota"))), F.lit(0)).alias("part"), *same)
+    return materialise(by_length, "mix-quotas")
 
 
 def mix(rows: DataFrame, seed: int = SEED, **goal) -> DataFrame:
     """rows: from ``sized``. row, size, source_size, target, copies (0, 1 or 2 by default)."""
     prepare(session(rows))
-    drawn = rows.join(quotas(rows, seed, **goal), ["skey", "size", "bucket"])
-    split = (F.col("quota") > 0) & (F.col("quota") < F.col("n"))
-    # most buckets go whole or not at all; only the rows of the others are ranked, and rows of one hash by all they carry
+    found = quotas(rows, seed, **goal)
+    # so few lengths of sources are held by every task, and rows stay where they are
+    drawn = rows.join(F.broadcast(found) if found.count() <= HELD_LENGTHS else found, ["skey", "size"])
+    split = (F.col("bucket") == F.col("upto")) & (F.col("part") > 0)
+    # only the rows of split buckets are ranked, those of one hash by all they carry
     rank = F.row_number().over(Window.partitionBy("skey", "size", "bucket").orderBy("order", F.to_json("row")))
-    ranked = drawn.where(split).withColumn("extra", (rank <= F.col("quota")).cast("int"))
-    every = drawn.where(~split).withColumn("extra", (F.col("quota") > 0).cast("int")).unionByName(ranked)
+    ranked = drawn.where(split).withColumn("extra", (rank <= F.col("part")).cast("int"))
+    every = drawn.where(~split).withColumn("extra", (F.col("bucket") < F.col("upto")).cast("int")).unionByName(ranked)
     return every.select("row", "size", "source_size", "target", (F.col("whole") + F.col("extra")).alias("copies"))
 
 

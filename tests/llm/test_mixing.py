@@ -54,6 +54,14 @@ def test_odd_rows(spark, odd, empty):
     assert mixed.columns == odd.columns and mixed.count() > 0 and M.repeat_documents(empty).count() == 0
 
 
+def test_quotas_that_are_not_broadcast(spark, docs, odd, monkeypatch):
+    found = []
+    for most in (M.HELD_LENGTHS, 0):
+        monkeypatch.setattr(M, "HELD_LENGTHS", most)
+        found.append([sorted(map(str, M.mix(M.sized(df, F.struct("doc_id"))).collect())) for df in (docs, odd)])
+    assert found[0] == found[1]
+
+
 def test_reruns_agree(spark, folder):
     one, two = (sorted(map(tuple, M.op3_mixing(spark, folder).collect())) for _ in range(2))
     assert one == two
