@@ -43,7 +43,7 @@ SEED, WORDS, RADIUS, TILE, HOT_SHARE = 42, 3, 2, 1024, 1000
 #: Bands that a fingerprint is dealt to at most, if fewer blocks have to agree for that.
 MOST_BANDS = 20
 #: Near copies of the pipeline: similarity of the sets of shingles of so many words.
-SIMILAR, SIMILAR_WORDS, FEW = 0.8, 5, 20
+SIMILAR, SIMILAR_WORDS, FEW = 0.8, 5, 4
 
 
 def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
@@ -337,12 +337,14 @@ def similar_links(docs: DataFrame, least: float = SIMILAR, words: int = SIMILAR_
     that several of them have. In order of how many have them, two similar texts
     share one of the first shingles of each, so texts meet by those, and only if
     what is left of both in that order is enough for their sizes (``meeting``).
-    While many pairs remain, all that meet in a shingle are compared with one of
-    them, the one that has most in common with others, and linked texts are one
-    component; then again with the next four, sixteen and so on. Once few pairs
-    of different components are left (``FEW`` for each shingle of a text), those
-    are compared. So near copies of one text cost about one comparison each, and
-    texts that lack too much to be similar to any other of their size cost none.
+    Where a shingle has many pairs (more than ``FEW`` for each of its texts), all
+    that meet in it are compared with one of them, the one that has most in
+    common with others, and linked texts are one component; then again with the
+    next four, sixteen and so on. Once such shingles have few pairs of different
+    components left (one for each shingle of a text, over all), all pairs that
+    are left are compared. So near copies of one text cost about one comparison
+    each, however few of all texts they are, and texts that lack too much to be
+    similar to any other of their size cost none.
     """
     prepare(session(docs))
     texts = docs.where("text is not null").select(F.xxhash64("text").alias("th"), "text")
@@ -383,18 +385,18 @@ def similar_links(docs: DataFrame, least: float = SIMILAR, words: int = SIMILAR_
         by_root = sides.groupBy("shingle", "at", "root").agg(F.sum("s").alias("s"), F.sum("l").alias("l"))
         by_class = by_root.groupBy("shingle", "at").agg(F.sum("s").alias("s"), F.sum("l").alias("l"), F.sum(F.col("s") * F.col("l")).alias("same")).where("s * l > same")
         by_class = materialise(by_class, "similar-classes")
-        left = by_class.agg(F.sum(F.col("s").cast("double") * F.col("l") - F.col("same"))).first()[0] or 0
-        last = left <= FEW * n_entries
+        left = by_class.groupBy("shingle").agg(F.sum(F.col("s").cast("double") * F.col("l") - F.col("same")).alias("pairs"), F.sum(F.col("s") + F.col("l")).alias("texts"))
+        many = materialise(left.where(F.col("pairs") > FEW * F.col("texts")), "similar-many")
+        last = (many.agg(F.sum("pairs")).first()[0] or 0) <= n_entries
         if last:
             mine = small.select("shingle", "at", F.col("th").alias("a"), *of_pair("a"))
             other = large.select("shingle", "at", F.col("th").alias("b"), *of_pair("b"))
             # of two of one size each is a smaller and a larger one
             met = mine.join(other, ["shingle", "at"]).where(enough & ((F.col("n_a") < F.col("n_b")) | (F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b"))))
         else:
-            # the next ones of shingles whose texts are not known to be one component yet
-            mixed = by_class.select("shingle").distinct()
+            # the next ones of shingles that have many pairs of texts not known to be one component yet
             rank = F.row_number().over(Window.partitionBy("shingle").orderBy(F.desc("score"), F.hash("th"), "th"))
-            best = open_.join(mixed, "shingle", "left_semi").withColumn("rank", rank).where(F.col("rank") <= centres)
+            best = open_.join(many, "shingle", "left_semi").withColumn("rank", rank).where(F.col("rank") <= centres)
             best = materialise(best.select("shingle", F.col("th").alias("a"), *of_pair("a")), "similar-centres")
             now = best.select("shingle", F.col("a").alias("th"))
             used = now if used is None else used.unionByName(now)

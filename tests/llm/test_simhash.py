@@ -105,6 +105,24 @@ def test_a_family_of_near_copies_is_linked_without_all_its_pairs(spark, docs, mo
     assert got <= want and joined(got) == joined(want) and len(want) > 20 and (every != 40 or seen[-1] < 4 * len(table) < len(want))
 
 
+def test_a_large_family_among_many_small_ones_is_linked_without_all_its_pairs(spark, docs, monkeypatch):
+    """Most texts have one near copy, so there are few pairs for each text; still the one large family is not compared pair by pair."""
+    few = [r.text.split() for r in docs.where("length(text) > 1000").dropDuplicates(["text"]).orderBy("doc_id").limit(80).collect()]
+    words = " ".join(r.text for r in docs.where("lang = 'de'").orderBy("doc_id").limit(20).collect()).split()[:200]
+    family = [" ".join(w + f"x{k}" if i == k else w for i, w in enumerate(words)) for k in range(60)]
+    table = [" ".join(w) for w in few] + [" ".join([*w, "indeed"]) for w in few] + family
+    df = spark.createDataFrame([(t,) for t in table], "text string")
+    key = {r.text: r.th for r in df.selectExpr("text", "xxhash64(text) as th").collect()}
+    sets = {th: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for t, th in key.items() for w in [t.lower().split()]}
+    want = {(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    seen = []
+    keep = S.materialise
+    monkeypatch.setattr(S, "materialise", lambda d, name: (lambda x: (seen.append((name, x.count())), x)[1])(keep(d, name)))
+    got = {(r.a, r.b) for r in S.similar_links(df).collect()}
+    assert got <= want and joined(got) == joined(want) and len(want) > 1770
+    assert [n for name, n in seen if name == "similar-links"][-1] < 3 * len(table) < len(want)
+
+
 def test_similar_pairs_equal_brute_force(spark, docs):
     words = " ".join(r.text for r in docs.where("lang = 'en'").orderBy("doc_id").limit(20).collect()).split()[:300]
 
