@@ -92,3 +92,37 @@ def test_hot_periods(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for hot in (0, 2):
         assert result(df, length=60, gram=16, hot=hot) == brute(df.collect(), 60)
+
+
+def most_in_a_partition(df):
+    sizes = [r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    return max(sizes), sum(sizes)
+
+
+def test_a_passage_in_many_documents_is_spread_over_tasks(spark, monkeypatch):
+    passage = "".join(f"{i * 7919 % 10007:05d}" for i in range(80))  # one window, one piece
+    rows = [(i, passage) for i in range(400)] + [(1000 + i, "".join(f"{i * 31 + j * j:07d}" for j in range(60))) for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    runs, cut = [], S.cut_pieces
+    monkeypatch.setattr(S, "cut_pieces", lambda docs, met, length: runs.append(met) or cut(docs, met, length))
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "8", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        for found in (S.repeated_spans(df), runs[0]):
+            most, rows = most_in_a_partition(found)
+            assert rows == 400 and most < 200
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("share", [1, 20, 10**9])
+def test_hot_places_change_nothing(spark, docs, monkeypatch, share):
+    monkeypatch.setattr(S, "HOT_SHARE", share)
+    passage = " ".join(r.text for r in docs.orderBy("doc_id").limit(3).collect())[:700]
+    rows = [(i % 50, f"{'x' * (i % 5)} own words {i} {passage[: 420 + 13 * (i % 9)]} and {i * 7} ends {'y' * (i % 300)}") for i in range(60)] + [(100 + i, passage) for i in range(9)] + [(200, "ab" * 500), (None, passage), (201, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (3, 4000):
+        assert result(df, hot=hot) == brute(df.collect(), S.LENGTH)
